@@ -37,3 +37,12 @@ def matching_terms(terms: list[str], hit) -> Column:
     """Array of the terms for which ``hit(term)`` holds, in list order."""
     found = F.array(*[F.when(hit(t), F.lit(t)) for t in terms])
     return F.array_compact(found)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Keeps a long expression from being repeated when the optimizer moves a predicate built on it
+    below the projection that named it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

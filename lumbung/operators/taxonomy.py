@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumbung.functions.matching import has_any_phrase, has_phrase, padded
+from lumbung.functions.matching import any_pattern, has_any_phrase, has_phrase, let, padded
 from lumbung.functions.text import word_text
 from lumbung.rules import taxonomy as R
 
@@ -41,59 +41,56 @@ def classify(df: DataFrame, title: str, procurement_type: str | None = None,
 
     Narrow: no shuffle. The procurement type may settle the state, never a family.
     """
-    df = df.withColumn("_title", word_text(F.col(title), unicode_safe))
     kind = word_text(F.col(procurement_type), unicode_safe) if procurement_type else F.lit("")
-    df = df.withColumn("_kind", padded(kind)).withColumn("_padded", padded(F.col("_title")))
-
-    # Masking only matters for the few titles that hold one of the unverified phrases.
-    masked = F.when(has_any_phrase(F.col("_padded"), R.UNVERIFIED_TERMS),
-                    padded(_without_phrases(F.col("_title"), R.UNVERIFIED_TERMS))
-                    ).otherwise(F.col("_padded"))
-    df = df.withColumn("_governed", masked)
+    no_text = F.array().cast("array<string>")
+    # One constant table of terms, scanned per title: a small plan whatever the vocabulary.
+    part_family, part_term = R.CONSUMABLE_PHRASE_SUPPRESSES
+    terms = F.expr("array(" + ", ".join(
+        f"named_struct('position', {R.FAMILIES.index(f)}, 'family', '{f}', 'term', '{t}', "
+        f"'padded', ' {t} ')" for f, listed in R.FAMILY_TERMS.items() for t in listed) + ")")
+
+    def governed(title: Column) -> Column:
+        # Masking only matters for the few titles that hold one of the unverified phrases.
+        return F.when(has_any_phrase(padded(title), R.UNVERIFIED_TERMS),
+                      padded(_without_phrases(title, R.UNVERIFIED_TERMS))
+                      ).otherwise(padded(title))
+
+    def term_hits(title: Column) -> Column:
+        found = let(governed(title), lambda g: F.filter(terms, lambda t: g.contains(t["padded"])))
+        return F.when(
+            has_phrase(padded(title), R.CONSUMABLE_PHRASE),
+            F.filter(found, lambda t: ~((t["family"] == part_family) & (t["term"] == part_term)))
+        ).otherwise(found)
+
+    def tagged(family: str, found: Column) -> Column:
+        return F.transform(found, lambda t: F.struct(
+            F.lit(R.FAMILIES.index(family)).alias("position"), F.lit(family).alias("family"),
+            t.alias("term"), F.lit("").alias("padded")))
+
+    def evidence(title: Column) -> Column:
+        printing = title.rlike(r"printer|toner|refill|refil")
+        consumables = F.when(printing, printing_terms(title)).otherwise(no_text)
+        hardware = F.when(printing & names_printer_hardware(title), F.array(F.lit("printer"))
+                          ).otherwise(no_text)
+        return F.array_sort(F.concat(term_hits(title), tagged("PRINTING_CONSUMABLES", consumables),
+                                     tagged("PRINTING_HARDWARE", hardware)))
 
-    is_part = has_phrase(F.col("_padded"), R.CONSUMABLE_PHRASE)
-    governed = F.col("_governed")
-
-    def family_hits(family: str, terms: list[str]) -> list[Column]:
-        hits = []
-        for term in sorted(terms):
-            hit = has_phrase(governed, term)
-            if (family, term) == R.CONSUMABLE_PHRASE_SUPPRESSES:
-                hit = hit & ~is_part
-            hits.append(F.when(hit, F.struct(F.lit(family).alias("family"),
-                                             F.lit(term).alias("term"))))
-        return hits
-
-    mentions_printing = F.col("_title").rlike(r"printer|toner|refill|refil")
-    consumables = F.when(mentions_printing, printing_terms(F.col("_title"))).otherwise(
-        F.array().cast("array<string>"))
-    hardware = mentions_printing & names_printer_hardware(F.col("_title"))
-    df = df.withColumn("_consumables", consumables).withColumn("_hardware", hardware)
-
-    def tagged(family: str, terms: Column) -> Column:
-        return F.transform(terms, lambda t: F.struct(F.lit(family).alias("family"),
-                                                     t.alias("term")))
-
-    pieces = []
-    for family in R.FAMILIES:
-        if family == "PRINTING_CONSUMABLES":
-            pieces.append(tagged(family, F.col("_consumables")))
-        elif family == "PRINTING_HARDWARE":
-            pieces.append(tagged(family, F.when(F.col("_hardware"), F.array(F.lit("printer")))
-                                 .otherwise(F.array().cast("array<string>"))))
-        else:
-            pieces.append(F.array_compact(
-                F.array(*family_hits(family, R.FAMILY_TERMS[family]))))
-    df = df.withColumn("matched_terms", F.concat(*pieces))
+    df = df.withColumn("_title", word_text(F.col(title), unicode_safe))
+    df = df.withColumn("matched_terms", F.transform(
+        let(F.col("_title"), evidence),
+        lambda t: F.struct(t["family"].alias("family"), t["term"].alias("term"))))
     df = df.withColumn("demand_families", F.array_distinct(
         F.transform("matched_terms", lambda m: m["family"])))
+    df = df.withColumns({"_padded": padded(F.col("_title")), "_kind": padded(kind)})
+    is_part = has_phrase(F.col("_padded"), R.CONSUMABLE_PHRASE)
+    names = F.col("demand_families")
+    consumables = F.array_contains(names, "PRINTING_CONSUMABLES")
 
     state = None
     for label, terms in R.CONTEXT_TERMS.items():
         hit = has_any_phrase(F.col("_padded"), terms)
         state = F.when(hit, label) if state is None else state.when(hit, label)
-    only_consumables = (F.size("_consumables") > 0) & (F.size(F.array_remove(
-        "demand_families", "PRINTING_CONSUMABLES")) == 0)
+    only_consumables = consumables & (F.size(names) == 1)
     state = (
         state.when(only_consumables | is_part, "PARTS_CONSUMABLE")
         .when(has_any_phrase(F.col("_padded"), R.PURCHASE_TERMS), "PURCHASE_EXPLICIT")
@@ -103,15 +100,12 @@ def classify(df: DataFrame, title: str, procurement_type: str | None = None,
     )
     df = df.withColumn("semantic_state", state)
     rules = F.concat(
-        F.when(F.size("_consumables") > 0, F.array(F.lit("PRINTING.CONSUMABLE_MASK")))
-        .otherwise(F.array().cast("array<string>")),
-        F.when(F.col("_hardware"), F.array(F.lit("PRINTING.INDEPENDENT_HARDWARE")))
-        .otherwise(F.array().cast("array<string>")),
-        F.transform("demand_families", lambda f: F.concat(F.lit("FAMILY."), f, F.lit(".TERM"))),
-        F.array(F.concat(F.lit("STATE."), F.col("semantic_state"))),
-    )
-    return df.withColumn("rule_ids", rules).drop(
-        "_title", "_kind", "_padded", "_governed", "_consumables", "_hardware")
+        F.when(consumables, F.array(F.lit("PRINTING.CONSUMABLE_MASK"))).otherwise(no_text),
+        F.when(F.array_contains(names, "PRINTING_HARDWARE"),
+               F.array(F.lit("PRINTING.INDEPENDENT_HARDWARE"))).otherwise(no_text),
+        F.transform(names, lambda f: F.concat(F.lit("FAMILY."), f, F.lit(".TERM"))),
+        F.array(F.concat(F.lit("STATE."), F.col("semantic_state"))))
+    return df.withColumn("rule_ids", rules).drop("_title", "_kind", "_padded")
 
 
 def products_for(families: Column, family_products: dict[str, list[str]] | None = None) -> Column:
@@ -146,7 +140,12 @@ def potential_matches(candidates: DataFrame, unicode_safe: bool = True) -> DataF
     Needs ``planned_procurement_id``, ``package_title`` and ``procurement_type``. Unique by plan:
     see ``duplicate_plans``; the sink orders by plan id.
     """
-    rows = relevant_products(candidates, "package_title", "procurement_type", unicode_safe)
+    named = sorted({t for terms in R.FAMILY_TERMS.values() for t in terms} | {"printer", "toner",
+                   "refill", "refil"})
+    # Cheap superset of the titles that can match; the classification sees only those.
+    possible = word_text(F.col("package_title"), unicode_safe).rlike(any_pattern(named, re.escape))
+    rows = relevant_products(candidates.where(possible), "package_title", "procurement_type",
+                             unicode_safe)
     return rows.where(F.size("matched_product_ids") > 0).withColumn(
         "id_kldi", F.trim(F.coalesce(F.col("id_kldi").cast("string"), F.lit(""))))
 

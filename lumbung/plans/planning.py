@@ -420,13 +420,13 @@ def stopword_normalise(spark, sf_dir):
     f"""SELECT id, {S.normalize('"satuanKerja"')} || ' || ' || {S.normalize('kldi')} AS pair_key,
         trim(regexp_replace(regexp_replace({S.normalize('kldi')},
           '\\b(kabupaten|kab|kota|provinsi|prov)\\b', '', 'g'), ' +', ' ', 'g')) AS place_key,
-        split_part(lokasi, ',', 1) AS region, substr(pemilihan, -4) AS year_text FROM packages"""))
+        split_part(lokasi, ',', 1) AS region, '20' || substr(pemilihan, -2) AS year_text FROM packages"""))
 def name_keys(spark, sf_dir):
     return packages(spark, sf_dir).select(
         "id", X.key_pair(F.col("satuanKerja"), F.col("kldi")).alias("pair_key"),
         X.normalize_place(F.col("kldi")).alias("place_key"),
         X.region_of(F.col("lokasi")).alias("region"),
-        X.first_year(F.col("pemilihan")).cast("string").alias("year_text"))
+        X.first_year(F.concat(F.lit("20"), F.substring("pemilihan", -2, 2))).cast("string").alias("year_text"))
 
 
 _AMOUNT_WORDS = ["juta", "miliar", "ribu", "triliun", ""]
@@ -435,7 +435,7 @@ _AMOUNT_WORDS = ["juta", "miliar", "ribu", "triliun", ""]
 @query("budget_text", """
     WITH t AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(20,2)) AS p,
                o_orderkey % 5 AS w FROM orders)
-    SELECT id, CAST(CAST(p * 100 AS BIGINT) AS DOUBLE) * [1e4, 1e7, 1e1, 1e10, 0.01][w + 1] AS amount,
+    SELECT id, CAST(p AS DOUBLE) * [1e6, 1e9, 1e3, 1e12, 1.0][w + 1] AS amount,
            CAST(p AS DOUBLE) AS plain FROM t""")
 def budget_text(spark, sf_dir):
     """Amounts printed as "Rp 112.946,26 juta" and read back in both dialects."""
@@ -445,7 +445,7 @@ def budget_text(spark, sf_dir):
                           ",.", ".,")
     text = F.concat_ws(" ", F.lit("Rp"), printed, pick(_AMOUNT_WORDS, F.col("o_orderkey")))
     return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.round(N.parse_budget(text), 2).alias("amount"),
+        F.col("o_orderkey").alias("id"), N.parse_budget(text).alias("amount"),
         N.parse_plain_budget(printed).alias("plain"))
 
 

@@ -80,7 +80,7 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "idKldi")
 
 
-def packages_cte() -> str:
+def agencies_cte() -> str:
     return f"""
 agencies AS MATERIALIZED (
   SELECT n_nationkey, n_name, r_name,
@@ -90,7 +90,11 @@ agencies AS MATERIALIZED (
   FROM (SELECT n_nationkey, max(n_name) AS n_name, max(n_regionkey) AS n_regionkey
         FROM nation GROUP BY 1)
   JOIN (SELECT r_regionkey, max(r_name) AS r_name FROM region GROUP BY 1)
-    ON n_regionkey = r_regionkey),
+    ON n_regionkey = r_regionkey)"""
+
+
+def packages_cte() -> str:
+    return agencies_cte() + f""",
 packages AS MATERIALIZED (
   SELECT o_orderkey AS id, 'ref-' || CAST(o_orderkey AS VARCHAR) AS id_referensi,
          round(o_totalprice * 2500) AS pagu,

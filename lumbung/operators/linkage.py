@@ -30,6 +30,7 @@ from lumbung.functions.web import plan_lookup_url, tender_lookup_url
 from lumbung.operators.status import procurement_status
 from lumbung.rules import linkage as R
 from lumbung.rules.evidence import PLANNING_ONLY
+from lumbung.session import cut_lineage
 
 DIRECT_LIMIT = 2_000
 TILE_ROWS = 2_000
@@ -70,7 +71,9 @@ def _score_direct(plans: DataFrame, evidence: DataFrame, keep: int | None) -> Da
         for batch in batches:
             yield score_block(batch, shared.value, keep, flags=keep is not None)
 
-    return plans.mapInPandas(score, BLOCK_SCHEMA)
+    # Scoring is processor-bound, so small inputs are spread over all cores first.
+    spread = plans.repartition(2 * plans.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInPandas(score, BLOCK_SCHEMA)
 
 
 # ---- blocked ---------------------------------------------------------------------------------
@@ -88,19 +91,19 @@ def similar_values(left: DataFrame, right: DataFrame, threshold: float,
     reach = math.ceil(4 * math.log((2 - threshold) / threshold)) + 1
 
     def spread(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        banded = df.select("text").where("text <> ''").distinct().withColumn(
+        banded = df.selectExpr("text as text").where("text <> ''").distinct().withColumn(
             "band", _length_band(F.length("text")))
         parts = banded.groupBy("band").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-        placed = banded.join(parts, "band").select(
-            "text", "band", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int").alias("part"))
+        placed = banded.join(parts, "band").selectExpr(
+            "text", "band", "cast(pmod(xxhash64(text), parts) as int) as part")
         return placed, parts
 
     (l, l_parts), (r, r_parts) = spread(left), spread(right)
 
     def visit(df: DataFrame, own: str, other: str, other_parts: DataFrame) -> DataFrame:
-        near = F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))
-        bands = df.select("text", F.col("band").alias(f"{own}_band"),
-                          F.col("part").alias(f"{own}_part"), near.alias(f"{other}_band"))
+        bands = df.selectExpr(
+            "text", f"band as {own}_band", f"part as {own}_part",
+            f"explode(sequence(band - {reach}, band + {reach})) as {other}_band")
         counts = other_parts.withColumnRenamed("band", f"{other}_band")
         return bands.join(counts, f"{other}_band").selectExpr(
             "text", f"{own}_band", f"{own}_part", f"{other}_band",
@@ -256,10 +259,11 @@ def score_plans(plans: DataFrame, evidence: DataFrame, strategy: str = "auto",
         strategy = "direct" if small else "blocked"
     if strategy == "direct":
         return _score_direct(p, e, 2)
-    similar = similar_values(p.select(F.col("n_institution").alias("text")),
-                             e.select(F.col("n_institution").alias("text")),
-                             R.CONFLICT_INSTITUTION, tile)
-    best = _best_of_tiles(_score_blocked(p, e, similar, 2, tile))
+    # Written out once each: both are read several times below and their rows are few.
+    similar = cut_lineage(similar_values(p.select(F.col("n_institution").alias("text")),
+                                         e.select(F.col("n_institution").alias("text")),
+                                         R.CONFLICT_INSTITUTION, tile))
+    best = cut_lineage(_best_of_tiles(cut_lineage(_score_blocked(p, e, similar, 2, tile))))
     rejected = p.join(best, "plan_id", "left_anti")
     flags = _hard_flags(rejected, e, similar, tile)
     no = F.lit(False)
@@ -282,9 +286,9 @@ def surviving_candidates(plans: DataFrame, evidence: DataFrame, strategy: str =
     if strategy == "direct":
         tiles = _score_direct(p, e, None)
     else:
-        similar = similar_values(p.select(F.col("n_institution").alias("text")),
-                                 e.select(F.col("n_institution").alias("text")),
-                                 R.CONFLICT_INSTITUTION, tile)
+        similar = cut_lineage(similar_values(
+            p.select(F.col("n_institution").alias("text")),
+            e.select(F.col("n_institution").alias("text")), R.CONFLICT_INSTITUTION, tile))
         tiles = _score_blocked(p, e, similar, None, tile)
     return tiles.select("plan_id", F.explode("best").alias("c")).select("plan_id", "c.*")
 

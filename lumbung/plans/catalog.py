@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lumbung.plans import acquisition, joins, linking, outreach_events, planning  # noqa: F401
+from lumbung.plans import acquisition, documents, joins, linking, outreach_events, planning  # noqa: F401
 from lumbung.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -24,7 +24,9 @@ def _append_new(rows: DataFrame, path: str, key: list[str]) -> None:
 def ingest_batch(pages: DataFrame, target: str, captured_at, required: list[str] | None = None
                  ) -> None:
     """Classify a batch of pages and store its rows; safe to run again for the same batch."""
-    parsed = runlog.parse_pages(pages)
+    # The same page may arrive twice in one batch; its rows must not count as repeated ids.
+    parsed = runlog.parse_pages(pages.dropDuplicates(
+        ["run_id", "page_start", "page_draw", "payload"]))
     classified = runlog.classify_rows(runlog.page_rows(parsed), required).persist()
     try:
         _append_new(runlog.storage_rows(classified.where("is_valid")), f"{target}/canonical",

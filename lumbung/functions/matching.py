@@ -24,12 +24,46 @@ def has_any_phrase(padded_text: Column, terms: list[str]) -> Column:
     return hit
 
 
-def bounded_pattern(term: str) -> str:
-    """Pattern of a term not touching further letters or digits; phrases match anywhere."""
-    return re.escape(term) if " " in term else f"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])"
+def word_form(text: Column) -> Column:
+    """Padded lower-case text in which everything but letters and digits is one blank."""
+    return padded(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")))
 
 
-def any_pattern(terms: list[str], pattern=bounded_pattern) -> str:
+def sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_texts(texts: list[str]) -> str:
+    """Constant array of texts as one expression, however long the list."""
+    return "array(" + ", ".join(map(sql_text, texts)) + ")" if texts else \
+        "cast(array() as array<string>)"
+
+
+def class_table(classes: dict[str, list[str]]) -> Column:
+    """Constant table of classes: label, whole words (padded) and phrases."""
+    rows = [f"named_struct('label', {sql_text(label)}, "
+            f"'words', {sql_texts([f' {t} ' for t in terms if ' ' not in t])}, "
+            f"'phrases', {sql_texts([t for t in terms if ' ' in t])})"
+            for label, terms in classes.items()]
+    return F.expr("array(" + ", ".join(rows) + ")")
+
+
+def matching_classes(text: Column, classes: dict[str, list[str]]) -> Column:
+    """Labels with a matching term: single words as whole words, phrases anywhere.
+
+    ``text`` is lower-case. Containment tests on the text and its ``word_form`` replace patterns
+    with look-around.
+    """
+    def labels(t: Column) -> Column:
+        hit = F.filter(class_table(classes), lambda c: F.exists(
+            c["words"], lambda w: t["words"].contains(w)) | F.exists(
+            c["phrases"], lambda p: t["text"].contains(p)))
+        return F.transform(hit, lambda c: c["label"])
+
+    return let(F.struct(text.alias("text"), word_form(text).alias("words")), labels)
+
+
+def any_pattern(terms: list[str], pattern=re.escape) -> str:
     return "|".join(pattern(t) for t in terms)
 
 

@@ -29,6 +29,8 @@ class TextPairs:
         self.known: dict[tuple[int, int], float] = {}
         self.bound = upper_bound(letter_counts(self.left), letter_counts(self.right)) \
             if bounded else None
+        # 0: not compared yet, 1: similar, 2: not similar (the bound settles most at once).
+        self.verdict: np.ndarray | None = None
 
     def value(self, a: int, b: int) -> float:
         if (a, b) not in self.known:
@@ -40,12 +42,24 @@ class TextPairs:
 
     def reaches(self, row: int, columns: np.ndarray, threshold: float) -> np.ndarray:
         """Which of ``columns`` are at least ``threshold`` similar to the row's text."""
+        if self.verdict is None:
+            self.verdict = np.where(self.bound >= threshold, 0, 2).astype(np.int8)
         a = self.left_code[row]
         codes = self.right_code[columns]
-        verdict = np.zeros(len(self.right), dtype=bool)
-        for b in np.unique(codes):
-            verdict[b] = self.bound[a, b] >= threshold and self.value(a, b) >= threshold
-        return verdict[codes]
+        known = self.verdict[a]
+        for b in np.unique(codes[known[codes] == 0]):
+            known[b] = 1 if self.value(a, b) >= threshold else 2
+        return known[codes] == 1
+
+
+    def any_below(self, row: int, columns: np.ndarray, threshold: float) -> bool:
+        """Whether some of ``columns`` is less similar; the bound often tells at once."""
+        if not len(columns):
+            return False
+        codes = np.unique(self.right_code[columns])
+        known = self.verdict[self.left_code[row]]
+        return bool((known[codes] == 2).any()) or not self.reaches(
+            row, columns, threshold).all()
 
 
 def _major(family: str, others: np.ndarray) -> np.ndarray:
@@ -71,7 +85,7 @@ def score_block(plans: pd.DataFrame, evidence: pd.DataFrame, keep: int | None =
                 flags: bool = True) -> pd.DataFrame:
     """Per plan: its best ``keep`` candidates (None: all), their number, hard conflicts met.
 
-    Without ``flags`` a pair is dropped at its first hard conflict.
+    ``flags`` says whether the hard conflicts met are wanted; the bound settles most of them.
     """
     pairs = {f: TextPairs(plans[f"n_{f}"], evidence[f"n_{f}"], f in (
         "package_name", "institution", "satker")) for f in TEXTS}
@@ -94,10 +108,13 @@ def score_block(plans: pd.DataFrame, evidence: pd.DataFrame, keep: int | None =
             if not given_p[field][i]:
                 hard[field] = False
                 continue
-            columns = everything if flags else everything[alive]
-            columns = columns[given_e[field][columns]]
+            given = given_e[field]
+            columns = everything[alive & given]
             similar = pairs[field].reaches(i, columns, limit)
-            hard[field] = bool((~similar).any())
+            conflict = bool((~similar).any())
+            if flags and not conflict:
+                conflict = pairs[field].any_below(i, everything[~alive & given], limit)
+            hard[field] = conflict
             alive[columns[~similar]] = False
         candidates = []
         for j in everything[alive]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumbung.functions.matching import any_pattern, matching_terms
 from lumbung.functions.numbers import money
-from lumbung.functions.text import clean_inner, first_class, location_parts
+from lumbung.functions.text import clean_inner, contains_any, first_class, location_parts
 from lumbung.rules import health as R
 
 
@@ -23,12 +23,20 @@ def is_health_lead() -> Column:
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in (
         "paket", "satuanKerja", "kldi", "lokasi", "jenisPengadaan")]))
     title = F.lower(F.coalesce("paket", F.lit("")))
-    context = text.rlike(any_pattern(R.CONTEXT_KEYWORDS, lead_pattern))
-    excluded = title.rlike(any_pattern(R.EXCLUDE_KEYWORDS, lead_pattern))
-    equipment = title.rlike(any_pattern(R.EQUIPMENT_KEYWORDS, lead_pattern))
+    context = _names_any(text, R.CONTEXT_KEYWORDS)
+    excluded = _names_any(title, R.EXCLUDE_KEYWORDS)
+    equipment = _names_any(title, R.EQUIPMENT_KEYWORDS)
     return context & ~excluded & (equipment | (F.col("jenisPengadaan") == R.GOODS_TYPE))
 
 
+def _names_any(text: Column, terms: list[str]) -> Column:
+    """Some term is contained; the few short ones must be whole words."""
+    lowered = [t.lower() for t in terms]
+    whole = [t for t in lowered if t in R.WHOLE_WORDS]
+    hit = contains_any(text, [t for t in lowered if t not in R.WHOLE_WORDS])
+    return hit | text.rlike(any_pattern(whole, lead_pattern)) if whole else hit
+
+
 def matched_keywords(text: Column, keywords: list[str] = R.KEYWORDS) -> Column:
     """Keywords found in a text, in case-insensitive order."""
     lowered = F.lower(text)

@@ -71,8 +71,10 @@ def _score_direct(plans: DataFrame, evidence: DataFrame, keep: int | None) -> Da
         for batch in batches:
             yield score_block(batch, shared.value, keep, flags=keep is not None)
 
-    # Scoring is processor-bound, so small inputs are spread over all cores first.
-    spread = plans.repartition(2 * plans.sparkSession.sparkContext.defaultParallelism)
+    # Scoring is processor-bound: spread it over all cores, equal names together so that a task
+    # compares few distinct names. The plan id in the range key splits a name held by many plans.
+    spread = plans.repartitionByRange(
+        2 * plans.sparkSession.sparkContext.defaultParallelism, "n_package_name", "plan_id")
     return spread.mapInPandas(score, BLOCK_SCHEMA)
 
 
@@ -128,16 +130,29 @@ def _institution(df: DataFrame) -> Column:
 
 def _score_blocked(plans: DataFrame, evidence: DataFrame, similar: DataFrame,
                    keep: int | None, tile: int) -> DataFrame:
-    # Two further blocks: evidence without an institution, which every plan meets, and all of the
-    # evidence, which only plans without an institution meet.
-    unnamed, anyone = F.lit("\u0001"), F.lit("\u0002")
-    e = evidence.withColumn("block", F.coalesce(_institution(evidence), unnamed)).unionByName(
+    # A large institution is a block of its own; small ones share blocks of about a tile of rows,
+    # which costs nothing because scoring applies the institution rule anyway. Two further blocks:
+    # evidence without an institution, which every plan meets, and all of the evidence, which only
+    # plans without an institution meet.
+    unnamed, anyone = F.lit("none"), F.lit("all")
+    named_e = evidence.withColumn("own", _institution(evidence))
+    counted = named_e.where(F.col("own").isNotNull()).groupBy("own").agg(F.count("*").alias("n"))
+    small = F.col("n") < max(1, tile // 4)
+    shared = counted.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(small, F.col("n"))) / tile)
+                                    ).cast("int")).scalar()
+    homes = counted.select("own", F.when(small, F.concat(F.lit("shared:"), F.pmod(
+        F.xxhash64("own"), F.coalesce(shared, F.lit(1))).cast("string"))).otherwise(
+        F.concat(F.lit("own:"), "own")).alias("home"))
+    e = named_e.join(homes, "own", "left").select(
+        *evidence.columns, F.coalesce("home", unnamed).alias("block")).unionByName(
         evidence.withColumn("block", anyone))
     p = plans.withColumn("own", _institution(plans))
     blocks = e.groupBy("block").agg(F.count("*").alias("rows"))
     named = p.where(F.col("own").isNotNull())
-    visits = named.join(similar, F.col("own") == F.col("left_text")).select(
-        *plans.columns, F.col("right_text").alias("block")).unionByName(
+    reach = similar.join(homes, F.col("right_text") == F.col("own")).select(
+        "left_text", F.col("home").alias("block")).distinct()
+    visits = named.join(reach, F.col("own") == F.col("left_text")).select(
+        *plans.columns, "block").unionByName(
         named.select(*plans.columns, unnamed.alias("block"))).unionByName(
         p.where(F.col("own").isNull()).select(*plans.columns, anyone.alias("block")))
     sizes = visits.groupBy("block").agg(F.count("*").alias("plan_rows")).join(

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumbung.functions.matching import any_pattern
+from lumbung.functions.matching import any_pattern, matching_classes
 from lumbung.functions.numbers import money
 from lumbung.functions.ranking import first_k
 from lumbung.functions.text import contains_any, display_name, region_of, split_list, squeeze
 from lumbung.rules import outreach as R
 
 
+_VETOED = ""  # label of the veto terms inside the class table
+
+
 def categories_of(name: Column, rules: dict[str, list[str]] | None = None,
                   veto: list[str] | None = None) -> Column:
     """Every category with a matching term, in rule order; none if a veto term matches."""
     rules, veto = rules or R.CATEGORY_TERMS, R.CATEGORY_VETO if veto is None else veto
-    text = F.lower(squeeze(name))
-    found = F.array_compact(F.array(*[
-        F.when(text.rlike(any_pattern(terms)), F.lit(label)) for label, terms in rules.items()]))
-    if not veto:
-        return found
-    return F.when(text.rlike(any_pattern(veto)), F.array().cast("array<string>")).otherwise(found)
+    found = matching_classes(F.lower(squeeze(name)), {_VETOED: veto, **rules})
+    return F.when(F.array_contains(found, _VETOED), F.array().cast("array<string>")
+                  ).otherwise(found)
 
 
 def target_level(name: Column) -> Column:
@@ -37,7 +37,10 @@ def target_level(name: Column) -> Column:
 def relevant_packages(packages: DataFrame, rules=None, veto=None) -> DataFrame:
     """Packages with at least one product category, with their institution name."""
     unit, parent = squeeze(F.col("satuanKerja")), squeeze(F.col("kldi"))
-    tagged = packages.withColumn("categories", categories_of(F.col("paket"), rules, veto))
+    # Cheap superset first: a title without any of the terms cannot have a category.
+    terms = sorted({t for listed in (rules or R.CATEGORY_TERMS).values() for t in listed})
+    possible = packages.where(F.lower("paket").rlike(any_pattern(terms)))
+    tagged = possible.withColumn("categories", categories_of(F.col("paket"), rules, veto))
     return tagged.where(F.size("categories") > 0).withColumn(
         "institution_name",
         F.when(unit != "", unit).when(parent != "", parent).otherwise("UNKNOWN_INSTITUTION"))

@@ -16,27 +16,23 @@ HEX64 = "^[0-9a-f]{64}$"
 
 
 # ---- pages -----------------------------------------------------------------------------------
-def canonical(json_text: Column) -> Column:
-    """JSON text with sorted keys and no spacing (the order the variant encoding keeps)."""
-    return F.to_json(F.try_parse_json(json_text))
-
-
 def parse_pages(pages: DataFrame, full_snapshot: bool = True) -> DataFrame:
     """Check each page payload; adds ``page_error`` (null when sound) and the parsed rows.
 
     ``pages``: run_id, page_start, requested_length, page_draw, payload and, optionally,
     expected_source_count.
     """
-    doc = F.try_parse_json("payload")
-    kind = F.schema_of_variant(doc)
-    data = F.try_variant_get(doc, "$.data", "variant")
-    total = F.try_variant_get(doc, "$.recordsFiltered", "variant")
+    parsed = pages.withColumn("_doc", F.try_parse_json("payload"))
+    data = F.try_variant_get("_doc", "$.data", "variant")
+    total = F.try_variant_get("_doc", "$.recordsFiltered", "variant")
     source_count = F.when(F.schema_of_variant(total) == "BIGINT",
-                          F.try_variant_get(doc, "$.recordsFiltered", "bigint"))
+                          F.try_variant_get("_doc", "$.recordsFiltered", "bigint"))
     rows = F.when(F.schema_of_variant(data).startswith("ARRAY"),
-                  F.try_variant_get(doc, "$.data", "array<variant>"))
-    out = pages.withColumns({"_rows": rows, "source_count": source_count, "_kind": kind,
-                             "payload_sha256": F.sha2(canonical(F.col("payload")), 256)})
+                  F.try_variant_get("_doc", "$.data", "array<variant>"))
+    # Sorted keys, no spacing: the order the variant encoding keeps.
+    out = parsed.withColumns({"_rows": rows, "source_count": source_count,
+                              "_kind": F.schema_of_variant("_doc"),
+                              "payload_sha256": F.sha2(F.to_json("_doc"), 256)}).drop("_doc")
     expected = F.col("requested_length")
     if full_snapshot:
         expected = F.least(expected, F.col("source_count") - F.col("page_start"))
@@ -83,16 +79,17 @@ def classify_rows(rows: DataFrame, required: list[str] | None = None) -> DataFra
     requested length, so counting within (page, id) never meets a hot group.
     """
     required = sorted(set(required or R.REQUIRED_FIELDS))
-    doc = F.try_parse_json("raw_row")
-    is_object = F.schema_of_variant(doc).startswith("OBJECT")
+    rows = rows.withColumn("_doc", F.try_parse_json("raw_row"))
+    is_object = F.schema_of_variant("_doc").startswith("OBJECT")
     fields = F.map_keys(F.from_json("raw_row", "map<string,string>"))
-    identity = F.try_variant_get(doc, "$.id", "variant")
+    identity = F.try_variant_get("_doc", "$.id", "variant")
     id_type = F.schema_of_variant(identity)
     # A null stays null here, so that it is not counted as a repeated id.
     id_key = F.when(id_type != "VOID", F.concat_ws(":", id_type, F.to_json(identity)))
     out = rows.withColumns({
         "_object": F.coalesce(is_object, F.lit(False)), "_fields": fields,
-        "_id": F.when(is_object, id_key), "package_id": F.when(is_object, F.to_json(identity))})
+        "_id": F.when(is_object, id_key), "package_id": F.when(is_object, F.to_json(identity))}
+    ).drop("_doc")
     out = out.withColumn("package_id", F.when(F.col("package_id") != "null", F.col("package_id")))
     page = ["run_id", "page_start", "page_draw"]
     repeats = out.where(F.col("_id").isNotNull()).groupBy(*page, "_id").agg(
@@ -122,10 +119,10 @@ def classify_rows(rows: DataFrame, required: list[str] | None = None) -> DataFra
 
 def storage_rows(valid: DataFrame) -> DataFrame:
     """Canonical table row; ``coercion_error`` names the first value that does not fit exactly."""
-    doc = F.try_parse_json("raw_row")
+    valid = valid.withColumn("_doc", F.try_parse_json("raw_row"))
 
     def value(name: str, kind: str) -> Column:
-        return F.try_variant_get(doc, f"$.{name}", kind)
+        return F.try_variant_get("_doc", f"$.{name}", kind)
 
     def text(name: str) -> Column:
         return value(name, "string")

@@ -79,5 +79,5 @@ def confidence(c: Column, default: float = 0.0) -> Column:
 
 
 def rupiah(c: Column) -> Column:
-    """Display form "Rp 1.234.567"."""
-    return F.concat(F.lit("Rp "), F.translate(F.format_number(c, 0), ",", "."))
+    """Display form "Rp 1.234.567" (with a no-break space)."""
+    return F.concat(F.lit("Rp\u00a0"), F.translate(F.format_number(c, 0), ",", "."))

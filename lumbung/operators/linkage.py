@@ -1,6 +1,6 @@
 """Plan-to-evidence linkage: evidence before score, hard conflicts first, ties to a person.
 
-The reference semantics compare every plan with every evidence row. Two exact strategies give the
+By definition every plan is compared with every evidence row. Two exact strategies give the
 same decisions without ever emitting those pairs:
 
 * ``direct``: the evidence is small (its size is counted first) and travels to every task; a task

@@ -513,6 +513,35 @@ def manifest_checks(manifest: str, observed: str, table_name: str) -> dict[str,
     }
 
 
+COLLECTOR_CHECKS = ["response_shape", "requested_row_count", "sequential_pagination",
+                    "source_count_consistency", "source_year_parameter", "non_null_ids",
+                    "unique_ids", "database_read_only_reopen"]
+
+
+def genesis_checks(manifest: str, observed: str, endpoint: str) -> dict[str, Column]:
+    """Extra gates of a first snapshot: contract, source accounting, provenance, promotion state.
+
+    ``manifest.validation`` maps every collector check to its verdict.
+    """
+    m, o = F.col(manifest), F.col(observed)
+    source, size, pages = m["source_records_filtered"], m["page_size"], m["page_count"]
+    names = F.array_sort(F.map_keys(m["validation"]))
+    wanted = F.array(*map(F.lit, sorted(COLLECTOR_CHECKS)))
+    started, ended = (F.try_to_timestamp(m[c]) for c in ("started_at", "collected_at"))
+    return {
+        "genesis_manifest_contract_valid": (m["manifest_version"] == 1)
+        & (m["status"] == "validated_staging_sample") & m["full_snapshot"]
+        & (m["promotion_result"] == "not_in_scope") & (names == wanted)
+        & F.forall(F.map_values(m["validation"]), lambda v: v == "passed"),
+        "genesis_full_source_accounting_valid": (source > 0) & (o["row_count"] == source),
+        "genesis_collection_provenance_valid": (m["source_endpoint"] == endpoint)
+        & (m["requested_year"] > 0) & (m["requested_limit"] == source) & (size > 0)
+        & (pages == F.ceil(source / size)) & (m["request_count"] == pages)
+        & (m["retries_used"] >= 0) & (started <= ended),
+        "genesis_promotion_state_valid": ~m["promotion_eligible"],
+    }
+
+
 def promotion_gates(mode: str) -> list[str]:
     """Ordered gate names: 15 in steady state, 19 for the first snapshot."""
     if mode == "STEADY_STATE":

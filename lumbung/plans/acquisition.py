@@ -445,6 +445,37 @@ def gate_table(spark, sf_dir):
         "run_id", "promotion_eligible", F.array_join("failures", "; ").alias("failures"))
 
 
+@query("manifest_checks", """
+ WITH o AS (SELECT l_suppkey AS run, count(*) AS n FROM lineitem GROUP BY 1)
+ SELECT 'run-' || run AS run_id, array_to_string(list_filter([
+  CASE WHEN run % 4 = 1 THEN 'row_count' END, CASE WHEN run % 4 = 2 THEN 'max_id' END,
+  CASE WHEN run % 4 = 3 THEN 'staging_only' END], lambda x: x IS NOT NULL), ';') AS failed,
+  n AS row_count FROM o""")
+def manifest_checks(spark, sf_dir):
+    """Supplier shipments as runs whose manifests are wrong in one field each."""
+    key = F.concat(F.lit("run-"), F.col("l_suppkey").cast("string")).alias("run_id")
+    metrics = table(spark, sf_dir, "lineitem").groupBy(key, "l_suppkey").agg(
+        F.count("*").alias("row_count"), F.count_distinct("l_orderkey").alias(
+            "distinct_id_count"), F.min("l_orderkey").alias("min_id"),
+        F.max("l_orderkey").alias("max_id"), F.lit("ab").alias("sha256"))
+    fault = F.col("l_suppkey") % 4
+    manifest = F.struct(
+        "run_id", F.lit("sirup_raw").alias("table_name"), F.col("row_count").alias(
+            "requested_limit"), F.lit(True).alias("full_snapshot"),
+        F.col("row_count").alias("source_records_filtered"),
+        (F.col("row_count") + F.when(fault == 1, 1).otherwise(0)).alias("row_count"),
+        "distinct_id_count", "min_id",
+        (F.col("max_id") - F.when(fault == 2, 1).otherwise(0)).alias("max_id"), "sha256",
+        (fault == 3).alias("promotion_eligible"), F.lit("not_in_scope").alias(
+            "promotion_result"))
+    runs = metrics.select("run_id", manifest.alias("m"), F.struct(
+        "run_id", "row_count", "distinct_id_count", "min_id", "max_id", "sha256").alias("o"))
+    named = runlog.manifest_checks("m", "o", "sirup_raw")
+    failed = F.array_compact(F.array(*[
+        F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in named.items()]))
+    return runs.select("run_id", F.array_join(failed, ";").alias("failed"), "o.row_count")
+
+
 @query("active_snapshot", """
  WITH r AS (SELECT l_suppkey AS run FROM lineitem GROUP BY 1
             HAVING sum(l_quantity) > 100)

@@ -178,6 +178,34 @@ def test_gates_and_selection(spark):
     assert runlog.select_snapshot(verdicts, "run_id", "r0", current).isEmpty()
 
 
+def test_first_snapshot_gates(spark):
+    manifest = dict(
+        manifest_version=1, status="validated_staging_sample", full_snapshot=True,
+        promotion_eligible=False, promotion_result="not_in_scope", source_endpoint="https://s",
+        requested_year=2026, requested_limit=5, page_size=2, page_count=3, request_count=3,
+        retries_used=0, source_records_filtered=5, started_at="2026-01-01T00:00:00Z",
+        collected_at="2026-01-02T00:00:00Z",
+        validation={c: "passed" for c in runlog.COLLECTOR_CHECKS})
+    wrong = {"genesis_manifest_contract_valid": {"status": "x"},
+             "genesis_full_source_accounting_valid": {"source_records_filtered": 6,
+                                                      "requested_limit": 6},
+             "genesis_collection_provenance_valid": {"page_count": 2},
+             "genesis_promotion_state_valid": {"promotion_eligible": True}}
+    schema = "manifest_version int, status string, full_snapshot boolean, " \
+        "promotion_eligible boolean, promotion_result string, source_endpoint string, " \
+        "requested_year int, requested_limit bigint, page_size bigint, page_count bigint, " \
+        "request_count bigint, retries_used int, source_records_filtered bigint, " \
+        "started_at string, collected_at string, validation map<string,string>"
+    names = [f.split()[0] for f in schema.split(", ")]
+    for gate, change in [(None, {}), *wrong.items()]:
+        row = {**manifest, **change}
+        df = spark.createDataFrame([tuple(row[n] for n in names)], schema).select(
+            F.struct("*").alias("m"), F.struct(F.lit(5).alias("row_count")).alias("o"))
+        checks = runlog.genesis_checks("m", "o", "https://s")
+        got = df.select(*[c.alias(n) for n, c in checks.items()]).first().asDict()
+        assert {n for n, ok in got.items() if not ok} == ({gate} if gate else set())
+
+
 # ---- scans, differences, logs ------------------------------------------------------------------
 @pytest.mark.parametrize("block", [1, 3, 1000])
 @pytest.mark.parametrize("inclusive", [True, False])

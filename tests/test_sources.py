@@ -123,6 +123,21 @@ def test_small_text_functions(spark):
     assert values(versions, registry.software_version(F.col("v"))) == ["v4.5.1", "v3", None]
 
 
+def test_mapping_scores_and_display(spark):
+    from lumbung.operators import linkage
+
+    df = spark.createDataFrame([("Dinas X", "Kota Y", "kota y", "Pengadaan Laptop",
+                                 "Belanja Laptop", "Tender")],
+                               "unit string, kldi string, e string, n string, en string, "
+                               "st string")
+    score = linkage.institution_score([F.col("unit"), F.col("kldi")], F.col("e"))
+    name = linkage.name_score(F.col("n"), F.col("en"), F.col("st"))
+    row = df.select(score.alias("s"), name.alias("n"), numbers.rupiah(F.lit(1234567)).alias(
+        "r"), text.month_label(F.to_date(F.lit("2026-05-01"))).alias("m"),
+        linkage.same_year(F.lit(2026), F.lit(None).cast("int")).alias("y")).first()
+    assert tuple(row) == (1.0, 1.0, "Rp\u00a01.234.567", "May 2026", False)
+
+
 def test_institution_ids(spark):
     def expected(name):
         h = 0

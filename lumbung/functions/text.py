@@ -164,7 +164,7 @@ def _nfkd_bare(values: pd.Series) -> pd.Series:
         if v is None:
             return None
         return "".join(ch for ch in unicodedata.normalize("NFKD", v)
-                       if not "̀" <= ch <= "ͯ")
+                       if not "\u0300" <= ch <= "\u036f")
 
     return values.map(fold)
 

@@ -44,7 +44,7 @@ def read_contact_file(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"unknown contact source filename: {name}")
     rows = spark.read.option("header", True).option("multiLine", True).option(
         "escape", '"').csv(path)
-    bare = [c.lstrip("﻿") for c in rows.columns]
+    bare = [c.lstrip("\ufeff") for c in rows.columns]
     rows = rows.toDF(*bare)
     missing = sorted(set(R.REQUIRED_COLUMNS[R.KNOWN_FILES[name][0]]) - set(bare))
     if missing:

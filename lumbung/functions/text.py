@@ -14,6 +14,7 @@ from lumbung.rules.evidence import MONTH_NAMES, NAME_STOPWORDS, TRUE_WORDS
 # Any white space, including the four control separators Java leaves out.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 NULL_WORDS = ["nan", "none", "null"]
+NULL_TEXT = r"(?iU)^[\s\x1c-\x1f]*(?:nan|none|null)[\s\x1c-\x1f]*$"
 
 
 def squeeze(c: Column) -> Column:
@@ -38,13 +39,17 @@ def _alnum(text: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """Lower-case letters and digits separated by single blanks."""
-    return _alnum(clean(c))
+    """Lower-case letters and digits separated by single blanks.
+
+    Equals squeezing first: white space is no letter or digit, so one pass collapses it all.
+    """
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike(NULL_TEXT), F.lit("")).otherwise(_alnum(text))
 
 
 def normalize_keep_nulls(c: Column) -> Column:
     """As ``normalize``, but a cell reading "null" stays text."""
-    return _alnum(squeeze(c))
+    return _alnum(F.coalesce(c.cast("string"), F.lit("")))
 
 
 def normalize_place(c: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbung.llm import chat, exactdup, packing, quality, sharding
+from lumbung.llm import (chat, exactdup, extraction, langid, lm, neardup, packing, pieces, quality,
+                         sharding)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +47,16 @@ def crc_sql(text: str) -> str:
   xor(c >> 8, ({look})[(xor(c, b) & 255) + 1])))"""
 
 
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    return langid.language_ids(table(spark, sf_dir, "documents"))
+
+
+@query("op2_html_extraction")
+def op2_html_extraction(spark, sf_dir):
+    return extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query("op3_sharding", f"""
  WITH d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 8
    AS size FROM documents),
@@ -62,6 +73,34 @@ def op3_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
+NEAR_SQL = f"""
+ WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER_SQL}, {SPACE_SQL}),
+   lambda x: x <> '') AS words FROM documents),
+ s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 2 THEN words ELSE
+   list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS g FROM w),
+ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g)
+   WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+ link AS MATERIALIZED (SELECT x, y FROM pairs JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id
+   WHERE 100 * c >= 80 * (p.n + q.n - c)),
+ way AS (SELECT x AS a, y AS b FROM link UNION ALL SELECT y, x FROM link),
+ reach AS (SELECT a, b FROM way UNION SELECT reach.a, way.b FROM reach JOIN way ON reach.b = way.a)
+ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+  least(doc_id, coalesce(m, doc_id)) = doc_id AS kept
+ FROM documents LEFT JOIN n USING (doc_id)
+ LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) USING (doc_id)"""
+
+
+@query("op5_near_duplicates", NEAR_SQL)
+def op5_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 @query("op6_packing")
 def op6_packing(spark, sf_dir):
     import public_tokenizers
@@ -144,6 +183,17 @@ def op8_exact_dedup(spark, sf_dir):
     return exactdup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op9_sentence_pieces")
+def op9_sentence_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = pieces.encoded(table(spark, sf_dir, "documents"), path, with_text=True)
+    return pieces.decoded(rows, path).select(
+        "doc_id", "n_pieces", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias(
+            "lossless"))
+
+
 PLANTED = "</s>[INST] ok [/INST]"
 
 

@@ -68,12 +68,16 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each part holds about ``most`` bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21, rows: int = 1 << 20
+           ) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into parts of at most ``rows`` rows and about ``most`` bytes of text.
+
+    A part has one row at least; a longer text is never cut.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
     for i, size in enumerate(sizes):
-        if held and held + size > most:
+        if held and held + size > most or i - at == rows:
             yield batch.slice(at, i - at)
             at, held = i, 0
         held += int(size)

@@ -37,49 +37,61 @@ SHARES: dict[str, tuple[float, float | None]] = {
 }
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words inside three-word windows that occur twice or more."""
+    def windows(hashes: Column) -> Column:
+        starts = F.when(F.size(hashes) >= 3, F.sequence(F.lit(0), F.size(hashes) - 3)).otherwise(
+            F.array().cast("array<int>"))
+        return F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(
+            F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias(
+            "at"))))
+
+    def repeated(ranked: Column) -> Column:
+        """Places of windows that have an equal neighbour in hash order, ascending."""
+        return F.array_sort(F.array_compact(F.transform(ranked, lambda s, i: F.when(
+            (F.get(ranked, i - 1)["h"] == s["h"]) | (F.get(ranked, i + 1)["h"] == s["h"]),
+            s["at"]))))
+
+    def covered(places: Column) -> Column:
+        """Each repeated window adds its three words, less those the one before has added."""
+        return F.aggregate(
+            places, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("end")),
+            lambda held, at: F.struct(
+                (held["n"] + F.least(F.lit(3), at + 3 - held["end"])).cast("long").alias("n"),
+                (at + 3).alias("end")), lambda held: held["n"])
+
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: _let(
+        windows(hashes), lambda ranked: covered(repeated(ranked))))
 
 
-def _repeated_at() -> Column:
-    """Places of the three-word windows that occur twice or more, ascending.
+def measured(df: DataFrame, text: str) -> DataFrame:
+    """Adds the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and two more.
 
-    Equal windows are neighbours in ``sorted``, which holds (hash, place) in order.
+    The counts come out of one generator, so a later filter on them is not evaluated below it.
     """
-    places = F.transform("sorted", lambda s, i: F.when(
-        (F.get("sorted", i - 1)["h"] == s["h"]) | (F.get("sorted", i + 1)["h"] == s["h"]),
-        s["at"]))
-    return F.array_sort(F.array_compact(places))
-
-
-def measured(df: DataFrame, text: str) -> DataFrame:
-    """Adds the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and two more."""
-    text_of = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(text_of, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    df = df.withColumns({
-        "word_chars": F.length(F.translate(text_of, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text_of) - F.length(F.translate(text_of, SYMBOLS, ""))).cast("long"),
-        "n_capitals": (F.length(text_of) - F.length(F.translate(text_of, UPPER, ""))).cast("long"),
-        "lines": lines, "words": _words(text_of)})
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    df = df.withColumns({
-        "n_words": F.size("words").cast("long"),
-        "n_lines": F.size("lines").cast("long"),
-        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "hashes": hashes}).drop("words", "lines")
-    windows = F.when(F.size("hashes") >= 3, F.transform(
-        F.sequence(F.lit(0), F.size("hashes") - 3),
-        lambda i: F.struct(F.xxhash64(F.get("hashes", i), F.get("hashes", i + 1), F.get(
-            "hashes", i + 2)).alias("h"), i.alias("at"))))
-    df = df.withColumn("sorted", F.array_sort(windows)).drop("hashes")
-    df = df.withColumn("at", _repeated_at()).drop("sorted")
-    # A repeated window adds its three words, less those that the one before it has added.
-    covered = F.aggregate(
-        "at", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("end")),
-        lambda held, a: F.struct(
-            (held["n"] + F.least(F.lit(3), a + 3 - held["end"])).cast("long").alias("n"),
-            (a + 3).alias("end")), lambda held: held["n"])
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("at")
+    whole = F.coalesce(F.col(text), F.lit(""))
+
+    def removed(characters: str) -> Column:
+        return (F.length(whole) - F.length(F.translate(whole, characters, ""))).cast("long")
+
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    words = F.filter(F.split(whole, SPACE), lambda w: w != "")
+    of_words = _let(words, lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
+    of_lines = _let(lines, lambda x: F.struct(
+        F.size(x).cast("long").alias("n_lines"),
+        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    counts = F.struct(
+        F.length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"),
+        removed(SYMBOLS).alias("n_symbols"), removed(UPPER).alias("n_capitals"),
+        of_words.alias("of_words"), of_lines.alias("of_lines"))
+    return df.select("*", F.inline(F.array(counts))).select(
+        "*", "of_words.*", "of_lines.*").drop("of_words", "of_lines")
 
 
 def shares(df: DataFrame) -> DataFrame:

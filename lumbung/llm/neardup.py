@@ -6,9 +6,13 @@ each batch, a pair is dropped when the posterior probability that its similarity
 threshold falls below the chosen miss probability. Survivors are confirmed on their full shingle
 sets, built from the texts.
 
-Work inside large buckets stays small. First every member meets only the smallest member of its
-bucket. Members whose component is known to be the same need not be compared; what is left of a
-bucket is compared in tiles of bounded size, and no pair leaves a tile unless it survives.
+Work inside large buckets stays small. First every member meets only the hub of its bucket, the
+member that shares buckets with most others. Members whose component is then known to be the same
+need not be compared; what is left of a bucket is compared in tiles of bounded size. A pair is
+confirmed in the first bucket it shares, inside its tile, and only links leave a tile.
+
+Sets are kept as 64-bit hashes of their shingles; two different shingles of one pair of texts agree
+with probability below 1e-10 even for the longest texts.
 
 With 32 bands of 4 rows a pair of similarity 0.8 shares no band with probability 5e-8.
 
@@ -43,7 +47,7 @@ MINOR_BLOCK, MEMBER_BLOCK = 256, 1024  # sides of a tile
 UNNAMED = 1 << 62  # nodes without doc_id are numbered from here
 
 PROFILE = "doc_id long, n_shingles long, digest binary, signature binary"
-TEXTS = "digest binary, text string"
+SETS = "digest binary, shingles binary"
 PAIRS = "a long, b long"
 
 _rng = np.random.default_rng(SEED)
@@ -108,16 +112,16 @@ def _profiles(width: int):
     return profile
 
 
-def _texts(width: int):
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(width: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in W.slices(whole, "text"):
-                sets = shingle_sets(*W.raw(batch.column("text")), width)
+                found = shingle_sets(*W.raw(batch.column("text")), width)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(list(map(_set_digest, sets)), pa.binary()), batch.column("text")],
-                    ["digest", "text"])
+                    pa.array(list(map(_set_digest, found)), pa.binary()),
+                    pa.array([x.tobytes() for x in found], pa.binary())], ["digest", "shingles"])
 
-    return texts
+    return sets
 
 
 # -- pruning and verification ---------------------------------------------------------------------
@@ -166,51 +170,55 @@ def _pruned(percent: int):
     return prune
 
 
-def _word_shingles(text: str, width: int) -> set:
-    found = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the six spaces
-    n = min(width, len(found))
-    return set(zip(*[found[i:] for i in range(n)], strict=False)) if n else set()
+def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the non-empty sorted sets reach the threshold with ``one``."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    common = np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * common >= percent * (len(one) + sizes - common)
+
 
+def _shingles(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint64)
 
-def _confirmed(width: int, percent: int):
+
+def _confirmed(percent: int):
     """Pairs whose full shingle sets reach the threshold."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for a, b, one, two in zip(*[batch.column(i).to_pylist() for i in range(4)],
-                                      strict=True):
-                if two != last:
-                    last, held = two, _word_shingles(two, width)
-                own = _word_shingles(one, width)
-                common = len(own & held)
-                if 100 * common >= percent * (len(own) + len(held) - common) and common:
-                    out.append((a, b))
+            ok = [bool(linked(_shingles(x), [_shingles(y)], percent)[0]) for x, y in zip(
+                batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+                [batch.column(i).filter(pa.array(ok, pa.bool_())) for i in range(2)], ["a", "b"])
 
     return confirm
 
 
-def _tile(rows: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Surviving pairs of one tile: minor members against members of other components."""
+def _tile(rows: dict[str, np.ndarray], shingles: list[bytes], percent: int
+          ) -> list[tuple[int, int]]:
+    """Links of one tile: minor members against members of other components."""
     minor, full = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
-    out: list[tuple[int, int]] = []
+    band, out = int(rows["band"][0]), []
     for x in minor:
+        mark = rows["signature"][x]
         ok = full[(rows["root"][full] != rows["root"][x]) & (rows["cid"][full] != rows["cid"][x])]
-        if len(ok) == 0:
-            continue
-        at = survivors(np.broadcast_to(rows["signature"][x], (len(ok), HASHES)),
-                       rows["signature"][ok], percent)
+        ok = ok[survivors(np.broadcast_to(mark, (len(ok), HASHES)), rows["signature"][ok],
+                          percent)]
+        if len(ok):
+            same = (rows["signature"][ok] == mark).reshape(len(ok), BANDS, -1).all(axis=2)
+            ok = ok[same.argmax(axis=1) == band]  # elsewhere the pair met in an earlier band
+        if len(ok):
+            ok = ok[linked(_shingles(shingles[x]), [_shingles(shingles[y]) for y in ok], percent)]
         own = int(rows["cid"][x])
-        out.extend((max(own, int(y)), min(own, int(y))) for y in rows["cid"][ok[at]])
+        out.extend((max(own, int(y)), min(own, int(y))) for y in rows["cid"][ok])
     return out
 
 
 def _tiles(percent: int):
     """Goes through rows sorted by tile; a tile is held only while its rows arrive."""
-    names = ["bucket", "i", "j", "side", "cid", "root"]
+    names = ["bucket", "i", "j", "band", "side", "cid", "root"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -218,15 +226,16 @@ def _tiles(percent: int):
         def cut(table: pa.Table, final: bool) -> tuple[list[tuple[int, int]], pa.Table | None]:
             held = {n: table.column(n).to_numpy() for n in names}
             held["signature"] = _matrix(table.column("signature"))
-            new = np.ones(len(table), bool)
+            same = np.ones(len(table), bool)
+            same[0] = False
             for n in ("bucket", "i", "j"):
-                new[1:] &= held[n][1:] == held[n][:-1]
-            new[1:] = ~new[1:]
-            edges = [*np.flatnonzero(new).tolist(), len(table)]
-            out: list[tuple[int, int]] = []
+                same[1:] &= held[n][1:] == held[n][:-1]
+            edges = [*np.flatnonzero(~same).tolist(), len(table)]
             stop = len(edges) - 1 if final else len(edges) - 2
+            out: list[tuple[int, int]] = []
             for a, b in zip(edges[:stop], edges[1:stop + 1], strict=True):
-                out += _tile({n: v[a:b] for n, v in held.items()}, percent)
+                out += _tile({n: v[a:b] for n, v in held.items()},
+                             table.column("shingles").slice(a, b - a).to_pylist(), percent)
             return out, None if final else table.slice(edges[-2])
 
         def packed(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -258,26 +267,42 @@ def _prune_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
         "a", "b", "x", "y").mapInArrow(_pruned(percent), PAIRS)
 
 
-def _confirm_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
-                   percent: int) -> DataFrame:
-    """Pairs confirmed on the full sets; only texts of classes that are met are moved."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs confirmed on their full sets."""
+    return pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a"
+                      ).join(
+        sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b").select(
+        "a", "b", "x", "y").mapInArrow(_confirmed(percent), PAIRS).distinct()
+
+
+def _met_sets(members: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """Shingle sets of classes that share a bucket; other texts are read but not moved."""
+    ids = members.select("cid").distinct()
     near = likely(docs, "doc_id", ids, "met").where("met or doc_id is null").select("text")
-    met = likely(classes.select("cid", "digest"), "cid", ids, "met").where("met").drop("met")
-    texts = near.mapInArrow(_texts(width), TEXTS).groupBy("digest").agg(
-        F.min("text").alias("text")).join(met, "digest").select("cid", "text")
-    texts = kept(texts)
-    return pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a").join(
-        texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select(
-        "a", "b", "x", "y").mapInArrow(_confirmed(width, percent), PAIRS).distinct()
-
-
-def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int
-               ) -> DataFrame:
-    """Surviving pairs inside buckets whose other members lie in several components."""
+    met = classes.select("cid", "digest").join(ids, "cid", "left_semi")
+    return near.mapInArrow(_sets(width), SETS).groupBy("digest").agg(
+        F.any_value("shingles").alias("shingles")).join(met, "digest").select("cid", "shingles")
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(bucket, band, cid, hub) of every class in a bucket that it shares."""
+    bands = F.array(*[F.xxhash64(F.substring("signature", 1 + 4 * ROWS * b, 4 * ROWS), F.lit(b))
+                      for b in range(BANDS)])
+    banded = classes.select("cid", F.posexplode(bands).alias("band", "bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = kept(banded.join(sizes, "bucket"))
+    weights = shared.groupBy("cid").agg(F.sum("n").alias("weight"))
+    hubs = shared.join(weights, "cid").groupBy("bucket").agg(F.max_by(
+        "cid", F.struct("weight", -F.col("cid"))).alias("hub"))
+    return shared.drop("n").join(hubs, "bucket")
+
+
+def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame,
+               percent: int) -> DataFrame:
+    """Links inside buckets whose members, besides the hub, lie in several components."""
     rooted = members.where("cid <> hub").join(
         labels.select(F.col("node").alias("cid"), F.col("component").alias("root")), "cid",
-        "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
+        "left").select("bucket", "band", "cid", F.coalesce("root", "cid").alias("root"))
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("members"),
@@ -287,15 +312,17 @@ def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, percen
     met = rooted.join(mixed.select("bucket", "main", wide.alias("wide"), high.alias("high")),
                       "bucket")
     own = F.col("cid")
-    member = met.select("bucket", "cid", "root", F.lit(1).alias("side"), F.explode(F.sequence(
-        F.lit(0), F.col("high") - 1)).alias("i"), F.pmod(F.xxhash64(own), "wide").cast(
-        "int").alias("j"))
-    minor = met.where("root <> main").select("bucket", "cid", "root", F.lit(0).alias("side"), F.pmod(
-        F.xxhash64(own), "high").cast("int").alias("i"), F.explode(F.sequence(
-            F.lit(0), F.col("wide") - 1)).alias("j"))
+    member = met.select("bucket", "band", "cid", "root", F.lit(1).alias("side"), F.explode(
+        F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), F.pmod(
+        F.xxhash64(own), "wide").cast("int").alias("j"))
+    minor = met.where("root <> main").select(
+        "bucket", "band", "cid", "root", F.lit(0).alias("side"), F.pmod(
+            F.xxhash64(own), "high").cast("int").alias("i"), F.explode(F.sequence(
+                F.lit(0), F.col("wide") - 1)).alias("j"))
     rows = member.unionByName(minor.select(*member.columns))
-    marks = classes.select("cid", "signature")
-    tiles = rows.join(marks, "cid").select("bucket", "i", "j", "side", "cid", "root", "signature")
+    held = classes.select("cid", "signature").join(sets, "cid")
+    tiles = rows.join(held, "cid").select("bucket", "i", "j", "band", "side", "cid", "root",
+                                          "signature", "shingles")
     return tiles.repartition(partitions(members.sparkSession), "bucket", "i", "j"
                              ).sortWithinPartitions("bucket", "i", "j").mapInArrow(
         _tiles(percent), PAIRS).distinct()
@@ -315,19 +342,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = kept(profiles.where("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("cid"), F.any_value("signature").alias("signature")).withColumn(
         "cid", F.coalesce("cid", unnamed)))
-    bands = F.array(*[F.xxhash64(F.substring("signature", 1 + 4 * ROWS * b, 4 * ROWS), F.lit(b))
-                      for b in range(BANDS)])
-    banded = classes.select("cid", F.explode(bands).alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")
-                                        ).where("hub <> top")
-    members = kept(banded.join(hubs.drop("top"), "bucket"))
-    spokes = members.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias(
-        "b")).distinct()
-    first = kept(_confirm_pairs(kept(_prune_pairs(spokes, classes, percent)), docs, classes, width,
-                                percent))
+    members = kept(_members(classes))
+    sets = kept(_met_sets(members, docs, classes, width))
+    spokes = members.where("cid <> hub").select(
+        F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
+    first = _confirm_pairs(_prune_pairs(spokes, classes, percent), sets, percent)
     labels = components(first)
-    more = kept(_left_over(members, labels, classes, percent))
-    second = _confirm_pairs(more, docs, classes, width, percent)
+    second = _left_over(members, labels, classes, sets, percent)
     found = components(labels.where("node <> component").select(
         F.col("node").alias("a"), F.col("component").alias("b")).unionAll(second))
     by_digest = classes.select("digest", "cid").join(

@@ -33,8 +33,9 @@ from lumbung.llm.common import pick
 
 SHARPNESS = 1.0  # weight of a piece: 1 / (its rank + 1) to this power
 SEED = 20240229
-HELD_PARTS = 120_000  # parts whose lattices a worker keeps
-CELLS = 1 << 21  # lattice cells that are filtered at once
+HELD_PARTS = 60_000  # parts whose lattices a worker keeps
+CELLS = 1 << 20  # lattice cells that are filtered at once
+PART_BYTES = 1 << 20  # text that is walked at once
 MARK = "▁"
 
 
@@ -277,41 +278,66 @@ def sampler(path: str, sharpness: float = SHARPNESS) -> Sampler:
     return Sampler(path, sharpness)
 
 
-def _encoded(path: str, seed: int, sharpness: float, more: list[str]):
+def _lossless(spelling: list[bytes], ids: np.ndarray, ends: np.ndarray, data: np.ndarray,
+              offsets: np.ndarray) -> np.ndarray:
+    """Which texts their ids spell, byte for byte."""
+    spelled, at = _bytes_of(spelling, ids, ends)
+    same = np.diff(at) == np.diff(offsets)
+    if same.all():
+        wrong = np.flatnonzero(spelled != data)
+        same[np.searchsorted(offsets, wrong, side="right") - 1] = False
+        return same
+    return np.array([spelled[at[i]:at[i + 1]].tobytes() == data[offsets[i]:offsets[i + 1]].tobytes()
+                     for i in range(len(same))])
+
+
+def _encoded(path: str, seed: int, sharpness: float, checked: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in W.slices(whole, "text"):
+            for batch in W.slices(whole, "text", most=PART_BYTES):
                 keys = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-                ids, ends = sampler(path, sharpness).encode(
-                    *W.raw(batch.column("text")), keys.astype(np.int64).view(np.uint64), seed)
+                data, offsets = W.raw(batch.column("text"))
+                own = sampler(path, sharpness)
+                ids, ends = own.encode(data, offsets, keys.astype(np.int64).view(np.uint64), seed)
+                checks = [pa.array(_lossless(own.vocabulary.spelling, ids, ends, data, offsets))
+                          ] if checked else []
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)),
                                              pa.array(ids.astype(np.int32))),
-                    *[batch.column(c) for c in more]], ["doc_id", "n_pieces", "ids", *more])
+                    *checks], ["doc_id", "n_pieces", "ids", *(["lossless"] if checked else [])])
 
     return encode
 
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", seed: int = SEED,
-            sharpness: float = SHARPNESS, with_text: bool = False) -> DataFrame:
-    """doc_id, n_pieces and ids of one sampled segmentation of every text, perhaps with it."""
+            sharpness: float = SHARPNESS, checked: bool = False) -> DataFrame:
+    """doc_id, n_pieces and ids of one sampled segmentation of every text.
+
+    With ``checked`` also whether the ids, decoded, are the text again byte for byte.
+    """
     rows = pick(docs, doc_id=key, text=text)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _encoded(path, seed, sharpness, ["text"] if with_text else []),
-        "doc_id long, n_pieces long, ids array<int>" + (", text string" if with_text else ""))
+        _encoded(path, seed, sharpness, checked),
+        "doc_id long, n_pieces long, ids array<int>" + (", lossless boolean" if checked else ""))
 
 
-def _spelled(spelling: list[bytes], lists: pa.ListArray) -> pa.Array:
-    """The texts that lists of ids spell, all at once."""
+def _bytes_of(spelling: list[bytes], ids: np.ndarray, ends: np.ndarray
+              ) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that the ids spell, and the offset of each text in them."""
     flat = np.frombuffer(b"".join(spelling), np.uint8)
     sizes = np.fromiter(map(len, spelling), np.int64, len(spelling))
     starts = np.cumsum(sizes) - sizes
-    ids = lists.flatten().to_numpy().astype(np.int64)
-    data = W.spread(flat, starts[ids], sizes[ids])
+    return W.spread(flat, starts[ids], sizes[ids]), np.concatenate(
+        [[0], np.cumsum(sizes[ids])])[ends]
+
+
+def _spelled(spelling: list[bytes], lists: pa.ListArray) -> pa.Array:
+    """The texts that lists of ids spell, all at once."""
     counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(
         zero_copy_only=False).astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+    data, ends = _bytes_of(spelling, lists.flatten().to_numpy().astype(np.int64),
+                           np.concatenate([[0], np.cumsum(counts)]))
     texts = pa.Array.from_buffers(pa.large_binary(), len(lists), [
         None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
     return pc.if_else(lists.is_valid(), texts.cast(pa.large_string()).cast(pa.string()), None)

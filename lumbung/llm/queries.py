@@ -187,11 +187,8 @@ def op8_exact_dedup(spark, sf_dir):
 def op9_sentence_pieces(spark, sf_dir):
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = pieces.encoded(table(spark, sf_dir, "documents"), path, with_text=True)
-    return pieces.decoded(rows, path).select(
-        "doc_id", "n_pieces", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias(
-            "lossless"))
+    return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(
+        "piece_bpe_32k.model"), checked=True)
 
 
 PLANTED = "</s>[INST] ok [/INST]"

@@ -38,19 +38,15 @@ def digest_of(*parts: Column) -> Column:
 def dataset_digest(df: DataFrame, columns: list[str], fanout: int = 4096) -> DataFrame:
     """One order-free digest of a whole table.
 
-    Equal rows are counted first, row digests are folded per bucket, then the (bounded) bucket
-    digests are folded once. A bucket digest adds up four 60-bit slices of the row digests with
-    multiplicity, so no list of rows is ever built.
+    Row digests are summed per bucket before the shuffle, then the (bounded) bucket sums are folded
+    once. A bucket adds up four 60-bit slices of the row digests, so equal rows count as often as
+    they occur and no list of rows is ever built.
     """
-    rows = df.select(row_digest(df, columns).alias("h")).groupBy("h").agg(
-        F.count("*").alias("n"))
-    slices = [
-        F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
-              * F.col("n").cast("decimal(18,0)")).alias(f"s{i}")
-        for i in range(4)
-    ]
+    rows = df.select(row_digest(df, columns).alias("h"))
+    slices = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(
+        f"s{i}") for i in range(4)]
     bucket = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % fanout
-    buckets = rows.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), *slices)
+    buckets = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), *slices)
     text = F.concat_ws(":", "bucket", "n", *[f"s{i}" for i in range(4)])
     return buckets.select(F.struct("bucket", text.alias("text")).alias("b"), "n").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),

@@ -14,8 +14,7 @@ from lumbung.rules import linkage as R
 
 TEXTS = ["package_name", "institution", "satker", "location", "category", "vendor_hint",
          "other_metadata"]
-BLOCK_SCHEMA = """plan_id string, remaining bigint, hard_institution boolean,
-hard_satker boolean, hard_package boolean, hard_method boolean,
+BLOCK_SCHEMA = """plan_id string, remaining bigint,
 best array<struct<primary_count:int,total_count:int,confidence:double,candidate_id:string,
 signals:array<string>,conflicts:array<string>>>"""
 
@@ -52,16 +51,6 @@ class TextPairs:
         return known[codes] == 1
 
 
-    def any_below(self, row: int, columns: np.ndarray, threshold: float) -> bool:
-        """Whether some of ``columns`` is less similar; the bound often tells at once."""
-        if not len(columns):
-            return False
-        codes = np.unique(self.right_code[columns])
-        known = self.verdict[self.left_code[row]]
-        return bool((known[codes] == 2).any()) or not self.reaches(
-            row, columns, threshold).all()
-
-
 def _major(family: str, others: np.ndarray) -> np.ndarray:
     """Method families that cannot belong to one procurement."""
     given = (others != "") & (others != family)
@@ -81,12 +70,9 @@ def _budget_score(a: float, b: float) -> float:
     return max(0.0, 1.0 - abs(a - b) / max(abs(a), abs(b), 1.0))
 
 
-def score_block(plans: pd.DataFrame, evidence: pd.DataFrame, keep: int | None = 2,
-                flags: bool = True) -> pd.DataFrame:
-    """Per plan: its best ``keep`` candidates (None: all), their number, hard conflicts met.
-
-    ``flags`` says whether the hard conflicts met are wanted; the bound settles most of them.
-    """
+def score_block(plans: pd.DataFrame, evidence: pd.DataFrame, keep: int | None = 2
+                ) -> pd.DataFrame:
+    """Per plan with a candidate: its best ``keep`` ones (None: all) and their number."""
     pairs = {f: TextPairs(plans[f"n_{f}"], evidence[f"n_{f}"], f in (
         "package_name", "institution", "satker")) for f in TEXTS}
     given_p = {f: plans[f"has_{f}"].to_numpy(dtype=bool) for f in TEXTS}
@@ -101,21 +87,11 @@ def score_block(plans: pd.DataFrame, evidence: pd.DataFrame, keep: int | None =
               ("package_name", R.CONFLICT_NAME))
     out = []
     for i, plan_id in enumerate(plans["plan_id"]):
-        clash = _major(way_p[i], way_e)
-        hard = {"method": bool(clash.any())}
-        alive = ~clash
+        alive = ~_major(way_p[i], way_e)
         for field, limit in limits:
-            if not given_p[field][i]:
-                hard[field] = False
-                continue
-            given = given_e[field]
-            columns = everything[alive & given]
-            similar = pairs[field].reaches(i, columns, limit)
-            conflict = bool((~similar).any())
-            if flags and not conflict:
-                conflict = pairs[field].any_below(i, everything[~alive & given], limit)
-            hard[field] = conflict
-            alive[columns[~similar]] = False
+            if given_p[field][i]:
+                columns = everything[alive & given_e[field]]
+                alive[columns[~pairs[field].reaches(i, columns, limit)]] = False
         candidates = []
         for j in everything[alive]:
             metrics = {f: pairs[f].score(i, j) for f in TEXTS}
@@ -154,14 +130,14 @@ def score_block(plans: pd.DataFrame, evidence: pd.DataFrame, keep: int | None =
                               metrics["other_metadata"]]) / 8, 6)
             candidates.append((-primary, -len(signals), -mean, ids[j], sorted(signals),
                                sorted(conflicts)))
+        if not candidates:
+            continue
         candidates.sort(key=lambda c: c[:4])
-        out.append((plan_id, len(candidates), hard["institution"], hard["satker"],
-                    hard["package_name"], hard["method"],
+        out.append((plan_id, len(candidates),
                     [dict(primary_count=-c[0], total_count=-c[1], confidence=-c[2],
                           candidate_id=c[3], signals=c[4], conflicts=c[5])
                      for c in candidates[:keep]]))
-    return pd.DataFrame(out, columns=["plan_id", "remaining", "hard_institution", "hard_satker",
-                                      "hard_package", "hard_method", "best"])
+    return pd.DataFrame(out, columns=["plan_id", "remaining", "best"])
 
 
 def similar_pairs(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:

@@ -38,12 +38,15 @@ def gestalt(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def letter_counts(texts) -> np.ndarray:
-    """How often each character of the normal form's alphabet occurs, one row per text."""
-    counts = np.zeros((len(texts), len(ALPHABET)), dtype=np.int32)
+    """How often each character of the normal form's alphabet occurs, one row per text.
+
+    All other characters share a last column, which can only raise the bound made from it.
+    """
+    counts = np.zeros((len(texts), len(ALPHABET) + 1), dtype=np.int32)
     index = {ch: i for i, ch in enumerate(ALPHABET)}
     for row, text in enumerate(texts):
         for ch in text:
-            counts[row, index[ch]] += 1
+            counts[row, index.get(ch, len(ALPHABET))] += 1
     return counts
 
 

@@ -1,14 +1,10 @@
 """Plan-to-evidence linkage: evidence before score, hard conflicts first, ties to a person.
 
-By definition every plan is compared with every evidence row. Two exact strategies give the
-same decisions without ever emitting those pairs:
-
-* ``direct``: the evidence is small (its size is counted first) and travels to every task; a task
-  scores its plans against all of it and emits one row per plan.
-* ``blocked``: a pair whose institutions are both given and less than 0.65 similar is rejected
-  anyway, so plans only meet evidence of a similar (or missing) institution. Distinct institution
-  names are compared once, in tiles pruned by text length. Large institutions are cut into
-  (plan part x evidence part) tiles; every tile emits at most the two best candidates per plan.
+By definition every plan is compared with every evidence row. A pair whose institutions are both
+given and less than 0.65 similar is rejected anyway, so plans only meet evidence of a similar (or
+missing) institution. Distinct institution names are compared once, in tiles pruned by text length.
+Plans and evidence meet in bounded (plan part x evidence part) tiles, where equal package names lie
+together; a tile emits at most the two best candidates per plan, never pairs.
 
 Which hard conflicts a plan without any candidate met is counted on distinct values, again without
 pairs, because only "is there a dissimilar one" matters.
@@ -19,24 +15,27 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbung.functions.digests import dataset_digest, digest_of, row_digest
 from lumbung.functions.pairing import BLOCK_SCHEMA, TEXTS, score_block, similar_pairs
 from lumbung.functions.ranking import one_per_group
-from lumbung.functions.text import clean, clean_inner, location_parts, method_family, normalize
+from lumbung.functions.similarity import gestalt
+from lumbung.functions.text import (clean, clean_inner, location_parts, method_family, normalize,
+                                    normalize_name)
 from lumbung.functions.web import plan_lookup_url, tender_lookup_url
 from lumbung.operators.status import procurement_status
 from lumbung.rules import linkage as R
 from lumbung.rules.evidence import PLANNING_ONLY
 from lumbung.session import cut_lineage
 
-DIRECT_LIMIT = 2_000
 TILE_ROWS = 2_000
 ACCEPTED = ["PROBABLE_MATCH", "CONFIRMED_MATCH"]
 IDENTITY_FIELDS = ["package_name", "institution", "satker", "year", "budget",
                    "procurement_method", "location", "category"]
+HARD_TEXTS = [("institution", R.CONFLICT_INSTITUTION), ("satker", R.CONFLICT_SATKER),
+              ("package_name", R.CONFLICT_NAME)]
 
 
 def _prepare(df: DataFrame, key: str) -> DataFrame:
@@ -62,38 +61,26 @@ def distinct_evidence(evidence: DataFrame) -> DataFrame:
     return one_per_group(keyed, ["candidate_id"], F.col("_order")).drop("_order")
 
 
-# ---- direct ----------------------------------------------------------------------------------
-def _score_direct(plans: DataFrame, evidence: DataFrame, keep: int | None) -> DataFrame:
-    rows = evidence.toPandas()  # counted by the caller: at most the direct limit
-    shared = plans.sparkSession.sparkContext.broadcast(rows)
-
-    def score(batches):
-        for batch in batches:
-            yield score_block(batch, shared.value, keep, flags=keep is not None)
-
-    # Scoring is processor-bound: spread it over all cores, equal names together so that a task
-    # compares few distinct names. The plan id in the range key splits a name held by many plans.
-    spread = plans.repartitionByRange(
-        2 * plans.sparkSession.sparkContext.defaultParallelism, "n_package_name", "plan_id")
-    return spread.mapInPandas(score, BLOCK_SCHEMA)
+# ---- blocked ---------------------------------------------------------------------------------
+BANDS_PER_E = 2  # length bands per factor e
 
 
-# ---- blocked ---------------------------------------------------------------------------------
 def _length_band(length: Column) -> Column:
-    return F.floor(F.ln(F.greatest(length, F.lit(1))) * 4).cast("int")
+    return F.floor(F.ln(F.greatest(length, F.lit(1))) * BANDS_PER_E).cast("int")
 
 
 def similar_values(left: DataFrame, right: DataFrame, threshold: float,
                    tile: int = TILE_ROWS) -> DataFrame:
-    """(left_text, right_text) of distinct texts reaching the threshold; ``text`` on both sides.
+    """(left_text, right_text) of distinct normal forms reaching the threshold; both have ``text``.
 
     Lengths bound the ratio, so a text only visits the length bands within reach; each band is cut
     into parts of about ``tile`` texts. Rows are replicated per tile, pairs are never emitted.
     """
-    reach = math.ceil(4 * math.log((2 - threshold) / threshold)) + 1
+    reach = math.floor(BANDS_PER_E * math.log((2 - threshold) / threshold)) + 1
 
     def spread(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        banded = df.selectExpr("text as text").where("text <> ''").distinct().withColumn(
+        banded = df.select(normalize(F.col("text")).alias("text")).where(
+            "text <> ''").distinct().withColumn(
             "band", _length_band(F.length("text")))
         parts = banded.groupBy("band").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
         placed = banded.join(parts, "band").selectExpr(
@@ -128,7 +115,7 @@ def _institution(df: DataFrame) -> Column:
     return F.when(F.col("has_institution"), F.col("n_institution"))
 
 
-def _score_blocked(plans: DataFrame, evidence: DataFrame, similar: DataFrame,
+def _score_tiles(plans: DataFrame, evidence: DataFrame, similar: DataFrame,
                    keep: int | None, tile: int) -> DataFrame:
     # A large institution is a block of its own; small ones share blocks of about a tile of rows,
     # which costs nothing because scoring applies the institution rule anyway. Two further blocks:
@@ -155,30 +142,35 @@ def _score_blocked(plans: DataFrame, evidence: DataFrame, similar: DataFrame,
         *plans.columns, "block").unionByName(
         named.select(*plans.columns, unnamed.alias("block"))).unionByName(
         p.where(F.col("own").isNull()).select(*plans.columns, anyone.alias("block")))
-    sizes = visits.groupBy("block").agg(F.count("*").alias("plan_rows")).join(
-        blocks, "block").select(
-        "block", F.ceil(F.col("plan_rows") / tile).cast("int").alias("p_parts"),
-        F.ceil(F.col("rows") / tile).cast("int").alias("e_parts"))
-    left = visits.join(sizes, "block").selectExpr(
-        "*", "cast(pmod(xxhash64(plan_id), p_parts) as int) as p_part",
-        "explode(sequence(0, e_parts - 1)) as e_part").drop("p_parts", "e_parts")
-    right = e.join(sizes, "block").selectExpr(
-        "*", "cast(pmod(xxhash64(candidate_id), e_parts) as int) as e_part",
-        "explode(sequence(0, p_parts - 1)) as p_part").drop("p_parts", "e_parts")
+    left, right = _parts(visits, "plan_id", "p", tile), _parts(e, "candidate_id", "e", tile)
+    sizes = _part_counts(visits, "p_parts", tile).join(_part_counts(e, "e_parts", tile), "block")
+    left = left.join(sizes, "block").selectExpr(
+        "*", "explode(sequence(0, e_parts - 1)) as e_part").drop("p_parts", "e_parts")
+    right = right.join(sizes, "block").selectExpr(
+        "*", "explode(sequence(0, p_parts - 1)) as p_part").drop("p_parts", "e_parts")
     keys = ["block", "p_part", "e_part"]
 
     def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return _no_rows()
-        found = score_block(x, y, keep, flags=False)
-        return found[found["remaining"] > 0]
+            return pd.DataFrame(columns=["plan_id", "remaining", "best"])
+        return score_block(x, y, keep)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, BLOCK_SCHEMA)
 
 
-def _no_rows() -> pd.DataFrame:
-    return pd.DataFrame(columns=["plan_id", "remaining", "hard_institution", "hard_satker",
-                                 "hard_package", "hard_method", "best"])
+def _part_counts(rows: DataFrame, name: str, tile: int) -> DataFrame:
+    return rows.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+
+
+def _parts(rows: DataFrame, key: str, side: str, tile: int) -> DataFrame:
+    """Rows with their part of the block: equal package names together, frequent ones split."""
+    names = rows.groupBy("block", "n_package_name").agg(
+        F.ceil(F.count("*") / tile).cast("int").alias("_splits"))
+    split = F.pmod(F.xxhash64(key), F.col("_splits"))
+    return rows.join(names, ["block", "n_package_name"]).join(
+        _part_counts(rows, "_parts", tile), "block").withColumn(
+        f"{side}_part", F.pmod(F.xxhash64("n_package_name", split), F.col("_parts")).cast(
+            "int")).drop("_splits", "_parts")
 
 
 def _best_of_tiles(tiles: DataFrame) -> DataFrame:
@@ -240,8 +232,6 @@ def _hard_flags(plans: DataFrame, evidence: DataFrame, similar_institutions: Dat
         F.array_distinct(F.array_compact(F.array("a", "b", "c", "d", "e")))).scalar()
     mine = plans.where("has_package_name").select(
         F.col("n_package_name").alias("text")).distinct().withColumn("_probe", F.explode(probes))
-    from lumbung.functions.similarity import gestalt
-
     lowest = mine.withColumn("_s", gestalt(F.col("text"), F.col("_probe"))).groupBy("text").agg(
         F.min("_s").alias("lowest"))
     settled = lowest.where(F.col("lowest") < R.CONFLICT_NAME).select("text")
@@ -264,21 +254,23 @@ def _hard_flags(plans: DataFrame, evidence: DataFrame, similar_institutions: Dat
                       F.coalesce(method, F.lit(False)).alias("hard_method"))
 
 
-def score_plans(plans: DataFrame, evidence: DataFrame, strategy: str = "auto",
-                direct_limit: int = DIRECT_LIMIT, tile: int = TILE_ROWS) -> DataFrame:
+def _sides(plans: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides in normal form, written out: every step below reads them again."""
+    return (cut_lineage(_prepare(plans, "plan_id")),
+            cut_lineage(_prepare(distinct_evidence(evidence), "candidate_id")))
+
+
+def _similar_institutions(p: DataFrame, e: DataFrame, tile: int) -> DataFrame:
+    return cut_lineage(similar_values(p.select(F.col("n_institution").alias("text")),
+                                      e.select(F.col("n_institution").alias("text")),
+                                      R.CONFLICT_INSTITUTION, tile))
+
+
+def score_plans(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
     """Per plan: two best candidates, number of candidates, hard conflicts met."""
-    e = _prepare(distinct_evidence(evidence), "candidate_id")
-    p = _prepare(plans, "plan_id")
-    if strategy == "auto":
-        small = e.select("candidate_id").limit(direct_limit + 1).count() <= direct_limit
-        strategy = "direct" if small else "blocked"
-    if strategy == "direct":
-        return _score_direct(p, e, 2)
-    # Written out once each: both are read several times below and their rows are few.
-    similar = cut_lineage(similar_values(p.select(F.col("n_institution").alias("text")),
-                                         e.select(F.col("n_institution").alias("text")),
-                                         R.CONFLICT_INSTITUTION, tile))
-    best = cut_lineage(_best_of_tiles(cut_lineage(_score_blocked(p, e, similar, 2, tile))))
+    p, e = _sides(plans, evidence)
+    similar = _similar_institutions(p, e, tile)
+    best = cut_lineage(_best_of_tiles(cut_lineage(_score_tiles(p, e, similar, 2, tile))))
     rejected = p.join(best, "plan_id", "left_anti")
     flags = _hard_flags(rejected, e, similar, tile)
     no = F.lit(False)
@@ -290,24 +282,92 @@ def score_plans(plans: DataFrame, evidence: DataFrame, strategy: str = "auto",
     return alive.unionByName(none)
 
 
-def surviving_candidates(plans: DataFrame, evidence: DataFrame, strategy: str = "auto",
-                         direct_limit: int = DIRECT_LIMIT, tile: int = TILE_ROWS) -> DataFrame:
+def surviving_candidates(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS
+                         ) -> DataFrame:
     """Every (plan, candidate) without a hard conflict, with signals and soft conflicts."""
-    e = _prepare(distinct_evidence(evidence), "candidate_id")
-    p = _prepare(plans, "plan_id")
-    if strategy == "auto":
-        small = e.select("candidate_id").limit(direct_limit + 1).count() <= direct_limit
-        strategy = "direct" if small else "blocked"
-    if strategy == "direct":
-        tiles = _score_direct(p, e, None)
-    else:
-        similar = cut_lineage(similar_values(
-            p.select(F.col("n_institution").alias("text")),
-            e.select(F.col("n_institution").alias("text")), R.CONFLICT_INSTITUTION, tile))
-        tiles = _score_blocked(p, e, similar, None, tile)
+    p, e = _sides(plans, evidence)
+    tiles = _score_tiles(p, e, _similar_institutions(p, e, tile), None, tile)
     return tiles.select("plan_id", F.explode("best").alias("c")).select("plan_id", "c.*")
 
 
+def _near_counts(plans: DataFrame, evidence: DataFrame, field: str, threshold: float, tile: int
+                 ) -> DataFrame:
+    """(text, near): for each given plan text, the evidence rows whose given text is similar."""
+    given = evidence.where(f"has_{field}").groupBy(F.col(f"n_{field}").alias("right_text")).agg(
+        F.count("*").alias("n"))
+    similar = similar_values(plans.where(f"has_{field}").select(F.col(f"n_{field}").alias("text")),
+                             given.select(F.col("right_text").alias("text")), threshold, tile)
+    return similar.join(given, "right_text").groupBy(F.col("left_text").alias("text")).agg(
+        F.sum("n").alias("near"))
+
+
+def rejected_counts(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
+    """Per plan, how many evidence rows it has each kind of hard conflict with.
+
+    Counted on distinct values: given evidence rows less the similar ones.
+    """
+    p, e = _sides(plans, evidence)
+    out = p.select("plan_id", "family", *[c for f, _ in HARD_TEXTS for c in (
+        f"n_{f}", f"has_{f}")])
+    for field, threshold in HARD_TEXTS:
+        near = _near_counts(p, e, field, threshold, tile)
+        total = e.agg(F.count_if(F.col(f"has_{field}"))).scalar()
+        out = out.join(near.withColumnRenamed("text", f"n_{field}"), f"n_{field}", "left")
+        out = out.withColumn(f"{field}_conflicts", F.when(
+            F.col(f"has_{field}"), total - F.coalesce("near", F.lit(0))).otherwise(0)).drop("near")
+    family = F.col("family")
+    seen = e.agg(F.struct(
+        F.count_if(family == "E_PURCHASING").alias("ep"), F.count_if(family == "TENDER").alias("t"),
+        F.count_if(family == "NON_TENDER").alias("nt"),
+        F.count_if((family != "") & (family != "E_PURCHASING")).alias("other"))).scalar()
+    method = (F.when(family == "", 0).when(family == "E_PURCHASING", seen["other"])
+              .when(family == "TENDER", seen["ep"] + seen["nt"])
+              .when(family == "NON_TENDER", seen["ep"] + seen["t"]).otherwise(seen["ep"]))
+    return out.select("plan_id", *[f"{f}_conflicts" for f, _ in HARD_TEXTS],
+                      method.cast("long").alias("method_conflicts"))
+
+
+def candidate_audit(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
+    """One row per surviving candidate, in rank order: scores, signals, conflicts, reference.
+
+    Conflicts have a type, a severity (survivors only have soft ones) and the two values.
+    """
+    survivors = surviving_candidates(plans, evidence, tile)
+    own = plans.select("plan_id", F.struct(
+        *[c for c in IDENTITY_FIELDS if c in plans.columns]).alias("p"))
+    first = distinct_evidence(evidence)
+    refs = [c for c in ("source_url", "source_file", "source_record_id") if c in first.columns]
+    other = first.select(
+        "candidate_id", F.struct(*[c for c in IDENTITY_FIELDS if c in first.columns]).alias("e"),
+        F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in refs], F.lit("")).alias(
+            "evidence_reference"))
+    joined = survivors.join(own, "plan_id").join(other, "candidate_id")
+
+    def differ(column: str) -> Column:
+        return F.concat(F.col(f"p.{column}").cast("string"), F.lit(" != "),
+                        F.col(f"e.{column}").cast("string"))
+
+    details = {"YEAR_CONFLICT": differ("year"), "BUDGET_DEVIATION": differ("budget"),
+               "LOCATION_DIFFERENCE": differ("location"), "CATEGORY_DIFFERENCE": differ("category"),
+               "MINOR_PROCUREMENT_METHOD_DIFFERENCE": F.concat(
+                   method_family(F.col("p.procurement_method")), F.lit(" != "),
+                   method_family(F.col("e.procurement_method")))}
+
+    def detail(kind: Column) -> Column:
+        shown = F.lit("other source metadata differs")
+        for name, text in details.items():
+            shown = F.when(kind == name, text).otherwise(shown)
+        return shown
+
+    order = Window.partitionBy("plan_id").orderBy(
+        F.desc("primary_count"), F.desc("total_count"), F.desc("confidence"), "candidate_id")
+    return joined.select(
+        "plan_id", F.row_number().over(order).alias("rank"), "candidate_id", "primary_count",
+        "total_count", "confidence", "signals", F.transform("conflicts", lambda k: F.struct(
+            k.alias("type"), F.lit("SOFT").alias("severity"), detail(k).alias("detail"))).alias(
+            "conflicts"), "evidence_reference")
+
+
 # ---- decision --------------------------------------------------------------------------------
 def decide(scores: DataFrame, evidence_exists: bool = True) -> DataFrame:
     """The status ladder over the two best candidates and the hard conflicts met."""
@@ -352,8 +412,7 @@ def decide(scores: DataFrame, evidence_exists: bool = True) -> DataFrame:
         (F.col("identity_status") == "NEEDS_MANUAL_REVIEW").alias("manual_review_required"))
 
 
-def resolve_identity(plans: DataFrame, evidence: DataFrame, strategy: str = "auto",
-                     direct_limit: int = DIRECT_LIMIT, tile: int = TILE_ROWS) -> DataFrame:
+def resolve_identity(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
     """One identity decision per plan."""
     if evidence.isEmpty():
         empty = plans.select("plan_id", F.lit(0).cast("long").alias("remaining"), *[
@@ -362,7 +421,7 @@ def resolve_identity(plans: DataFrame, evidence: DataFrame, strategy: str = "aut
             F.from_json(F.lit("[]"), BLOCK_SCHEMA[BLOCK_SCHEMA.index("array<struct"):]).alias(
                 "best"))
         return decide(empty, evidence_exists=False)
-    return decide(score_plans(plans, evidence, strategy, direct_limit, tile))
+    return decide(score_plans(plans, evidence, tile))
 
 
 def audit_records(decisions: DataFrame, evidence: DataFrame, dataset_version: str) -> DataFrame:
@@ -517,8 +576,6 @@ def manual_queue(crosscheck: DataFrame) -> DataFrame:
 # ---- comparison helpers of the mapping -------------------------------------------------------
 def institution_score(names: list[Column], evidence_name: Column) -> Column:
     """Best similarity over the plan's name forms; equal normal forms score 1."""
-    from lumbung.functions.similarity import gestalt
-    from lumbung.functions.text import normalize_name
 
     other = normalize_name(evidence_name)
     scores = [F.when((clean(n) == "") | (clean(evidence_name) == ""), 0.0)
@@ -528,8 +585,6 @@ def institution_score(names: list[Column], evidence_name: Column) -> Column:
 
 
 def name_score(plan_name: Column, evidence_name: Column, stage: Column) -> Column:
-    from lumbung.functions.similarity import gestalt
-    from lumbung.functions.text import normalize_name
 
     own = normalize_name(plan_name)
     return F.greatest(gestalt(own, normalize_name(evidence_name)),

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumbung.functions.matching import let
 from lumbung.functions.numbers import money
-from lumbung.functions.ranking import first_k
 from lumbung.functions.text import split_list
 from lumbung.functions.web import slug
 from lumbung.operators.status import product_category
 from lumbung.rules import outreach as R
 
-# Keyword lists up to this size travel to every task; longer ones are joined instead.
-KEYWORD_LIMIT = 10_000
-
 # ---- fixed values: alternative field names of product feeds -----------------------------------
 FEED_FIELDS = {
     "provider": (["provider", "providerName", "nama_penyedia"], "Pending provider verification"),
@@ -101,26 +98,43 @@ def _keywords(products: DataFrame) -> DataFrame:
                            ).select("product_id", F.lower("k").alias("keyword")).distinct()
 
 
-def keyword_hits(rows: DataFrame, row_id: str, text: str, keywords: DataFrame,
-                 limit: int = KEYWORD_LIMIT) -> DataFrame:
+GRAM = 4
+
+
+def _runs(text: Column, lengths: range) -> Column:
+    """Distinct runs of the given numbers of characters of a text."""
+    def runs(letters: Column, n: int) -> Column:
+        # Runs that would reach beyond the end are null and dropped.
+        return F.array_compact(F.transform(letters, lambda c, i: F.concat(
+            c, *[F.get(letters, i + k) for k in range(1, n)])))
+
+    return F.array_distinct(F.flatten(let(F.split(text, ""), lambda letters: F.array(
+        *[runs(letters, n) for n in lengths]))))
+
+
+def _anchored(words: DataFrame) -> DataFrame:
+    """Each keyword with its run of four characters (shorter ones: all of it) that the fewest
+    keywords have, so that keywords with a common beginning are told apart."""
+    runs = words.select("keyword", F.explode(F.when(
+        F.length("keyword") < GRAM, F.array("keyword")).otherwise(
+        _runs(F.col("keyword"), range(GRAM, GRAM + 1)))).alias("_gram"))
+    counts = runs.groupBy("_gram").agg(F.count("*").alias("_n"))
+    return runs.join(counts, "_gram").groupBy("keyword").agg(
+        F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+
+
+def keyword_hits(rows: DataFrame, row_id: str, text: str, keywords: DataFrame) -> DataFrame:
     """(row id, keyword) of every keyword contained in the row's text.
 
-    A short list is scanned inside the task. A longer one is matched by joining the text's pieces
-    of exactly the keywords' lengths; both ways find the same keywords.
+    A text that contains a keyword contains each of its runs of characters, so rows and keywords
+    meet on the keywords' rarest runs, and only these pairs are compared in full. Texts stay with
+    their rows until then. Row ids are distinct.
     """
     words = keywords.select("keyword").where("keyword <> ''").distinct()
-    if words.limit(limit + 1).count() <= limit:
-        # Bounded by the count above.
-        listed = words.agg(F.array_sort(F.collect_list("keyword"))).scalar()
-        return rows.withColumn("_words", listed).select(row_id, F.explode(F.filter(
-            "_words", lambda k: F.col(text).contains(k))).alias("keyword"))
-    lengths = words.agg(F.array_sort(F.collect_set(F.length("keyword")))).scalar()
-    size = F.length(text)
-    pieces = F.flatten(F.transform("_lengths", lambda n: F.when(size >= n, F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col(text), i, n))
-    ).otherwise(F.array().cast("array<string>"))))
-    return rows.withColumn("_lengths", lengths).select(row_id, F.explode(F.array_distinct(
-        pieces)).alias("keyword")).join(words, "keyword").select(row_id, "keyword")
+    met = rows.select(row_id, F.explode(_runs(F.col(text), range(1, GRAM + 1))).alias(
+        "_gram")).join(_anchored(words), "_gram").select(row_id, "keyword")
+    return rows.select(row_id, text).join(met, row_id).where(
+        F.col(text).contains(F.col("keyword"))).select(row_id, "keyword")
 
 
 def institution_signatures(prospects: DataFrame) -> DataFrame:
@@ -190,6 +204,3 @@ def product_kpis(products: DataFrame, prospects: DataFrame) -> DataFrame:
                    F.coalesce(F.sum(money(F.col("total_pagu"))), F.lit(0)).cast("double").alias(
                        "matched_pagu")).withColumn("categories", kinds)
 
-
-def top_examples(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    return first_k(rows, keys, order, k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,13 +92,12 @@ def page_bounds(rows: DataFrame, block: int = 1_000_000) -> DataFrame:
 
     ``rows`` has page (long), position, id and source_count; a page is small by construction.
     """
-    key = F.struct("page", "position")
-    inside = rows.withColumn("_seq", F.col("page") * F.lit(1 << 20) + F.col("position"))
-    stepped = previous(inside, [], "_seq", ["page", "id"], block=block << 20)
-    fault = (F.col("previous.page") == F.col("page")) & (F.col("previous.id") <= F.col("id"))
+    within = Window.partitionBy("page").orderBy("position")
+    stepped = rows.withColumn("_before", F.lag("id").over(within))
     pages = stepped.groupBy("page").agg(
-        F.count("*").alias("rows_received"), F.min_by("id", key).alias("first_id"),
-        F.max_by("id", key).alias("last_id"), F.count_if(fault).alias("order_faults"),
+        F.count("*").alias("rows_received"), F.min_by("id", "position").alias("first_id"),
+        F.max_by("id", "position").alias("last_id"),
+        F.count_if(F.col("_before") <= F.col("id")).alias("order_faults"),
         F.max("source_count").alias("source_count"),
         F.min("source_count").alias("_min_source"))
     linked = previous(pages, [], "page", ["page", "last_id"], block=block)

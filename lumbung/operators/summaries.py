@@ -87,18 +87,29 @@ def queue_kpis(prospects: DataFrame) -> DataFrame:
         total("total_pagu").alias("total_pagu"))
 
 
-def contact_master_kpis(prospects: DataFrame) -> DataFrame:
+def _contact_counts() -> list[Column]:
     contact = F.col("contact_status")
-    return prospects.agg(
-        F.count_if(contact == "CONTACT_FOUND").alias("found"),
-        F.count_if(contact == "CONTACT_NEEDS_REVIEW").alias("needs_review"),
-        F.count_if(contact == "CONTACT_MISSING").alias("missing"))
+    return [F.count_if(contact == "CONTACT_FOUND").alias("found"),
+            F.count_if(contact == "CONTACT_NEEDS_REVIEW").alias("needs_review"),
+            F.count_if(contact == "CONTACT_MISSING").alias("missing")]
+
+
+def _evidence_counts() -> list[Column]:
+    return [F.count_if(F.col("evidence_status") == PLANNING_ONLY).alias("planning_only"),
+            F.count_if(F.col("spse_status") == "SPSE_NOT_CHECKED_NATIONALLY").alias("not_checked")]
+
+
+def contact_master_kpis(prospects: DataFrame) -> DataFrame:
+    return prospects.agg(*_contact_counts())
 
 
 def evidence_kpis(prospects: DataFrame) -> DataFrame:
-    return prospects.agg(
-        F.count_if(F.col("evidence_status") == PLANNING_ONLY).alias("planning_only"),
-        F.count_if(F.col("spse_status") == "SPSE_NOT_CHECKED_NATIONALLY").alias("not_checked"))
+    return prospects.agg(*_evidence_counts())
+
+
+def contact_and_evidence_kpis(prospects: DataFrame) -> DataFrame:
+    """Both in one pass."""
+    return prospects.agg(*_contact_counts(), *_evidence_counts())
 
 
 def _flag(c: Column) -> Column:

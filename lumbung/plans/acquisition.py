@@ -149,12 +149,11 @@ def offset_gaps(spark, sf_dir):
 
 @query("conversation_turn_gaps", """
  WITH s AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev
-            FROM (SELECT * FROM conversations WHERE role <> 'system'))
+            FROM conversations)
  SELECT conv_id, turn, coalesce(prev + 1, 0) AS expected FROM s
  WHERE turn <> coalesce(prev + 1, 0)""")
 def conversation_turn_gaps(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role <> 'system'")
-    return snapshot.offset_gaps(rows, ["conv_id"], "turn")
+    return snapshot.offset_gaps(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
 
 
 # ---- pages, quarantine, accounting -----------------------------------------------------------
@@ -539,11 +538,11 @@ def upsert_counts(spark, sf_dir):
 
 @query("upsert_rows", """
  WITH i AS (SELECT l_partkey AS id, arg_max(l_quantity, l_orderkey * 100000 + l_suppkey * 10
-   + l_linenumber) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+   + l_linenumber) AS q FROM lineitem GROUP BY 1)
  SELECT coalesce(id, p_partkey) AS id, coalesce(q, p_retailprice) AS price
  FROM part FULL JOIN i ON id = p_partkey""")
 def upsert_rows(spark, sf_dir):
-    incoming = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
+    incoming = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("id"), F.col("l_quantity").alias("price"),
         (F.col("l_orderkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias(
             "position"))

@@ -66,13 +66,20 @@ def order_tables(spark, sf_dir):
 
 
 @query("html_tables", """
- SELECT l_orderkey AS page_id, count(*) AS nested_rows, sum(l_partkey) AS codes FROM lineitem
- JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+ SELECT l_orderkey AS page_id, 0 AS table_idx, count(*) AS rows, string_agg(
+   l_partkey || '|name ' || l_suppkey, ';' ORDER BY l_linenumber, l_partkey, l_suppkey) AS cells
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
+ UNION ALL
+ SELECT o_orderkey, 1, 3, 'Kode Tender|' || o_orderkey || '||;Nama Paket|' || o_orderpriority ||
+   '|Satuan Kerja|S' || o_custkey || ';Nama Paket|later||'
+ FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def html_tables(spark, sf_dir):
-    rows = html.html_tables(order_tables(spark, sf_dir)).where("table_idx = 0")
-    return rows.groupBy("page_id").agg(
-        F.count("*").alias("nested_rows"),
-        F.sum(F.get("cells", F.lit(0)).try_cast("long")).alias("codes"))
+    """Every cell of both tables of each page."""
+    rows = html.html_tables(order_tables(spark, sf_dir))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct(
+        "row_idx", F.array_join("cells", "|", "").alias("cells")))), lambda r: r["cells"])
+    return rows.groupBy("page_id", "table_idx").agg(
+        F.count("*").alias("rows"), F.array_join(cells, ";").alias("cells"))
 
 
 @query("detail_fields", """

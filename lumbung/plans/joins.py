@@ -55,12 +55,11 @@ def priority_key_join(spark, sf_dir):
    count(*) AS rows, sum(pagu) AS pagu FROM packages LEFT JOIN (
      SELECT {pick_sql(UNITS, 's_suppkey')} || ' Customer#' ||
        lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS unit, s_suppkey % 2 = 0 AS has_phone
-     FROM supplier) c ON c.unit = "satuanKerja" WHERE "jenisPengadaan" = 'Barang'
+     FROM supplier) c ON c.unit = "satuanKerja"
  GROUP BY 1"""))
 def leads_with_contacts(spark, sf_dir):
     index = authority.best_contact_index(loose_contacts(spark, sf_dir), "position")
-    goods = packages(spark, sf_dir).where("jenisPengadaan = 'Barang'")
-    rows = leads.build_leads(authority.with_best_contact(goods, index), 2026)
+    rows = leads.build_leads(authority.with_best_contact(packages(spark, sf_dir), index), 2026)
     return rows.groupBy("contact_readiness").agg(
         F.count("*").alias("rows"), summaries.total("budget_value").alias("pagu"))
 

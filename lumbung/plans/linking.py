@@ -95,8 +95,7 @@ _STATUS_SQL = f"""CASE WHEN status NOT IN ('CONFIRMED_MATCH', 'PROBABLE_MATCH')
   CASE WHEN status <> 'NO_MATCH' THEN cid END AS selected_candidate_id,
   CASE WHEN status <> 'NO_MATCH' THEN coalesce(conf, 0.0) ELSE 0.0 END AS confidence FROM d""")
 def link_equality(spark, sf_dir):
-    rows = linkage.resolve_identity(letter_plans(spark, sf_dir), letter_evidence(spark, sf_dir),
-                                    "direct")
+    rows = linkage.resolve_identity(letter_plans(spark, sf_dir), letter_evidence(spark, sf_dir))
     return rows.select("plan_id", "identity_status", "remaining", "selected_candidate_id",
                        F.col("identity_confidence").alias("confidence"))
 
@@ -106,7 +105,7 @@ def link_equality(spark, sf_dir):
  GROUP BY 1""")
 def link_equality_blocked(spark, sf_dir):
     rows = linkage.resolve_identity(letter_plans(spark, sf_dir), letter_evidence(spark, sf_dir),
-                                    "blocked")
+                                    tile=400)
     return rows.groupBy("identity_status").agg(F.count("*").alias("plans"),
                                                F.sum("remaining").alias("candidates"))
 
@@ -189,7 +188,149 @@ def latest_status(spark, sf_dir):
     return linkage.latest_status(rows)
 
 
-# ---- words: near-equal texts, decided by similarity (checked by tests on small fixtures) -------
+@query("candidate_audit", _SCORED + """
+ SELECT CAST(id AS VARCHAR) AS plan_id, rn AS rank, cid AS candidate_id, prim AS primary_count,
+  total AS total_count, conf AS confidence, array_to_string(list_filter([
+   CASE WHEN b THEN 'BUDGET' END, CASE WHEN i THEN 'INSTITUTION' END,
+   CASE WHEN n THEN 'PACKAGE_NAME' END, CASE WHEN m THEN 'PROCUREMENT_METHOD' END,
+   CASE WHEN u THEN 'SATKER' END, CASE WHEN y THEN 'YEAR' END], lambda x: x IS NOT NULL), ',')
+   AS signals,
+  array_to_string(list_filter([CASE WHEN NOT b THEN 'BUDGET_DEVIATION:SOFT' END,
+   CASE WHEN NOT y THEN 'YEAR_CONFLICT:SOFT:' || (2025 + id % 2) || ' != ' ||
+     (2025 + s_suppkey % 2) END], lambda x: x IS NOT NULL), ',') AS conflicts,
+  'https://x.id/e' AS evidence_reference FROM r""")
+def candidate_audit(spark, sf_dir):
+    """Every surviving candidate of every plan in rank order."""
+    rows = linkage.candidate_audit(letter_plans(spark, sf_dir), letter_evidence(spark, sf_dir))
+    shown = F.transform("conflicts", lambda c: F.concat_ws(":", c["type"], c["severity"], F.when(
+        c["type"] == "YEAR_CONFLICT", c["detail"])))
+    return rows.withColumns({"signals": F.array_join("signals", ","),
+                             "conflicts": F.array_join(shown, ",")})
+
+
+@query("rejected_counts", _SCORED + """
+ SELECT CAST(id AS VARCHAR) AS plan_id, count(*) FILTER (hi) AS institution_conflicts,
+  count(*) FILTER (hu) AS satker_conflicts, count(*) FILTER (hn) AS package_name_conflicts,
+  count(*) FILTER (hm) AS method_conflicts FROM s GROUP BY 1""")
+def rejected_counts(spark, sf_dir):
+    return linkage.rejected_counts(letter_plans(spark, sf_dir), letter_evidence(spark, sf_dir))
+
+
+# ---- stems: a common beginning and ends without a common letter, so SQL can give the ratio ------
+STEM = "abcdefghijklmnop"  # all different, so the longest common block is the common beginning
+
+
+def stem_text(length, tail, letter: str):
+    return F.concat(F.substring(F.lit(STEM), F.lit(1), length.cast("int")),
+                    F.repeat(F.lit(letter), tail.cast("int")))
+
+
+def stem_plans(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("plan_id"),
+        stem_text(6 + k % 11, k % 4, "x").alias("package_name"),
+        F.when(k % 17 == 0, "").otherwise(stem_text(8 + k % 9, k % 3, "x")).alias("institution"),
+        F.when(k % 3 == 0, "").otherwise(stem_text(7 + k % 7, k % 5, "x")).alias("satker"),
+        (2025 + k % 2).cast("int").alias("year"), (1e8 * (1 + k % 7)).alias("budget"),
+        pick(["Tender", "E-Purchasing", ""], k).alias("procurement_method"),
+        F.lit("").alias("location"), F.lit("").alias("category"))
+
+
+def stem_evidence(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        F.format_string("e%08d", k).alias("candidate_id"),
+        stem_text(4 + k % 13, k % 3, "y").alias("package_name"),
+        F.when(k % 19 == 0, "").otherwise(stem_text(5 + k % 12, k % 4, "y")).alias("institution"),
+        F.when(k % 2 == 0, "").otherwise(stem_text(5 + k % 11, k % 2, "y")).alias("satker"),
+        (2025 + k % 2).cast("int").alias("year"), (1e8 * (1 + k % 5)).alias("budget"),
+        pick(["Tender", "", "Pengadaan Langsung"], k).alias("procurement_method"),
+        F.lit("").alias("location"), F.lit("").alias("category"))
+
+
+def _ratio_sql(a: str, at: str, b: str, bt: str) -> str:
+    return f"2.0 * least({a}, {b}) / ({a} + {at} + {b} + {bt})"
+
+
+_STEMS = f"""
+ WITH p AS (SELECT c_custkey AS id, 6 + c_custkey % 11 AS nl, c_custkey % 4 AS nt,
+   CASE WHEN c_custkey % 17 <> 0 THEN 8 + c_custkey % 9 END AS il, c_custkey % 3 AS it,
+   CASE WHEN c_custkey % 3 <> 0 THEN 7 + c_custkey % 7 END AS ul, c_custkey % 5 AS ut,
+   2025 + c_custkey % 2 AS year, 1e8 * (1 + c_custkey % 7) AS cost,
+   ['T', 'EP', ''][1 + CAST(c_custkey % 3 AS INTEGER)] AS way FROM customer),
+ e AS (SELECT printf('e%08d', s_suppkey) AS cid, 4 + s_suppkey % 13 AS nl, s_suppkey % 3 AS nt,
+   CASE WHEN s_suppkey % 19 <> 0 THEN 5 + s_suppkey % 12 END AS il, s_suppkey % 4 AS it,
+   CASE WHEN s_suppkey % 2 <> 0 THEN 5 + s_suppkey % 11 END AS ul, s_suppkey % 2 AS ut,
+   2025 + s_suppkey % 2 AS year, 1e8 * (1 + s_suppkey % 5) AS cost,
+   ['T', '', 'NT'][1 + CAST(s_suppkey % 3 AS INTEGER)] AS way FROM supplier),
+ j AS (SELECT p.id, e.cid, {_ratio_sql('p.nl', 'p.nt', 'e.nl', 'e.nt')} AS rn,
+   {_ratio_sql('p.il', 'p.it', 'e.il', 'e.it')} AS ri,
+   {_ratio_sql('p.ul', 'p.ut', 'e.ul', 'e.ut')} AS ru, p.year = e.year AS y,
+   1.0 - abs(p.cost - e.cost) / greatest(p.cost, e.cost) AS rb,
+   p.way <> '' AND p.way = e.way AS m, p.way <> '' AND e.way <> '' AND p.way <> e.way AS hm
+   FROM p, e),
+ s AS (SELECT *, coalesce(ri < 0.65, FALSE) AS hi, coalesce(ru < 0.65, FALSE) AS hu, rn < 0.45
+   AS hn, rn >= 0.8 AS n, coalesce(ri >= 0.8, FALSE) AS i, coalesce(ru >= 0.8, FALSE) AS u,
+   rb >= 0.85 AS b,
+   round((rn + coalesce(ri, 0.0) + coalesce(ru, 0.0) + rb) / 8, 6) AS conf FROM j),
+ t AS (SELECT *, hi OR hu OR hn OR hm AS dead, CAST(n AS INTEGER) + CAST(i AS INTEGER) +
+   CAST(u AS INTEGER) AS prim, CAST(n AS INTEGER) + CAST(i AS INTEGER) + CAST(u AS INTEGER) +
+   CAST(y AS INTEGER) + CAST(b AS INTEGER) + CAST(m AS INTEGER) AS total FROM s),
+ r AS (SELECT *, row_number() OVER w AS k, lead((prim, total, conf)) OVER w AS nxt,
+   count(*) OVER (PARTITION BY id) AS remaining FROM t WHERE NOT dead
+   WINDOW w AS (PARTITION BY id ORDER BY prim DESC, total DESC, conf DESC, cid)),
+ h AS (SELECT id, bool_or(hi) AS hi, bool_or(hu) AS hu, bool_or(hn) AS hn, bool_or(hm) AS hm
+   FROM t GROUP BY 1),
+ d AS (SELECT h.id, coalesce(remaining, 0) AS remaining, r.cid, r.conf, CASE
+   WHEN r.id IS NULL THEN CASE WHEN CAST(h.hi AS INTEGER) + CAST(h.hu AS INTEGER) +
+     CAST(h.hn AS INTEGER) + CAST(h.hm AS INTEGER) <> 1 THEN 'REJECTED_IDENTITY_CONFLICT'
+     WHEN h.hi THEN 'REJECTED_INSTITUTION_CONFLICT' WHEN h.hu THEN 'REJECTED_SATKER_CONFLICT'
+     WHEN h.hn THEN 'REJECTED_PACKAGE_CONFLICT'
+     ELSE 'REJECTED_PROCUREMENT_METHOD_CONFLICT' END
+   WHEN nxt = (prim, total, conf) THEN 'NEEDS_MANUAL_REVIEW'
+   WHEN n AND (i OR u) AND total >= 3 THEN 'CONFIRMED_MATCH'
+   WHEN total >= 2 AND prim > 0 THEN 'PROBABLE_MATCH' WHEN total > 0 THEN 'NEEDS_MANUAL_REVIEW'
+   ELSE 'NO_MATCH' END AS status FROM h LEFT JOIN r ON h.id = r.id AND k = 1)"""
+
+
+@query("link_fuzzy", _STEMS + """
+ SELECT CAST(id AS VARCHAR) AS plan_id, status AS identity_status, remaining,
+  CASE WHEN status <> 'NO_MATCH' THEN cid END AS selected_candidate_id,
+  CASE WHEN status <> 'NO_MATCH' THEN coalesce(conf, 0.0) ELSE 0.0 END AS identity_confidence
+ FROM d""")
+def link_fuzzy(spark, sf_dir):
+    """Similarities fall on both sides of every threshold."""
+    return linkage.resolve_identity(stem_plans(spark, sf_dir), stem_evidence(spark, sf_dir)
+                                    ).select("plan_id", "identity_status", "remaining",
+                                             "selected_candidate_id", "identity_confidence")
+
+
+@query("link_fuzzy_blocked", _STEMS + """
+ SELECT status AS identity_status, count(*) AS plans, sum(remaining)::BIGINT AS candidates FROM d
+ GROUP BY 1""")
+def link_fuzzy_blocked(spark, sf_dir):
+    """The same in small tiles."""
+    rows = linkage.resolve_identity(stem_plans(spark, sf_dir), stem_evidence(spark, sf_dir),
+                                    tile=300)
+    return rows.groupBy("identity_status").agg(F.count("*").alias("plans"),
+                                               F.sum("remaining").alias("candidates"))
+
+
+@query("similar_part_names", """
+ WITH t AS (SELECT DISTINCT 3 + p_partkey % 14 AS l, p_partkey % 5 AS t FROM part),
+ n AS (SELECT l, t, substr('abcdefghijklmnop', 1, CAST(l AS INTEGER)) || repeat('x',
+   CAST(t AS INTEGER)) AS name FROM t)
+ SELECT a.name AS left_text, b.name AS right_text FROM n a JOIN n b ON a.name < b.name
+  AND 2.0 * (least(a.l, b.l) + least(a.t, b.t)) / (a.l + a.t + b.l + b.t) >= 0.8""")
+def similar_part_names(spark, sf_dir):
+    """Distinct part labels at least 0.8 similar, each unordered pair once."""
+    k = F.col("p_partkey")
+    names = table(spark, sf_dir, "part").select(stem_text(3 + k % 14, k % 5, "x").alias("text"))
+    return linkage.similar_values(names, names, 0.8).where("left_text < right_text")
+
+
+# ---- words: names as published (the same decisions are checked by tests on small fixtures) ------
 def word_plans(spark, sf_dir):
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").join(
@@ -218,27 +359,13 @@ def word_evidence(spark, sf_dir):
         F.lit("").alias("category"))
 
 
-@query("link_fuzzy")
-def link_fuzzy(spark, sf_dir):
+@query("link_words")
+def link_words(spark, sf_dir):
     return linkage.resolve_identity(word_plans(spark, sf_dir), word_evidence(spark, sf_dir)
                                     ).select("plan_id", "identity_status",
                                              "selected_candidate_id", "identity_confidence")
 
 
-@query("link_fuzzy_blocked")
-def link_fuzzy_blocked(spark, sf_dir):
-    return linkage.resolve_identity(
-        word_plans(spark, sf_dir), word_evidence(spark, sf_dir), "blocked").select(
-        "plan_id", "identity_status", "selected_candidate_id", "identity_confidence")
-
-
-@query("similar_part_names")
-def similar_part_names(spark, sf_dir):
-    """Distinct part names at least 0.8 similar, by the tiled similarity join."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))
-    return linkage.similar_values(names, names, 0.8)
-
-
 @query("plan_records", with_packages("""
  SELECT CAST(id AS VARCHAR) AS plan_id, kldi AS institution, "satuanKerja" AS satker,
   CASE WHEN pemilihan LIKE '%20__' THEN CAST(substr(pemilihan, -4) AS INTEGER) END AS year

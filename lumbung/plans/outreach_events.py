@@ -25,8 +25,8 @@ _E = """
 
 # ---- effective contact -----------------------------------------------------------------------
 def override_events(spark, sf_dir):
-    """Clicks and errors reject a contact, purchases and signups answer with a replacement."""
-    e = events(spark, sf_dir).where("event_type in ('click', 'error', 'purchase', 'signup')")
+    """Clicks and errors reject a contact, all other events answer with a replacement."""
+    e = events(spark, sf_dir)
     rejects = F.col("event_type").isin("click", "error")
     k = F.col("k")
     return e.select(
@@ -52,7 +52,7 @@ _WALK = _E + """,
    CASE WHEN event_type IN ('click', 'error') THEN 'F:fp' || (k % 4) ELSE 'M:m' || (k % 3) END
      AS takes,
    CASE WHEN event_type IN ('click', 'error') THEN 'M:m' || (k % 3) ELSE 'F:fp' || (k % 4) END
-     AS gives FROM e WHERE event_type IN ('click', 'error', 'purchase', 'signup')),
+     AS gives FROM e),
  s AS (SELECT DISTINCT institution_id, -1 AS seq, FALSE AS rejects, 'F:fp0' AS gives FROM e
        WHERE user_id % 10 <> 0),
  a AS (SELECT institution_id, seq, rejects, gives FROM n UNION ALL SELECT * FROM s),
@@ -92,7 +92,7 @@ def effective_contact_applied(spark, sf_dir):
  m AS (SELECT institution_id, max(seq) AS seq, 'm' || (arg_max(k, seq) % 3) AS mismatch_id
        FROM e WHERE event_type IN ('click', 'error') GROUP BY 1)
  SELECT institution_id, seq, mismatch_id FROM m WHERE NOT EXISTS (SELECT 1 FROM e WHERE
-   e.institution_id = m.institution_id AND event_type IN ('purchase', 'signup')
+   e.institution_id = m.institution_id AND event_type NOT IN ('click', 'error')
    AND e.seq > m.seq AND 'm' || (k % 3) = m.mismatch_id)""")
 def open_mismatch(spark, sf_dir):
     return folds.open_mismatches(override_events(spark, sf_dir)).select(
@@ -222,11 +222,14 @@ def draft_state(spark, sf_dir):
  SELECT seq, CASE WHEN seq = s THEN 'created' WHEN body = b THEN 'replayed' ELSE 'conflict' END
   AS verdict FROM c JOIN f USING (command_id)""")
 def idempotent_commands(spark, sf_dir):
-    rows = events(spark, sf_dir).select(
+    return folds.idempotent_commands(command_rows(spark, sf_dir)).select("seq", "verdict")
+
+
+def command_rows(spark, sf_dir):
+    return events(spark, sf_dir).select(
         F.col("event_id").alias("seq"), F.concat(F.lit("c"), F.floor(
             F.col("event_id") / 3).cast("string")).alias("command_id"),
         (F.col("k") % 2).cast("string").alias("canonical_content"))
-    return folds.idempotent_commands(rows).select("seq", "verdict")
 
 
 @query("latest_outcome", _E + """

@@ -261,9 +261,9 @@ def lead_rows(spark, sf_dir):
 @query("lead_ordering", with_packages(
     """SELECT CAST(id AS VARCHAR) AS rup_id, opportunity_priority, pagu AS budget_value_idr
        FROM leads ORDER BY CASE opportunity_priority WHEN 'High' THEN 0 WHEN 'Medium' THEN 1
-       ELSE 2 END, pagu DESC, id LIMIT 25000""", LEADS_CTE))
+       ELSE 2 END, pagu DESC, id""", LEADS_CTE))
 def lead_ordering(spark, sf_dir):
-    return top_n(health_leads(spark, sf_dir), leads.lead_order(), HR.EXPORT_CAP).select(
+    return health_leads(spark, sf_dir).orderBy(*leads.lead_order()).select(
         "rup_id", "opportunity_priority", "budget_value_idr")
 
 
@@ -592,13 +592,7 @@ def queue_kpis(spark, sf_dir):
        count(*) FILTER (contact_email = '') AS missing, count(*) AS planning_only,
        count(*) AS not_checked FROM prospects""", RELEVANT_CTE, ROLLUP_CTE, PROSPECTS_CTE))
 def contact_and_evidence_kpis(spark, sf_dir):
-    rows = prospects(spark, sf_dir)
-    return rows.agg(
-        *[F.count_if(F.col("contact_status") == s).alias(n) for s, n in (
-            ("CONTACT_FOUND", "found"), ("CONTACT_NEEDS_REVIEW", "needs_review"),
-            ("CONTACT_MISSING", "missing"))],
-        F.count_if(F.col("evidence_status") == "SIRUP_PLANNING_ONLY").alias("planning_only"),
-        F.count_if(F.col("spse_status") == "SPSE_NOT_CHECKED_NATIONALLY").alias("not_checked"))
+    return summaries.contact_and_evidence_kpis(prospects(spark, sf_dir))
 
 
 @query("institution_search", with_packages(
@@ -625,10 +619,10 @@ def prospect_queue(spark, sf_dir):
 
 @query("contact_first_order", with_packages(
     """SELECT institution_name, total_pagu FROM prospects
-       ORDER BY CASE WHEN contact_email <> '' THEN 0 ELSE 1 END, institution_name LIMIT 200""",
+       ORDER BY CASE WHEN contact_email <> '' THEN 0 ELSE 1 END, institution_name""",
     RELEVANT_CTE, ROLLUP_CTE, PROSPECTS_CTE))
 def contact_first_order(spark, sf_dir):
-    return top_n(prospects(spark, sf_dir), filters.contact_order("institution_name"), 200).select(
+    return prospects(spark, sf_dir).orderBy(*filters.contact_order("institution_name")).select(
         "institution_name", "total_pagu")
 
 

@@ -92,5 +92,4 @@ ACTION_VALIDATE = "Validate need and institution context before outreach"
 ACTION_MONITOR = "Keep for monitoring"
 
 LEAD_NOTE = "Verify institution fit and contact details before any outreach."
-EXPORT_CAP = 25_000
 # ---- end of fixed values --------------------------------------------------------------------

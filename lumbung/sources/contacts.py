@@ -71,7 +71,7 @@ def canonical_contacts(rows: DataFrame, file_name: str, position: Column) -> Dat
     out = rows.select(
         F.lit(file_name).alias("source_file"), F.lit(source_type).alias("source_type"),
         F.lit(precedence).alias("source_priority"), score.alias("source_confidence"),
-        position.cast("int").alias("source_row"),
+        position.cast("long").alias("source_row"),
         *[field(f).alias(f) for f in ("institution_name", "parent_organization", "region",
                                       "contact_email", "official_website", "contact_phone",
                                       "contact_whatsapp", "contact_person", "contact_role",

@@ -10,6 +10,10 @@ from lumbung.schemas import PACKAGES, PAGES
 
 
 def read_packages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Packages under the enforced schema; files that lack one of its columns are refused."""
+    missing = set(PACKAGES.fieldNames()) - set(spark.read.format(fmt).load(path).columns)
+    if missing:
+        raise ValueError(f"packages lack columns: {', '.join(sorted(missing))}")
     return spark.read.format(fmt).schema(PACKAGES).load(path)
 
 

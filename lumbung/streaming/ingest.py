@@ -2,52 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lumbung.operators import runlog
+from lumbung.streaming.store import append_new, stored
 
 
-def _append_new(rows: DataFrame, path: str, key: list[str]) -> None:
-    """Append the rows whose key is not stored yet, so a repeated batch adds nothing."""
-    spark = rows.sparkSession
-    try:
-        stored = spark.read.parquet(path).select(*key)
-        rows = rows.join(stored, key, "left_anti")
-    except Exception as error:  # first batch: nothing stored yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-    rows.write.mode("append").partitionBy("run_id").parquet(path)
-
-
-def ingest_batch(pages: DataFrame, target: str, captured_at, required: list[str] | None = None
-                 ) -> None:
+def ingest_batch(pages: DataFrame, target: str, captured_at: Column,
+                 required: list[str] | None = None) -> None:
     """Classify a batch of pages and store its rows; safe to run again for the same batch."""
     # The same page may arrive twice in one batch; its rows must not count as repeated ids.
     parsed = runlog.parse_pages(pages.dropDuplicates(
         ["run_id", "page_start", "page_draw", "payload"]))
     classified = runlog.classify_rows(runlog.page_rows(parsed), required).persist()
     try:
-        _append_new(runlog.storage_rows(classified.where("is_valid")), f"{target}/canonical",
-                    ["run_id", "source_offset"])
-        _append_new(runlog.quarantine_records(
+        append_new(runlog.storage_rows(classified.where("is_valid")), f"{target}/canonical",
+                   ["run_id", "source_offset"], "run_id")
+        append_new(runlog.quarantine_records(
             classified, captured_at, F.concat(F.lit("failures/page-start-"), F.col(
                 "page_start").cast("string"))), f"{target}/quarantine",
-            ["run_id", "quarantine_record_id"])
-        _append_new(runlog.provenance_records(classified, captured_at), f"{target}/provenance",
-                    ["run_id", "provenance_record_id"])
-        _append_new(runlog.page_failures(parsed), f"{target}/failures",
-                    ["run_id", "start", "draw"])
+            ["run_id", "quarantine_record_id"], "run_id")
+        append_new(runlog.provenance_records(classified, captured_at), f"{target}/provenance",
+                   ["run_id", "provenance_record_id"], "run_id")
+        append_new(runlog.page_failures(parsed), f"{target}/failures",
+                   ["run_id", "start", "draw"], "run_id")
     finally:
         classified.unpersist()
 
 
+def capture_time(spark: SparkSession, target: str, stream: str, batch_id: int) -> str:
+    """When a batch was first taken up; a batch that runs again gets the same time."""
+    path = f"{target}/batches"
+    held = stored(spark, path)
+    if held is not None:
+        first = held.where((F.col("stream") == stream) & (F.col("batch_id") == batch_id)).agg(
+            F.min("captured_at")).first()[0]
+        if first is not None:
+            return first
+    now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
+    spark.createDataFrame([(stream, batch_id, now)], "stream string, batch_id long, "
+                          "captured_at string").write.mode("append").parquet(path)
+    return now
+
+
 def ingest_pages(pages: DataFrame, target: str, checkpoint: str,
                  required: list[str] | None = None) -> StreamingQuery:
     """Run the page stream until its input is used up."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, target, F.lit("batch"), required)
+        taken = capture_time(batch.sparkSession, target, checkpoint, batch_id)
+        ingest_batch(batch, target, F.lit(taken), required)
 
     return pages.writeStream.foreachBatch(handle).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,118 +1,106 @@
-"""The order-dependent folds as stateful streams, one small state per institution.
+"""Event logs folded as streams.
 
-Within a batch a key's events are put in event order; an event not newer than the state is
-dropped, so replays change nothing.
+A micro-batch's events are added to a stored log, each once, and the batch folds of ``folds.py``
+run again over the stored history of the institutions in the batch. Late, shuffled and repeated
+events therefore end in the state that the batch fold gives, and the rules are stated only there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-CONTACT_OUT = """institution_id string, seq bigint, email string, source_url string,
-fingerprint string, kind string, replacement_id string"""
-CONTACT_STATE = """seq bigint, email string, source_url string, fingerprint string, kind string,
-replacement_id string, awaiting string, started boolean"""
-
-
-def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    parts = list(frames)
-    return pd.concat(parts).sort_values("seq", kind="stable")
-
-
-def _contact_step(key, frames: Iterator[pd.DataFrame], state: GroupState
-                  ) -> Iterator[pd.DataFrame]:
-    last, current, awaiting = -1, None, None
-    if state.exists:
-        last, email, url, mark, kind, rid, awaiting, has = state.get
-        current = (email, url, mark, kind, rid) if has else None
-    for e in _in_order(frames).itertuples():
-        if e.type == "CANONICAL":
-            # The starting point of an institution; it only counts before any event.
-            if last < 0 and current is None and awaiting is None:
-                current = (e.email, e.evidence_url, e.fingerprint, "CANONICAL", None)
-            continue
-        if e.seq <= last:
-            continue
-        last = int(e.seq)
-        if e.type == "MISMATCH":
-            if current is not None and current[2] == e.rejected_fingerprint:
-                current, awaiting = None, e.mismatch_id
-        elif current is None and awaiting is not None and awaiting == e.parent_mismatch_id:
-            current = (e.email, e.evidence_url, e.fingerprint, "REPLACEMENT", e.replacement_id)
-            awaiting = None
-    shown = current or (None, None, None, None, None)
-    state.update((last, *shown, awaiting, current is not None))
-    yield pd.DataFrame([(key[0], last, *shown)], columns=[
-        "institution_id", "seq", "email", "source_url", "fingerprint", "kind", "replacement_id"])
-
-
-def stream_effective_contacts(events: DataFrame) -> DataFrame:
-    """Contact in force after each batch; canonical contacts enter as CANONICAL events (seq -1)."""
-    return events.groupBy("institution_id").applyInPandasWithState(
-        _contact_step, CONTACT_OUT, CONTACT_STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-DRAFT_OUT = """institution_id string, seq bigint, text string, status string,
-approved boolean, ready_to_send boolean, version bigint"""
-DRAFT_STATE = """seq bigint, text string, status string, approved boolean,
-ready_to_send boolean, version bigint"""
-
-
-def _draft_step(key, frames: Iterator[pd.DataFrame], state: GroupState
-                ) -> Iterator[pd.DataFrame]:
-    last, text, status, approved, ready, version = state.get if state.exists else (
-        -1, "", "NOT_GENERATED", False, False, 0)
-    for c in _in_order(frames).itertuples():
-        if c.seq <= last:
-            continue
-        last = int(c.seq)
-        asked = c.status if isinstance(c.status, str) else None
-        if asked == "SENT" or c.sent is True:
-            continue
-        wanted = c.text if isinstance(c.text, str) else text
-        changed = wanted != text
-        if asked == "READY_TO_SEND":
-            if approved and not changed:
-                status, ready = asked, True
-            continue
-        if asked == "APPROVED":
-            if not wanted.strip():
-                continue
-            approved, ready = True, False
-        elif changed:
-            approved = ready = False
-        status = asked or ("EDITED" if changed else status)
-        text, version = wanted, version + int(changed)
-    state.update((last, text, status, approved, ready, version))
-    yield pd.DataFrame([(key[0], last, text, status, approved, ready, version)], columns=[
-        "institution_id", "seq", "text", "status", "approved", "ready_to_send", "version"])
-
-
-def stream_drafts(commands: DataFrame) -> DataFrame:
+from pyspark.sql.streaming import StreamingQuery
+
+from lumbung.session import cut_lineage
+from lumbung.streaming import folds
+from lumbung.streaming.store import BUCKET, append_new, bucket, in_partitions, stored
+
+KEY = "institution_id"
+Fold = Callable[[DataFrame], DataFrame]
+
+
+def contact_fold(history: DataFrame) -> DataFrame:
+    """Contact in force; canonical contacts are events of type CANONICAL with seq -1."""
+    start = history.where("type = 'CANONICAL'").select(
+        KEY, "email", F.col("evidence_url").alias("source_url"), "fingerprint")
+    return folds.effective_contact(history.where("type <> 'CANONICAL'"), start)
+
+
+def fold_batch(batch: DataFrame, target: str, state_path: str, fold: Fold) -> None:
+    """Stores a batch's events and the new state of its institutions; may be run again."""
+    spark = batch.sparkSession
+    events = batch.dropDuplicates([KEY, "seq"]).withColumn(BUCKET, bucket(KEY))
+    append_new(events, f"{target}/log", [KEY, "seq"], BUCKET)
+    keys = events.select(KEY).distinct()
+    history = in_partitions(stored(spark, f"{target}/log"), BUCKET, events).join(
+        keys, KEY, "left_semi").drop(BUCKET)
+    # The log only grows, so of two states of a key the one of more events is the newer.
+    folded = history.groupBy(KEY).agg(F.count("*").alias("events_folded"))
+    folded.join(fold(history), KEY, "left").write.mode("overwrite").parquet(state_path)
+
+
+def _fold_stream(events: DataFrame, target: str, checkpoint: str, fold: Fold) -> StreamingQuery:
+    name = checkpoint.rstrip("/").rsplit("/", 1)[-1]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fold_batch(batch, target, f"{target}/state/stream={name}/batch_id={batch_id}", fold)
+
+    return events.writeStream.foreachBatch(handle).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_effective_contacts(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Contact in force after each batch; see ``contact_fold``."""
+    return _fold_stream(events, target, checkpoint, contact_fold)
+
+
+def stream_drafts(commands: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Draft state after each batch of commands."""
-    return commands.groupBy("institution_id").applyInPandasWithState(
-        _draft_step, DRAFT_OUT, DRAFT_STATE, "update", GroupStateTimeout.NoTimeout)
+    return _fold_stream(commands, target, checkpoint, folds.draft_state)
+
+
+def current_state(spark: SparkSession, target: str) -> DataFrame:
+    """Newest state of every institution that a stream has met."""
+    rows = spark.read.parquet(f"{target}/state")
+    fields = [c for c in rows.columns if c not in (KEY, "stream", "batch_id", "events_folded")]
+    return rows.groupBy(KEY).agg(F.max_by(F.struct(*fields), "events_folded").alias("s")).select(
+        KEY, "s.*")
 
 
 def append_commands(batch: DataFrame, path: str) -> DataFrame:
-    """Verdict of every command in a batch against the stored first commands; stores new ones."""
-    from lumbung.streaming.folds import idempotent_commands
+    """Verdict of every command in a batch; stores the first command of each new id.
 
-    spark = batch.sparkSession
+    A stored id can only be replayed or in conflict, so running a batch again stores nothing.
+    """
     columns = ["command_id", "canonical_content", "seq"]
-    try:
-        stored = spark.read.parquet(path).select(*columns)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = batch.select(*columns).limit(0)
-    fresh = batch.select(*columns).withColumn("_new", F.lit(True))
-    both = fresh.unionByName(stored.withColumn("_new", F.lit(False)))
-    judged = idempotent_commands(both).where("_new").drop("_new").persist()
-    judged.where("verdict = 'created'").select(*columns).write.mode("append").parquet(path)
-    return judged
+    rows = batch.select(*columns).withColumn(BUCKET, bucket("command_id"))
+    held = stored(batch.sparkSession, path)
+    if held is None:
+        known = rows.select("command_id", F.col("canonical_content").alias("_first")).limit(0)
+    else:
+        known = in_partitions(held, BUCKET, rows).groupBy("command_id").agg(
+            F.min_by("canonical_content", "seq").alias("_first"))
+    old = rows.join(known, "command_id").withColumn("verdict", F.when(
+        F.col("canonical_content").eqNullSafe(F.col("_first")), "replayed").otherwise("conflict"))
+    new = folds.idempotent_commands(rows.join(known, "command_id", "left_anti"))
+    # Judged before the write below changes what is stored.
+    judged = cut_lineage(old.select(*columns, BUCKET, "verdict").unionByName(
+        new.select(*columns, BUCKET, "verdict")))
+    judged.where("verdict = 'created'").select(*columns, BUCKET).write.mode("append").partitionBy(
+        BUCKET).parquet(path)
+    return judged.drop(BUCKET)
+
+
+def stream_commands(commands: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Commands judged batch by batch; a batch that runs again keeps its first verdicts."""
+    name = checkpoint.rstrip("/").rsplit("/", 1)[-1]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        path = f"{target}/verdicts/stream={name}/batch_id={batch_id}"
+        if stored(batch.sparkSession, path) is None:
+            append_commands(batch, f"{target}/commands").write.mode("overwrite").parquet(path)
+
+    return commands.writeStream.foreachBatch(handle).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,8 +9,9 @@ from lumbung.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("lumbung-tests", cores="8")
+def spark(tmp_path_factory):
+    session = local_session("lumbung-tests", cores="8", **{
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -102,20 +102,31 @@ def sides(spark):
             spark.createDataFrame(ev, EVIDENCE))
 
 
-@pytest.mark.parametrize("strategy,tile", [("direct", 2000), ("blocked", 2000), ("blocked", 7)])
-def test_same_as_all_pairs(sides, strategy, tile):
+@pytest.mark.parametrize("tile", [2000, 7])
+def test_same_as_all_pairs(sides, tile):
     plans, evidence, p, e = sides
     got = {r.plan_id: (r.identity_status, r.selected_candidate_id, r.remaining)
-           for r in linkage.resolve_identity(p, e, strategy, tile=tile).collect()}
+           for r in linkage.resolve_identity(p, e, tile=tile).collect()}
     assert got == {x[0]: decide(x, evidence) for x in plans}
 
 
 def test_surviving_candidates_agree(sides):
     plans, evidence, p, e = sides
     want = {(x[0], y[0]) for x in plans for y in evidence if not judge(x, y)[1]}
-    for strategy in ("direct", "blocked"):
-        rows_ = linkage.surviving_candidates(p, e, strategy, tile=9).collect()
-        assert {(r.plan_id, r.candidate_id) for r in rows_} == want
+    rows_ = linkage.surviving_candidates(p, e, tile=9).collect()
+    assert {(r.plan_id, r.candidate_id) for r in rows_} == want
+    audit = linkage.candidate_audit(p, e).collect()
+    assert {(r.plan_id, r.candidate_id) for r in audit} == want
+    details = {c.type: c.detail for r in audit for c in r.conflicts}
+    assert details["YEAR_CONFLICT"] in ("2025 != 2026", "2026 != 2025")
+
+
+def test_rejected_counts(sides):
+    plans, evidence, p, e = sides
+    got = {r.plan_id: tuple(r)[1:] for r in linkage.rejected_counts(p, e, tile=9).collect()}
+    for x in plans:
+        met = [judge(x, y)[1] for y in evidence]
+        assert got[x[0]] == tuple(sum(k in h for h in met) for k in "ISNM")
 
 
 def test_rejection_labels_need_one_kind(spark):
@@ -135,9 +146,8 @@ def test_rejection_labels_need_one_kind(spark):
         for i, v in change.items():
             other[i] = v
         e = spark.createDataFrame([(*other, "Selesai", "t", "r")], EVIDENCE)
-        for strategy in ("direct", "blocked"):
-            row = linkage.resolve_identity(plans, e, strategy).first()
-            assert row.identity_status == status, (strategy, status)
+        row = linkage.resolve_identity(plans, e).first()
+        assert row.identity_status == status, status
 
 
 def test_ties_go_to_review_and_order_does_not_matter(spark):

@@ -1,6 +1,7 @@
 """Streams give the batch folds' answers, and repeating their input changes nothing."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,9 @@ def test_pages_are_stored_once(spark, tmp_path):
     assert [r.id for r in kept.collect()] == [1]
     assert spark.read.parquet(f"{target}/quarantine").count() == 3
     provenance = spark.read.parquet(f"{target}/provenance")
+    times = {r.captured_at for r in provenance.collect()}
+    assert len(times) == 1 and next(iter(times)).endswith("Z")
+    assert ingest.capture_time(spark, target, str(tmp_path / "c1"), 0) == next(iter(times))
     assert sorted(r.source_offset for r in provenance.collect()) == [0, 1, 2, 3]
     failures = spark.read.parquet(f"{target}/failures").collect()
     assert [f.validation_error for f in failures] == ["expected 2 rows but source returned 1"]
@@ -58,23 +62,13 @@ EVENTS = [
 
 
 def feed(spark, tmp_path, name, rows, schema):
+    """A stream of two rows per batch, in a shuffled order of arrival."""
     path = str(tmp_path / name)
-    for i, row in enumerate(rows):
+    for row in random.Random(3).sample(rows, len(rows)):
         spark.createDataFrame([row], schema).write.mode("append").parquet(path)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def latest(spark, stream, tmp_path, name):
-    out = str(tmp_path / f"{name}-out")
-    stream.writeStream.foreachBatch(
-        lambda df, i: df.write.mode("append").parquet(out)).outputMode("update").option(
-        "checkpointLocation", str(tmp_path / f"{name}-check")).trigger(
-        availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(out)
-    return rows.groupBy("institution_id").agg(F.max_by(F.struct("*"), "seq").alias("r")).select(
-        "r.*")
-
-
 def test_effective_contact_stream_and_batch(spark, tmp_path):
     events = spark.createDataFrame(EVENTS, EVENT)
     start = events.where("type = 'CANONICAL'").select(
@@ -82,9 +76,22 @@ def test_effective_contact_stream_and_batch(spark, tmp_path):
     batch = folds.effective_contact(events.where("type <> 'CANONICAL'"), start, block=2)
     want = {("a", "e3", "REPLACEMENT")}
     assert {(r.institution_id, r.email, r.kind) for r in batch.collect()} == want
-    stream = live.stream_effective_contacts(feed(spark, tmp_path, "ev", EVENTS, EVENT))
-    got = latest(spark, stream, tmp_path, "ev").where("email is not null").collect()
-    assert {(r.institution_id, r.email, r.kind) for r in got} == want
+    out = str(tmp_path / "out")
+    for check in ("c1", "c2"):  # a second stream sees the same events again
+        live.stream_effective_contacts(feed(spark, tmp_path, "ev", EVENTS, EVENT), out, str(
+            tmp_path / check)).awaitTermination()
+        got = live.current_state(spark, out).where("email is not null").collect()
+        assert {(r.institution_id, r.email, r.kind) for r in got} == want
+    assert spark.read.parquet(f"{out}/log").count() == len(EVENTS)
+
+
+def test_late_event_counts(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for i, part in enumerate(([EVENTS[0], EVENTS[2]], [EVENTS[1]])):
+        live.fold_batch(spark.createDataFrame(part, EVENT), out, f"{out}/state/stream=s/batch_id={i}",
+                        live.contact_fold)
+    got = live.current_state(spark, out).first()
+    assert (got.email, got.kind) == ("e1", "REPLACEMENT")
 
 
 DRAFT = "institution_id string, seq bigint, status string, text string, review_status string, " \
@@ -114,9 +121,20 @@ def test_draft_stream_and_batch(spark, tmp_path):
     fields = ("institution_id", "text", "status", "approved", "ready_to_send", "version")
     state = folds.draft_state(commands, block=2).collect()
     assert {tuple(r[f] for f in fields) for r in state} == want
-    stream = live.stream_drafts(feed(spark, tmp_path, "dr", DRAFTS, DRAFT))
-    assert {tuple(r[f] for f in fields)
-            for r in latest(spark, stream, tmp_path, "dr").collect()} == want
+    out = str(tmp_path / "out")
+    live.stream_drafts(feed(spark, tmp_path, "dr", DRAFTS, DRAFT), out, str(
+        tmp_path / "check")).awaitTermination()
+    assert {tuple(r[f] for f in fields) for r in live.current_state(spark, out).collect()} == want
+
+
+def test_nothing_is_ready_without_an_approver(spark, tmp_path):
+    rows = [("a", 1, "APPROVED", "text", None, None, None, "t1"),
+            ("a", 2, "READY_TO_SEND", None, None, None, "x", "t2")]
+    out = str(tmp_path / "out")
+    live.fold_batch(spark.createDataFrame(rows, DRAFT), out, f"{out}/state/stream=s/batch_id=0",
+                    folds.draft_state)
+    got = live.current_state(spark, out).first()
+    assert (got.status, got.ready_to_send) == ("APPROVED", False)
 
 
 def test_commands_across_batches(spark, tmp_path):
@@ -128,6 +146,12 @@ def test_commands_across_batches(spark, tmp_path):
     again = live.append_commands(spark.createDataFrame([("c", "x", 3), ("c", "z", 4)], schema),
                                  path)
     assert {(r.seq, r.verdict) for r in again.collect()} == {(3, "replayed"), (4, "conflict")}
+    for _ in range(2):  # the first batch again, and a late command with a lower number
+        late = live.append_commands(spark.createDataFrame(
+            [("c", "x", 1), ("d", "y", 2), ("c", "other", 0)], schema), path)
+        assert {(r.command_id, r.seq, r.verdict) for r in late.collect()} == {
+            ("c", 1, "replayed"), ("d", 2, "replayed"), ("c", 0, "conflict")}
+        assert spark.read.parquet(path).count() == 2
 
 
 @pytest.mark.parametrize("row,error", [

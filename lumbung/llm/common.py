@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumbung.session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Words of the bounded membership filter: 2^18 words of 64 bits, about 4 MB when sent.
@@ -37,21 +39,9 @@ def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for intermediate tables, as named in spark.checkpoint.dir."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if current is None:
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
-
-
 def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder, so that later steps read the same rows again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to the folder of spark.checkpoint.dir, so that later steps read the same rows."""
+    return cut_lineage(df)
 
 
 def partitions(spark: SparkSession) -> int:

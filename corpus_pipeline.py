@@ -10,7 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbung.llm import common, exactdup, langid, neardup, packing, quality
+from lumbung.llm import exactdup, langid, neardup, packing, quality
+from lumbung.session import checkpoint_root
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage is stored in the shared folder before the next reads it."""
-    place = f"{common.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    place = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         folder = f"{place}/{number}-{name}"

@@ -11,10 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lumbung.llm import exactdup, langid, neardup, packing, quality
+from lumbung.llm.common import bounded_batches
 from lumbung.session import checkpoint_root
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return langid.in_known_language(docs)
 
 
@@ -23,14 +25,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return exactdup.without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return neardup.without_near_copies(docs, width=5, percent=80)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     import public_tokenizers
 
     return packing.packed(packing.token_pieces(

@@ -44,6 +44,23 @@ def kept(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+SMALL_ROWS = 50_000  # rows of a narrow table that may be sent to every task, after counting
+BATCH_BYTES = 8 << 20  # text that one Arrow batch holds
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, sent to every task when it was counted to be small; joined by key otherwise.
+
+    A stored table has no size estimate, so without this the other side's texts would move.
+    """
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small, so that two tasks fit into a small executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is set to; it is sized with the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

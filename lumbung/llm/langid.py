@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbung.llm import words as W
-from lumbung.llm.common import numbered, pick, restored
+from lumbung.llm.common import numbered, pick, restored, small
 
 DIMS = 4096
 SAMPLE = 1500  # training documents per language that the centroids are fitted on, at most
@@ -30,7 +30,7 @@ CLUSTERS = 4
 ROUNDS = 12
 REJECT_RANK, REJECT_SHARE = 0.01, 0.5  # rejected below half of the sample's lowest per cent
 UNDETERMINED = "und"
-PART_ROWS = 512
+PART_ROWS, PART_BYTES = 512, 1 << 20  # texts that are counted at once
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -52,25 +52,22 @@ def counts(column: pa.Array) -> np.ndarray:
     data, offsets = W.raw(column)
     n = len(offsets) - 1
     data = _LETTER[data]
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    gram, same = np.zeros(len(data), np.uint64), np.ones(len(data), bool)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    blank = data == 32
+    gram = np.zeros(len(data), np.uint32)
     out = np.zeros(n * DIMS, np.int64)
     for size in range(1, 4):
-        if len(data) < size:
-            break
         m = len(data) - size + 1
-        gram = (gram[:m] << np.uint64(8)) | data[size - 1:]
-        same = same[:m] & (row[:m] == row[size - 1:])
-        blank = data == 32
+        if m < 1:
+            break
+        gram = (gram[:m] << np.uint32(8)) | data[size - 1:]
         if size == 1:
-            same &= ~blank
-            use = same
-            same = np.ones(m, bool)
-        else:
-            same &= ~(blank[size - 2:size - 2 + m] & blank[size - 1:])
-            use = same
-        bucket = ((gram + np.uint64(size << 24)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-        out += np.bincount((row[:m] * DIMS + bucket.astype(np.int64))[use], minlength=n * DIMS)
+            use = ~blank
+        else:  # within one text, and no two blanks side by side
+            use = (use[:m] if size == 3 else np.ones(m, bool)) & (row[:m] == row[size - 1:])
+            use &= ~(blank[size - 2:size - 2 + m] & blank[size - 1:])
+        bucket = ((gram[use] + np.uint32(size << 24)) * np.uint32(0x9E3779B1)) >> np.uint32(20)
+        out += np.bincount(row[:m][use].astype(np.int64) * DIMS + bucket, minlength=n * DIMS)
     return out.reshape(n, DIMS)
 
 
@@ -84,7 +81,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(dim, texts that have it) of a partition; dim -1 counts the texts."""
     total, texts = np.zeros(DIMS, np.int64), 0
     for whole in batches:
-        for batch in W.slices(whole, "text", rows=PART_ROWS):
+        for batch in W.slices(whole, "text", PART_BYTES, PART_ROWS):
             total += (counts(batch.column("text")) > 0).sum(axis=0)
             texts += batch.num_rows
     yield pa.RecordBatch.from_arrays([
@@ -114,7 +111,7 @@ def _fitted(idf: np.ndarray):
         table = table.sort_by("doc_id")
         parts = [vectors(counts(b.column("text")), idf).astype(np.float32)
                  for whole in table.combine_chunks().to_batches()
-                 for b in W.slices(whole, "text", rows=PART_ROWS)]
+                 for b in W.slices(whole, "text", PART_BYTES, PART_ROWS)]
         points = np.concatenate(parts)
         centroids = cluster(points)
         cosine = (points @ centroids.T).max(axis=1)
@@ -141,7 +138,7 @@ def train(labelled: DataFrame) -> Model:
     ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn(
         "rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).select(
         F.col("doc_id").alias("id"), F.col("lang").alias("id_lang"))
-    sample = rows.join(ids.distinct(), (F.col("doc_id") == F.col("id")) & (
+    sample = rows.join(small(ids.distinct()), (F.col("doc_id") == F.col("id")) & (
         F.col("lang") == F.col("id_lang")), "left_semi")
     fitted = sample.groupBy("lang").applyInArrow(
         _fitted(idf), "lang string, limit double, centroid binary").collect()
@@ -165,31 +162,30 @@ def predict(model: Model, column: pa.Array, lettered: np.ndarray
     return langs, np.where(lettered, score, 0.0), ~lettered | (score < model.limits[best])
 
 
-def _predicted(model: Model, names: list[str]):
-    """Replaces the columns lowered and lettered by the prediction; others pass through."""
+def _verdicts(model: Model):
+    """An Arrow function of (lower-case text, has a letter); other columns stay with Spark."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in W.slices(whole, "lowered", rows=PART_ROWS):
-                lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
-                langs, score, rejected = predict(model, batch.column("lowered"), lettered)
-                yield pa.RecordBatch.from_arrays([
-                    *[batch.column(n) for n in names], pa.array(langs, pa.string()),
-                    pa.array(score, pa.float64()), pa.array(rejected)],
-                    [*names, "lang_pred", "score", "rejected"])
+    @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
+    def verdict(lowered: pa.Array, lettered: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([lowered, lettered], ["lowered", "lettered"])
+        parts: list[tuple] = [([], np.zeros(0), np.zeros(0, bool))]
+        for batch in W.slices(rows, "lowered", PART_BYTES, PART_ROWS):
+            parts.append(predict(model, batch.column(0), batch.column(1).to_numpy(
+                zero_copy_only=False)))
+        langs, scores, rejected = zip(*parts, strict=True)
+        return pa.StructArray.from_arrays([
+            pa.array([x for part in langs for x in part], pa.string()),
+            pa.array(np.concatenate(scores), pa.float64()),
+            pa.array(np.concatenate(rejected), pa.bool_())], ["lang_pred", "score", "rejected"])
 
-    return run
+    return verdict
 
 
 def with_language(rows: DataFrame, text: Column, model: Model) -> DataFrame:
     """``rows`` with lang_pred, score and rejected."""
-    names = rows.columns
-    ready = rows.withColumns({
-        "lowered": F.lower(text),
-        "lettered": F.coalesce(text.rlike("\\p{L}"), F.lit(False))})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return ready.mapInArrow(_predicted(model, names),
-                            schema + ", lang_pred string, score double, rejected boolean")
+    lettered = F.coalesce(text.rlike("\\p{L}"), F.lit(False))
+    judged = rows.withColumn("_language", _verdicts(model)(F.lower(text), lettered))
+    return judged.select(*rows.columns, "_language.*")
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -210,11 +206,8 @@ def language_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     model = train(training_rows(docs, key, text, lang))
     rows = pick(docs, doc_id=key, text=text)
     held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
-    ready = rows.select("doc_id", held_out.alias("held_out"), F.lower("text").alias("lowered"),
-                        F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("lettered"))
-    return ready.mapInArrow(
-        _predicted(model, ["doc_id", "held_out"]),
-        "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return with_language(rows.select("doc_id", held_out.alias("held_out"), "text"), F.col("text"),
+                         model).drop("text")
 
 
 def in_known_language(docs: DataFrame, key: str = "doc_id", text: str = "text",

@@ -27,7 +27,7 @@ from lumbung.llm.common import kept, pick
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 1_500_000  # words whose ids a worker remembers (about 70 MB) before starting anew
+CACHED_WORDS = 700_000  # words whose ids a worker remembers (about 35 MB) before starting anew
 LONG_WORD = 64  # longer words are encoded each time
 MARKS = b".,;:!?%&$#*+()-"
 CONTROL = b"<|"  # a word that has this is kept apart by letter case

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import UPPER, kept, numbered, pick, restored
+from lumbung.llm.common import UPPER, kept, numbered, pick, restored, small
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -143,7 +143,7 @@ def learned_limits(rows: DataFrame, few: int = FEW) -> DataFrame:
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds base_failed and kept; a share that is null or has no limit passes."""
-    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("limit_lang")) & F.col(
+    joined = rows.join(small(limits), F.col("lang").eqNullSafe(F.col("limit_lang")) & F.col(
         "source").eqNullSafe(F.col("limit_source")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
@@ -160,7 +160,7 @@ def quality_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     """One row per document: its counts, base_failed and kept."""
     rows = pick(docs, doc_id=key, text=text, lang=lang, source=source)
     counted = kept(shares(measured(rows, "text")).drop("text"))
-    return judged(counted, learned_limits(counted)).select(
+    return judged(counted, kept(learned_limits(counted))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumbung.llm import (chat, exactdup, extraction, langid, lm, neardup, packing, pieces, quality,
                          sharding)
+from lumbung.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -40,6 +40,7 @@ DIM = 32
 ROUNDS = 3
 NOISE = 64
 MINIBATCH = 4096
+HEAVY = 4096
 RATE = 0.1
 SEED = 11
 MERGE_AT = 1 << 22  # distinct entries that a task gathers before it sends them on
@@ -193,12 +194,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def whole_pass(counts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in random order and their weights; a row's weights are in proportion to its count.
+
+    A row above a ``HEAVY``-th of a minibatch's usual sum comes in equal parts, so that no single
+    count rules a step. The parts add at most ``HEAVY`` rows to a minibatch.
+    """
+    usual = counts.sum() * min(1.0, MINIBATCH / len(counts))
+    times = np.ceil(counts * (HEAVY / usual)).astype(np.int64)
+    row = rng.permutation(np.repeat(np.arange(len(counts)), times))
+    return row, (counts[row] / (times[row] * usual)).astype(np.float32)
+
+
 def train_locally(model: dict[str, np.ndarray], noise: np.ndarray, keys: np.ndarray,
                   counts: np.ndarray, seed: int) -> dict[str, np.ndarray]:
     """Noise-contrastive estimation over (context, bucket) counts, with Adagrad.
 
-    Draws as many tokens as there are distinct counts, each by its count. ``NOISE`` buckets drawn
-    from the noise distribution are shared by the tokens of a minibatch.
+    One full pass: every count is used, its gradient weighted by it. ``NOISE`` buckets drawn from
+    the noise distribution are shared by the counts of a minibatch.
     """
     rng = np.random.default_rng([SEED, seed])
     model = {n: v.copy() for n, v in model.items()}
@@ -210,12 +223,9 @@ def train_locally(model: dict[str, np.ndarray], noise: np.ndarray, keys: np.ndar
         speed[name] += gradient * gradient
         model[name] += RATE * gradient / np.sqrt(speed[name])
 
-    mass = np.cumsum(counts)
-    draws = np.searchsorted(mass, rng.integers(0, mass[-1], max(MINIBATCH, len(keys))),
-                            side="right")
-    for at in range(0, len(draws), MINIBATCH):
-        part = draws[at:at + MINIBATCH]
-        weight = np.float32(1 / len(part))
+    row, weights = whole_pass(counts, rng)
+    for at in range(0, len(row), MINIBATCH):
+        part, weight = row[at:at + MINIBATCH], weights[at:at + MINIBATCH]
         word, context = keys[part] % BUCKETS, keys[part] // BUCKETS
         one, two = context % BUCKETS, context // BUCKETS
         vector = predicted(model, context)
@@ -223,7 +233,7 @@ def train_locally(model: dict[str, np.ndarray], noise: np.ndarray, keys: np.ndar
         good = (vector * model["target"][word]).sum(axis=1) + model["bias"][word] - log_noise[word]
         bad = vector @ model["target"][drawn].T + model["bias"][drawn] - log_noise[drawn]
         up = (1 - _sigmoid(good)) * weight
-        down = -_sigmoid(bad) * weight
+        down = -_sigmoid(bad) * weight[:, None]
         to_vector = up[:, None] * model["target"][word] + down @ model["target"][drawn]
         target, bias = np.zeros(_SHAPES["target"], np.float32), np.zeros(BUCKETS, np.float32)
         np.add.at(target, word, up[:, None] * vector)

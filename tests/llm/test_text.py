@@ -302,6 +302,27 @@ def test_lm_is_normalised():
     assert 10 ** scorer.log10(np.array([977]), np.array([5]))[0] > 0.5
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=9000), st.integers(0, 9))
+def test_lm_pass_uses_every_count(counts, seed):
+    counts = np.array(counts)
+    row, weights = lm.whole_pass(counts, np.random.default_rng(seed))
+    used = np.bincount(row, weights=weights, minlength=len(counts))
+    assert used / used.sum() == pytest.approx(counts / counts.sum(), rel=1e-4)
+    assert len(row) <= len(counts) + lm.HEAVY * (1 + len(counts) / lm.MINIBATCH)
+
+
+def test_lm_learns_a_rare_count():
+    """A count of one among heavy ones moves its own context in every pass."""
+    noise = np.full(lm.BUCKETS, 1 / lm.BUCKETS)
+    keys = np.arange(5000) * lm.BUCKETS + 7
+    counts = np.full(len(keys), 10**6)
+    keys[-1], counts[-1] = 400 * lm.BUCKETS**2 + 300 * lm.BUCKETS + 9, 1
+    before = lm.untrained(noise)
+    after = lm.train_locally(before, noise, keys, counts, 0)
+    assert (after["context"][[300, 400]] != before["context"][[300, 400]]).any(axis=1).all()
+
+
 def test_lm_rare_words_are_joined(frame, monkeypatch):
     """With few counts sent along, the others come from the join and give the same scores."""
     docs = frame(lm_rows())

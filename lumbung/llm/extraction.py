@@ -4,7 +4,9 @@ A page becomes a row of tokens: tags and runs of words. Words weigh by the eleme
 tags by their name; the weights are log odds learned from all pages that mark their article
 themselves (one ``article`` or ``main`` element). One linear scan finds the region of the greatest
 sum. Inside it, elements that are boilerplate by their kind or name are left out, and the rest is
-cut into blocks.
+cut into blocks. A name counts by weights as well: log odds that elements of this name hold the
+marked article, as against standing beside it. A name never leaves out an ``article`` or ``main``
+element inside, nor more than half of the page's words.
 
 Defined results: null html has no text; unclosed elements end with the element around them or with
 the page; what follows an unclosed script, style or comment belongs to it; character references are
@@ -56,7 +58,8 @@ ENDS_SAME = {"li": "li", "dt": "dd", "dd": "dt", "option": "option", "tr": "tr",
 SCOPES = set("ul ol dl table select article main body div section".split())
 
 CLIP = 6.0
-DEFAULT_WORD, DEFAULT_TAG = 1.0, -0.5
+DEFAULT_WORD, DEFAULT_TAG, DEFAULT_NAME = 1.0, -0.5, -1.0
+Weights = dict[tuple[str, str, bool], float]
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -68,16 +71,30 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|"
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 
-def named_boilerplate(attributes: str) -> bool:
-    """Is an element's class, id or role a word for boilerplate, or is it hidden."""
-    if not attributes.strip():
-        return False
-    for found in _NAME.finditer(attributes):
-        value = next(v for v in found.groups() if v is not None)
-        spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-        if not NAMES.isdisjoint(_SPLIT.split(spaced)):
-            return True
-    return bool(_HIDDEN.search(attributes))
+def boilerplate_names(attributes: str) -> set[str]:
+    """Words for boilerplate in an element's class, id or role."""
+    out: set[str] = set()
+    if attributes.strip():
+        for found in _NAME.finditer(attributes):
+            value = next(v for v in found.groups() if v is not None)
+            spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
+            out |= NAMES.intersection(_SPLIT.split(spaced))
+    return out
+
+
+class Named:
+    """An element with words for boilerplate in its name, and what it holds."""
+
+    __slots__ = ("names", "marked", "parent", "words", "holds", "out")
+
+    def __init__(self, names, marked, parent):
+        self.names, self.marked, self.parent = names, marked, parent
+        self.words, self.holds, self.out = 0, False, False
+
+    def cut(self, weights: Weights, most: float) -> bool:
+        """Its names weigh negative, and it holds no marked element and at most half the words."""
+        return not self.holds and self.words <= most and sum(
+            weights.get(("name", n, False), DEFAULT_NAME) for n in self.names) < 0
 
 
 class Token:
@@ -90,10 +107,16 @@ class Token:
         self.out, self.marked, self.block = out, marked, block
 
 
-def tokens(page: str) -> list[Token]:
-    """Tags and texts in order. ``out``: boilerplate by kind or name; ``block``: ends a block."""
+def tokens(page: str, weights: Weights | None = None) -> tuple[list[Token], list[Named]]:
+    """Tags and texts in order, and the named elements.
+
+    ``out``: boilerplate by kind or name; ``block``: ends a block.
+    """
     row: list[Token] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, inside a marked element
+    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate by kind, inside a marked element
+    open_named: list[tuple[int, Named]] = []  # depth in the stack
+    named: list[Named] = []
+    within: list[Named | None] = []  # the innermost one around each token
     at = 0
 
     def state() -> tuple[bool, bool]:
@@ -102,8 +125,14 @@ def tokens(page: str) -> list[Token]:
     def element() -> str:
         return next((n for n, _, _ in reversed(stack) if n not in INLINE), "html")
 
+    def holder() -> Named | None:
+        while open_named and open_named[-1][0] >= len(stack):
+            open_named.pop()
+        return open_named[-1][1] if open_named else None
+
     def text(piece: str) -> None:
         if piece:
+            within.append(holder())
             out, marked = state()
             plain = entities.unescape(piece)
             row.append(Token(("word", element(), out), len(plain.split()), plain, out, marked,
@@ -112,6 +141,7 @@ def tokens(page: str) -> list[Token]:
     def tag(name: str, sign: str) -> None:
         out, marked = state()
         known = name if name in _KNOWN else "other"
+        within.append(holder())
         row.append(Token(("tag", sign + known, out), 0, "", out, marked, name not in INLINE
                          and name not in CELLS))
 
@@ -139,13 +169,23 @@ def tokens(page: str) -> list[Token]:
             del stack[next(i for i, x in enumerate(stack) if x[0] == "head"):]
         out, marked = state()
         marked_here = marked or name in MARKED
+        plain = name in ("html", "body", *MARKED)
         left_out = out or name in LEFT_OUT or (name == "header" and not marked) or (
-            name not in ("html", "body", *MARKED) and named_boilerplate(found[3]))
+            not plain and bool(_HIDDEN.search(found[3])))
         if name in VOID or found[3].endswith("/") and name not in RAW:
             if name in VOID:
                 tag(name, "")
             continue
+        parent = holder()
+        if name in MARKED and parent:
+            parent.holds = True
         stack.append((name, left_out, marked_here))
+        names = set() if plain else boilerplate_names(found[3])
+        if marked:
+            names.discard("header")  # an article's header has its title
+        if names:
+            named.append(Named(names, marked, parent))
+            open_named.append((len(stack) - 1, named[-1]))
         tag(name, "")
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
@@ -154,32 +194,51 @@ def tokens(page: str) -> list[Token]:
                 text(page[at:stop])
             at = stop
     text(page[at:] if at < len(page) else "")
-    return row
+    total = 0
+    for t, x in zip(row, within, strict=True):
+        if not t.out:
+            total += t.words
+            if x:
+                x.words += t.words
+    for x in reversed(named):
+        if x.parent:
+            x.parent.words += x.words
+            x.parent.holds |= x.holds
+    for x in named:
+        x.out = bool(x.parent and x.parent.out) or x.cut(weights or {}, total / 2)
+    for t, x in zip(row, within, strict=True):
+        if x and x.out and not t.out:
+            t.out, t.kind = True, (*t.kind[:2], True)
+    return row, named
 
 
 _KNOWN = set(KNOWN)
-Weights = dict[tuple[str, str, bool], float]
 
 
 def label_counts(page: str) -> Counter:
     """(feature, inside the marked article) of a page that marks exactly one."""
-    row = tokens(page)
+    row, named = tokens(page)
     opens = sum(t.kind[0] == "tag" and t.kind[1] in MARKED for t in row)
     out: Counter = Counter()
     if opens != 1:
         return out
     for t in row:
         out[t.kind, t.marked] += t.words if t.kind[0] == "word" else 1
+    for x in named:
+        if not x.marked:  # inside the article, the marking does not tell what is boilerplate
+            for n in x.names:
+                out[("name", n, False), x.holds] += 1
     return out
 
 
 def weights_of(counts: dict[tuple[tuple[str, str, bool], bool], int]) -> Weights:
-    """Log odds of each feature; tags are never positive."""
+    """Log odds of each feature; tags are never positive. Names: of elements around the article."""
     out: Weights = {}
     for kind in {k for k, _ in counts}:
         odds = math.log((counts.get((kind, True), 0) + 1) / (counts.get((kind, False), 0) + 1))
         odds = max(-CLIP, min(CLIP, odds))
-        out[kind] = odds if kind[0] == "word" else min(odds, 0.0) - 0.1
+        out[kind] = odds if kind[0] == "word" else (
+            odds if kind[0] == "name" else min(odds, 0.0)) - 0.1
     return out
 
 
@@ -207,7 +266,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the best region without boilerplate, joined by an empty line."""
     if not page:
         return ""
-    row = tokens(page)
+    row, _ = tokens(page, weights)
     start, stop = best_region([score(t, weights) for t in row])
     blocks, held = [], []
     for t in row[start:stop]:

@@ -197,6 +197,37 @@ def test_extraction(frame):
     assert extraction.main_texts(empty).collect() == []
 
 
+WRAPPERS = ["<div class='content has-sidebar'>", "<div class='layout-sidebar-right'>",
+            "<div class='page no-comments'>", "<section class='post-with-related'>",
+            "<div class='social-science'>", "<div id='search-results'>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_extraction_named_wrapper(wrapper, inner):
+    """A name on an element around the article, or around most words, leaves nothing out."""
+    close = f"</{wrapper[1:].split()[0]}>"
+    page = (f"<body><nav>Home</nav>{wrapper}<{inner}><h1>The whole title here</h1>"
+            f"<p>First of the words.</p><div class='share-buttons'>Share</div></{inner}>{close}</body>")
+    assert extraction.main_text(page, {}) == "The whole title here\n\nFirst of the words."
+
+
+@pytest.mark.parametrize("name", ["entry-header", "post-header"])
+def test_extraction_title_in_header(name):
+    page = (f"<article><div class='{name}'><h1>The whole title here</h1></div>"
+            "<p>Some words of text</p></article>")
+    assert extraction.main_text(page, {}) == "The whole title here\n\nSome words of text"
+
+
+def test_extraction_learns_names():
+    """A name that stands around articles does not leave out a small part; one beside them does."""
+    counts = extraction.label_counts(
+        "<div class='social-science'><article>a b c</article></div><div class='related'>x</div>")
+    weights = extraction.weights_of(counts)
+    page = "<article>a b c d<div class='social-science'>e</div><p class='related'>f</p></article>"
+    assert extraction.main_text(page, weights) == "a b c d\n\ne"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(-4, 4).map(float), max_size=12))
 def test_best_region(values):

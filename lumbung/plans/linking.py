@@ -330,6 +330,13 @@ def similar_part_names(spark, sf_dir):
     return linkage.similar_values(names, names, 0.8).where("left_text < right_text")
 
 
+@query("similar_part_texts")
+def similar_part_texts(spark, sf_dir):
+    """The same over the names as published; checked against all pairs by a test."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))
+    return linkage.similar_values(names, names, 0.8).where("left_text < right_text")
+
+
 # ---- words: names as published (the same decisions are checked by tests on small fixtures) ------
 def word_plans(spark, sf_dir):
     k = F.col("c_custkey")

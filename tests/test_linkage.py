@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lumbung.operators import contracts, linkage
 
 PLAN = "plan_id string, package_name string, institution string, satker string, year int, " \
@@ -204,3 +205,18 @@ def test_reviews_are_appended(spark):
     out = contracts.append_reviews(audited, reviews).collect()
     assert [r.human_decision for r in out] == ["CONFIRM_MATCH"]
     assert out[0].review_decision_id.startswith("human-review-")
+
+
+def test_similar_part_texts(spark, tmp_path):
+    """The registered query over names with other characters against an all-pairs restatement."""
+    rng = random.Random(8)
+    words = ["caf\u00e9", "ring", "rings", "bolt-7", "bolt 8", "large", "Larger"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+             for _ in range(150)] + ["", None]
+    spark.createDataFrame([(i, n) for i, n in enumerate(names)], "p_partkey long, p_name string"
+                          ).write.parquet(f"{tmp_path}/part.parquet")
+    got = [tuple(r) for r in queries()["similar_part_texts"](spark, str(tmp_path)).collect()]
+    texts = {re.sub("[^a-z0-9]+", " ", (n or "").lower()).strip() for n in names} - {""}
+    want = {(a, b) for a in texts for b in texts if a < b and (
+        SequenceMatcher(None, a, b).ratio() >= 0.8)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20

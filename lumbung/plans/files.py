@@ -70,19 +70,32 @@ def sidecar_rows(spark, sf_dir):
  SELECT n_nationkey, n_name, 'registry' AS artifact, TRUE AS refused_when_changed FROM nation""")
 def artifact_rows(spark, sf_dir):
     """A table bound to its metadata; the same metadata over other rows is refused."""
+    return bound_rows(spark, table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
+                      "n_nationkey > 0")
+
+
+@query("artifact_orders", """
+ SELECT o_orderkey, o_custkey, 'registry' AS artifact, TRUE AS refused_when_changed FROM orders""")
+def artifact_orders(spark, sf_dir):
+    """The same for a table that grows."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return bound_rows(spark, rows, "o_orderkey % 1000 <> 1")
+
+
+def bound_rows(spark, rows, others):
+    """``rows`` written and loaded as an artifact, which is refused with the rows of ``others``."""
     folder = fresh_folder(spark, "artifact")
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     sinks.write_artifact(rows, folder, "registry")
     loaded, meta = sinks.load_artifact(spark, folder, "registry")
-    sinks.write_parquet(rows.where("n_nationkey > 0"), f"{folder}/other/table")
+    sinks.write_parquet(rows.where(others), f"{folder}/other/table")
     spark.read.json(f"{folder}/metadata").write.json(f"{folder}/other/metadata")
     try:
         sinks.load_artifact(spark, f"{folder}/other", "registry")
         refused = False
     except ValueError:
         refused = True
-    return loaded.select("n_nationkey", "n_name", F.lit(meta["registry_artifact_id"]).alias(
-        "artifact"), F.lit(refused).alias("refused_when_changed"))
+    return loaded.select(*rows.columns, F.lit(meta["registry_artifact_id"]).alias("artifact"),
+                         F.lit(refused).alias("refused_when_changed"))
 
 
 CONFIDENCE = ["high", "0.25", "weak", ""]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbung.llm import (chat, exactdup, extraction, langid, lm, neardup, packing, pieces, quality,
+from lumbung.llm import (audit, chat, exactdup, extraction, langid, lm, neardup, packing, pieces, quality,
                          sharding)
 from lumbung.llm.common import bounded_batches
 
@@ -220,3 +220,41 @@ def op10_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     log = chat.conversation_log(turns.unionByName(planted))
     return chat.digests(chat.read_back(chat.rendered(chat.folded(log))))
+
+
+AUDIT_SQL = f"""
+ WITH l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS
+   toxic FROM labels GROUP BY 1),
+ d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(
+   regexp_split_to_array(coalesce(text, ''), {SPACE_SQL}), lambda x: x <> '') AS words
+   FROM documents),
+ m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(words) < 50,
+   100 * len(list_distinct(words)) < 65 * len(words),
+   100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+   regexp_matches(text, '[#$%&*|]'),
+   coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE)] AS fails
+   FROM d LEFT JOIN l USING (doc_id)),
+ g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m
+   GROUP BY 1, 2),
+ x AS (SELECT unnest(range(1, 6)) AS i),
+ o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS seq FROM x a, x b, x c, x d, x e
+   WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+ t AS (SELECT part, list_aggregate(list_transform(seq, lambda i: chr(CAST(64 + i AS INT))),
+   'string_agg', '') AS filter_order, step, seq[step] AS own, sum(n) FILTER (first > step) AS kept,
+   sum(n) FILTER (first = step) AS removed, sum(n) FILTER (fails[seq[step]] AND first < step)
+   AS redundant, sum(n) FILTER (fails[seq[step]] AND len(list_filter(fails, lambda v: v)) = 1)
+   AS unique_fails, sum(good) FILTER (first = step) AS good_lost,
+   sum(toxic) FILTER (first = step) AS toxic_lost
+   FROM (SELECT *, coalesce(list_position(list_transform(seq, lambda i: fails[i]), TRUE), 9)
+     AS first FROM g, o), (SELECT i AS step FROM x) GROUP BY part, seq, step)
+ SELECT part, filter_order, CAST(step AS INT) AS step, coalesce(kept, 0)::BIGINT AS kept,
+  coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley FROM t"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11_filter_audit(spark, sf_dir):
+    return audit.interactions(audit.failing(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbung.llm import (audit, chat, exactdup, extraction, langid, lm, neardup, packing, pieces, quality,
-                         sharding)
+from lumbung.llm import (audit, chat, exactdup, extraction, langid, lm, neardup, packing, pieces,
+                         quality, sharding, variants)
 from lumbung.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +258,37 @@ AUDIT_SQL = f"""
 def op11_filter_audit(spark, sf_dir):
     return audit.interactions(audit.failing(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+# One deletion from either word, at the same place, makes near words equal; so does one from the
+# longer word alone. Each word is therefore joined by what is left of it after each deletion.
+VARIANTS_SQL = f"""
+ WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(
+   text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+'))
+   AS run FROM documents),
+ q AS (SELECT d, run, count(*) AS n FROM r GROUP BY 1, 2),
+ h AS (SELECT run, n, CAST({crc_sql("d || ':' || run")} AS BIGINT) AS h FROM q),
+ t AS (SELECT n, CASE WHEN h % 97 <> 0 THEN run ELSE substr(run, 1, CAST(h % length(run) AS INT))
+   || substr(run, CAST(h % length(run) AS INT) + 2) END AS word FROM h),
+ v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n, length(word) AS m FROM t
+   WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+ c AS MATERIALIZED (SELECT word, n, m, i, substr(word, 1, CAST(i AS INT) - 1) ||
+   substr(word, CAST(i AS INT) + 1) AS rest FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM v)),
+ p AS (SELECT DISTINCT a.word, b.word AS other, b.n FROM c a JOIN c b
+     ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+   UNION SELECT a.word, b.word, b.n FROM c a JOIN v b ON a.rest = b.word
+   UNION SELECT b.word, a.word, a.n FROM c a JOIN v b ON a.rest = b.word),
+ s AS (SELECT word, count(*) AS n_near, max(n) AS top, arg_min(other, (-n, other)) AS best
+   FROM p GROUP BY 1),
+ f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+   CASE WHEN top >= 2 * v.n THEN best END AS form, CASE WHEN top >= 2 * v.n THEN top END AS form_n
+   FROM v LEFT JOIN s USING (word)),
+ w(word, last, depth) AS (SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL
+   SELECT w.word, f.form, depth + 1 FROM w JOIN f ON w.last = f.word WHERE f.form IS NOT NULL),
+ e AS (SELECT word, arg_max(last, depth) AS root FROM w GROUP BY 1)
+ SELECT word, n, n_near, form, form_n, coalesce(root, word) AS root FROM f LEFT JOIN e USING (word)"""
+
+
+@query("op12_spelling_variants", VARIANTS_SQL)
+def op12_spelling_variants(spark, sf_dir):
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))

@@ -27,8 +27,8 @@ def failed(rows):
 
 
 def plain(rows, labels):
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, t in labels if t == 1}
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
     fails, out = failed(rows), {}
     for part in {s or "" for _, _, s in rows}:
         own = [(d, f) for (d, _, s), f in zip(rows, fails, strict=True) if (s or "") == part]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbung.llm import (audit, chat, exactdup, extraction, langid, lm, neardup, packing, pieces,
-                         quality, sharding, variants)
+from lumbung.llm import (audit, bytebpe, chat, exactdup, extraction, langid, lm, neardup, packing,
+                         pieces, quality, sharding, variants)
 from lumbung.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,3 +292,12 @@ VARIANTS_SQL = f"""
 @query("op12_spelling_variants", VARIANTS_SQL)
 def op12_spelling_variants(spark, sf_dir):
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bytebpe.digests(bytebpe.decoded(bytebpe.encoded(
+        table(spark, sf_dir, "documents"), path), path))

@@ -1,149 +1,29 @@
-"""Scoring of a block of plans against a block of evidence rows (runs inside Spark tasks).
-
-Only pairs that survive the hard conflicts are scored in full; most pairs are settled by the
-letter-count bound, and every distinct pair of texts is compared at most once per block.
-"""
+"""Similar pairs between two blocks of distinct texts (runs inside Spark tasks)."""
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pandas as pd
 
-from lumbung.functions.similarity import letter_counts, ratio, upper_bound
-from lumbung.rules import linkage as R
-
-TEXTS = ["package_name", "institution", "satker", "location", "category", "vendor_hint",
-         "other_metadata"]
-BLOCK_SCHEMA = """plan_id string, remaining bigint,
-best array<struct<primary_count:int,total_count:int,confidence:double,candidate_id:string,
-signals:array<string>,conflicts:array<string>>>"""
-
-
-class TextPairs:
-    """Similarities between the distinct texts of two columns, computed on demand."""
-
-    def __init__(self, left: pd.Series, right: pd.Series, bounded: bool):
-        self.left, self.left_code = np.unique(left.to_numpy(dtype=str), return_inverse=True)
-        self.right, self.right_code = np.unique(right.to_numpy(dtype=str), return_inverse=True)
-        self.known: dict[tuple[int, int], float] = {}
-        self.bound = upper_bound(letter_counts(self.left), letter_counts(self.right)) \
-            if bounded else None
-        # 0: not compared yet, 1: similar, 2: not similar (the bound settles most at once).
-        self.verdict: np.ndarray | None = None
-
-    def value(self, a: int, b: int) -> float:
-        if (a, b) not in self.known:
-            self.known[a, b] = ratio(str(self.left[a]), str(self.right[b]))
-        return self.known[a, b]
-
-    def score(self, row: int, column: int) -> float:
-        return self.value(self.left_code[row], self.right_code[column])
+from lumbung.functions.similarity import letter_counts, upper_bound
 
-    def reaches(self, row: int, columns: np.ndarray, threshold: float) -> np.ndarray:
-        """Which of ``columns`` are at least ``threshold`` similar to the row's text."""
-        if self.verdict is None:
-            self.verdict = np.where(self.bound >= threshold, 0, 2).astype(np.int8)
-        a = self.left_code[row]
-        codes = self.right_code[columns]
-        known = self.verdict[a]
-        for b in np.unique(codes[known[codes] == 0]):
-            known[b] = 1 if self.value(a, b) >= threshold else 2
-        return known[codes] == 1
-
-
-def _major(family: str, others: np.ndarray) -> np.ndarray:
-    """Method families that cannot belong to one procurement."""
-    given = (others != "") & (others != family)
-    if not family:
-        return np.zeros(len(others), dtype=bool)
-    if family == "E_PURCHASING":
-        return given
-    clash = others == "E_PURCHASING"
-    if family in ("TENDER", "NON_TENDER"):
-        clash |= np.isin(others, ["TENDER", "NON_TENDER"])
-    return given & clash
-
-
-def _budget_score(a: float, b: float) -> float:
-    if np.isnan(a) or np.isnan(b):
-        return 0.0
-    return max(0.0, 1.0 - abs(a - b) / max(abs(a), abs(b), 1.0))
 
+def similar_pairs(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(left_text, right_text, score) of all pairs of distinct texts reaching the threshold.
 
-def score_block(plans: pd.DataFrame, evidence: pd.DataFrame, keep: int | None = 2
-                ) -> pd.DataFrame:
-    """Per plan with a candidate: its best ``keep`` ones (None: all) and their number."""
-    pairs = {f: TextPairs(plans[f"n_{f}"], evidence[f"n_{f}"], f in (
-        "package_name", "institution", "satker")) for f in TEXTS}
-    given_p = {f: plans[f"has_{f}"].to_numpy(dtype=bool) for f in TEXTS}
-    given_e = {f: evidence[f"has_{f}"].to_numpy(dtype=bool) for f in TEXTS}
-    year_p, year_e = (d["year"].astype("float64").to_numpy() for d in (plans, evidence))
-    cost_p, cost_e = (d["budget"].astype("float64").to_numpy() for d in (plans, evidence))
-    way_p, way_e = (d["family"].to_numpy(dtype=str) for d in (plans, evidence))
-    raw_p, raw_e = (d["has_method"].to_numpy(dtype=bool) for d in (plans, evidence))
-    ids = evidence["candidate_id"].to_numpy(dtype=str)
-    everything = np.arange(len(evidence))
-    limits = (("institution", R.CONFLICT_INSTITUTION), ("satker", R.CONFLICT_SATKER),
-              ("package_name", R.CONFLICT_NAME))
+    Shared letters bound the score and settle most pairs at once; each other pair is compared once,
+    and what the comparison learns about a right text serves all its pairs.
+    """
+    a, b = (np.unique(x["text"].to_numpy(dtype=str)) for x in (left, right))
+    close = upper_bound(letter_counts(a), letter_counts(b)) >= threshold
     out = []
-    for i, plan_id in enumerate(plans["plan_id"]):
-        alive = ~_major(way_p[i], way_e)
-        for field, limit in limits:
-            if given_p[field][i]:
-                columns = everything[alive & given_e[field]]
-                alive[columns[~pairs[field].reaches(i, columns, limit)]] = False
-        candidates = []
-        for j in everything[alive]:
-            metrics = {f: pairs[f].score(i, j) for f in TEXTS}
-            cost = _budget_score(cost_p[i], cost_e[j])
-            signals = [n for n, f in zip(R.PRIMARY_SIGNALS, TEXTS) if metrics[f]
-                       >= R.SIGNAL_TEXT]
-            primary = len(signals)
-            both_years = not (np.isnan(year_p[i]) or np.isnan(year_e[j]))
-            both_costs = not (np.isnan(cost_p[i]) or np.isnan(cost_e[j]))
-            if both_years and year_p[i] == year_e[j]:
-                signals.append("YEAR")
-            if both_costs and cost >= R.SIGNAL_BUDGET:
-                signals.append("BUDGET")
-            if raw_p[i] and raw_e[j] and way_p[i] == way_e[j]:
-                signals.append("PROCUREMENT_METHOD")
-            conflicts = []
-            if way_p[i] and way_e[j] and way_p[i] != way_e[j]:
-                conflicts.append("MINOR_PROCUREMENT_METHOD_DIFFERENCE")
-            if both_years and year_p[i] != year_e[j]:
-                conflicts.append("YEAR_CONFLICT")
-            if both_costs and cost < R.CONFLICT_BUDGET:
-                conflicts.append("BUDGET_DEVIATION")
-            for f, signal, conflict in (
-                    ("location", "LOCATION", "LOCATION_DIFFERENCE"),
-                    ("category", "CATEGORY", "CATEGORY_DIFFERENCE"),
-                    ("vendor_hint", "VENDOR_HINT", None),
-                    ("other_metadata", "OTHER_METADATA", "METADATA_DIFFERENCE")):
-                if given_p[f][i] and given_e[f][j]:
-                    if metrics[f] >= R.SIGNAL_TEXT:
-                        signals.append(signal)
-                    elif conflict and metrics[f] < R.CONFLICT_OTHER:
-                        conflicts.append(conflict)
-            mean = round(sum([metrics["package_name"], metrics["institution"],
-                              metrics["satker"], cost, metrics["location"],
-                              metrics["category"], metrics["vendor_hint"],
-                              metrics["other_metadata"]]) / 8, 6)
-            candidates.append((-primary, -len(signals), -mean, ids[j], sorted(signals),
-                               sorted(conflicts)))
-        if not candidates:
-            continue
-        candidates.sort(key=lambda c: c[:4])
-        out.append((plan_id, len(candidates),
-                    [dict(primary_count=-c[0], total_count=-c[1], confidence=-c[2],
-                          candidate_id=c[3], signals=c[4], conflicts=c[5])
-                     for c in candidates[:keep]]))
-    return pd.DataFrame(out, columns=["plan_id", "remaining", "best"])
-
-
-def similar_pairs(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """All pairs of distinct texts reaching the threshold."""
-    texts = TextPairs(left["text"], right["text"], bounded=True)
-    close = np.argwhere(texts.bound >= threshold)
-    rows = [(str(texts.left[a]), str(texts.right[b])) for a, b in close
-            if texts.value(a, b) >= threshold]
-    return pd.DataFrame(rows, columns=["left_text", "right_text"])
+    for j in np.flatnonzero(close.any(axis=0)):
+        matcher = SequenceMatcher(None, "", str(b[j]))
+        for i in np.flatnonzero(close[:, j]):
+            matcher.set_seq1(str(a[i]))
+            score = matcher.ratio()
+            if score >= threshold:
+                out.append((str(a[i]), str(b[j]), score))
+    return pd.DataFrame(out, columns=["left_text", "right_text", "score"])

@@ -1,10 +1,16 @@
 """Plan-to-evidence linkage: evidence before score, hard conflicts first, ties to a person.
 
-By definition every plan is compared with every evidence row. A pair whose institutions are both
-given and less than 0.65 similar is rejected anyway, so plans only meet evidence of a similar (or
-missing) institution. Distinct institution names are compared once, in tiles pruned by text length.
-Plans and evidence meet in bounded (plan part x evidence part) tiles, where equal package names lie
-together; a tile emits at most the two best candidates per plan, never pairs.
+By definition every plan is compared with every evidence row. Three texts decide whether a pair
+survives: institution, unit and package name, wherever both sides give them. Their distinct values
+are compared once, in tiles pruned by lengths and letter counts, which never drop a match; the
+result is one stored table of scored text pairs per field. Everything else is joins and column
+expressions.
+
+Rows that agree in all compared fields form a profile, so copies are judged once. Profiles meet
+over the scored pairs of the first of the three texts that both sides give, and must then be found
+in the tables of the other two. Only profiles that share no given text meet without such a table:
+no rule can reject them by a text, so all of them are candidates. Signals, conflicts and confidence
+are expressions over the scores; the two best candidates per plan come from a rank filter.
 
 Which hard conflicts a plan without any candidate met is counted on distinct values, again without
 pairs, because only "is there a dissimilar one" matters.
@@ -19,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbung.functions.digests import dataset_digest, digest_of, row_digest
-from lumbung.functions.pairing import BLOCK_SCHEMA, TEXTS, score_block, similar_pairs
+from lumbung.functions.pairing import similar_pairs
 from lumbung.functions.ranking import one_per_group
 from lumbung.functions.similarity import gestalt
 from lumbung.functions.text import (clean, clean_inner, location_parts, method_family, normalize,
@@ -28,7 +34,7 @@ from lumbung.functions.web import plan_lookup_url, tender_lookup_url
 from lumbung.operators.status import procurement_status
 from lumbung.rules import linkage as R
 from lumbung.rules.evidence import PLANNING_ONLY
-from lumbung.session import cut_lineage
+from lumbung.session import broadcast_if_few, cut_lineage
 
 TILE_ROWS = 2_000
 ACCEPTED = ["PROBABLE_MATCH", "CONFIRMED_MATCH"]
@@ -36,6 +42,15 @@ IDENTITY_FIELDS = ["package_name", "institution", "satker", "year", "budget",
                    "procurement_method", "location", "category"]
 HARD_TEXTS = [("institution", R.CONFLICT_INSTITUTION), ("satker", R.CONFLICT_SATKER),
               ("package_name", R.CONFLICT_NAME)]
+SOFT_TEXTS = [("location", "LOCATION", "LOCATION_DIFFERENCE"),
+              ("category", "CATEGORY", "CATEGORY_DIFFERENCE"),
+              ("vendor_hint", "VENDOR_HINT", None),
+              ("other_metadata", "OTHER_METADATA", "METADATA_DIFFERENCE")]
+TEXTS = [f for f, _ in HARD_TEXTS] + [f for f, _, _ in SOFT_TEXTS]
+COMPARED = [*[f"{kind}_{f}" for f in TEXTS for kind in ("n", "has")], "year", "budget", "family",
+            "has_method"]
+BEST = """array<struct<primary_count:int,total_count:int,confidence:double,candidate_id:string,
+signals:array<string>,conflicts:array<string>>>"""
 
 
 def _prepare(df: DataFrame, key: str) -> DataFrame:
@@ -46,7 +61,8 @@ def _prepare(df: DataFrame, key: str) -> DataFrame:
     return df.select(
         F.col(key), *[normalize(raw(f)).alias(f"n_{f}") for f in TEXTS],
         *[(raw(f) != "").alias(f"has_{f}") for f in TEXTS],
-        F.col("year").cast("int").alias("year"), F.col("budget").cast("double").alias("budget"),
+        F.col("year").cast("int").alias("year"),
+        F.nanvl(F.col("budget").cast("double"), F.lit(None)).alias("budget"),
         method_family(raw("procurement_method")).alias("family"),
         (raw("procurement_method") != "").alias("has_method"))
 
@@ -61,7 +77,7 @@ def distinct_evidence(evidence: DataFrame) -> DataFrame:
     return one_per_group(keyed, ["candidate_id"], F.col("_order")).drop("_order")
 
 
-# ---- blocked ---------------------------------------------------------------------------------
+# ---- similar texts and candidates ---------------------------------------------------------------------------------
 BANDS_PER_E = 2  # length bands per factor e
 
 
@@ -69,12 +85,13 @@ def _length_band(length: Column) -> Column:
     return F.floor(F.ln(F.greatest(length, F.lit(1))) * BANDS_PER_E).cast("int")
 
 
-def similar_values(left: DataFrame, right: DataFrame, threshold: float,
-                   tile: int = TILE_ROWS) -> DataFrame:
-    """(left_text, right_text) of distinct normal forms reaching the threshold; both have ``text``.
+def scored_values(left: DataFrame, right: DataFrame, threshold: float,
+                  tile: int = TILE_ROWS) -> DataFrame:
+    """(left_text, right_text, score) of distinct normal forms reaching the threshold.
 
-    Lengths bound the ratio, so a text only visits the length bands within reach; each band is cut
-    into parts of about ``tile`` texts. Rows are replicated per tile, pairs are never emitted.
+    Both sides have a column ``text``. Lengths bound the ratio, so a text only visits the length
+    bands within reach; each band is cut into parts of about ``tile`` texts. Rows are replicated per
+    tile, only pairs that reach the threshold are emitted.
     """
     reach = math.floor(BANDS_PER_E * math.log((2 - threshold) / threshold)) + 1
 
@@ -104,181 +121,230 @@ def similar_values(left: DataFrame, right: DataFrame, threshold: float,
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"left_text": [], "right_text": []})
+            return pd.DataFrame({"left_text": [], "right_text": [], "score": []})
         return similar_pairs(x, y, threshold)
 
-    return a.cogroup(b).applyInPandas(compare, "left_text string, right_text string")
-
-
-def _institution(df: DataFrame) -> Column:
-    """Block value of a row: its normal form, or null when the field is not given."""
-    return F.when(F.col("has_institution"), F.col("n_institution"))
-
-
-def _score_tiles(plans: DataFrame, evidence: DataFrame, similar: DataFrame,
-                   keep: int | None, tile: int) -> DataFrame:
-    # A large institution is a block of its own; small ones share blocks of about a tile of rows,
-    # which costs nothing because scoring applies the institution rule anyway. Two further blocks:
-    # evidence without an institution, which every plan meets, and all of the evidence, which only
-    # plans without an institution meet.
-    unnamed, anyone = F.lit("none"), F.lit("all")
-    named_e = evidence.withColumn("own", _institution(evidence))
-    counted = named_e.where(F.col("own").isNotNull()).groupBy("own").agg(F.count("*").alias("n"))
-    small = F.col("n") < max(1, tile // 4)
-    shared = counted.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(small, F.col("n"))) / tile)
-                                    ).cast("int")).scalar()
-    homes = counted.select("own", F.when(small, F.concat(F.lit("shared:"), F.pmod(
-        F.xxhash64("own"), F.coalesce(shared, F.lit(1))).cast("string"))).otherwise(
-        F.concat(F.lit("own:"), "own")).alias("home"))
-    e = named_e.join(homes, "own", "left").select(
-        *evidence.columns, F.coalesce("home", unnamed).alias("block")).unionByName(
-        evidence.withColumn("block", anyone))
-    p = plans.withColumn("own", _institution(plans))
-    blocks = e.groupBy("block").agg(F.count("*").alias("rows"))
-    named = p.where(F.col("own").isNotNull())
-    reach = similar.join(homes, F.col("right_text") == F.col("own")).select(
-        "left_text", F.col("home").alias("block")).distinct()
-    visits = named.join(reach, F.col("own") == F.col("left_text")).select(
-        *plans.columns, "block").unionByName(
-        named.select(*plans.columns, unnamed.alias("block"))).unionByName(
-        p.where(F.col("own").isNull()).select(*plans.columns, anyone.alias("block")))
-    left, right = _parts(visits, "plan_id", "p", tile), _parts(e, "candidate_id", "e", tile)
-    sizes = _part_counts(visits, "p_parts", tile).join(_part_counts(e, "e_parts", tile), "block")
-    left = left.join(sizes, "block").selectExpr(
-        "*", "explode(sequence(0, e_parts - 1)) as e_part").drop("p_parts", "e_parts")
-    right = right.join(sizes, "block").selectExpr(
-        "*", "explode(sequence(0, p_parts - 1)) as p_part").drop("p_parts", "e_parts")
-    keys = ["block", "p_part", "e_part"]
-
-    def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame(columns=["plan_id", "remaining", "best"])
-        return score_block(x, y, keep)
+    return a.cogroup(b).applyInPandas(
+        compare, "left_text string, right_text string, score double")
+
+
+def similar_values(left: DataFrame, right: DataFrame, threshold: float,
+                   tile: int = TILE_ROWS) -> DataFrame:
+    """(left_text, right_text) of distinct normal forms reaching the threshold."""
+    return scored_values(left, right, threshold, tile).drop("score")
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, BLOCK_SCHEMA)
 
+def _sides(plans: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides in normal form, written out: every step below reads them again."""
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumn("profile", row_digest(df, COMPARED))
 
-def _part_counts(rows: DataFrame, name: str, tile: int) -> DataFrame:
-    return rows.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    return (cut_lineage(named(_prepare(plans, "plan_id"))),
+            cut_lineage(named(_prepare(distinct_evidence(evidence), "candidate_id"))))
 
 
-def _parts(rows: DataFrame, key: str, side: str, tile: int) -> DataFrame:
-    """Rows with their part of the block: equal package names together, frequent ones split."""
-    names = rows.groupBy("block", "n_package_name").agg(
-        F.ceil(F.count("*") / tile).cast("int").alias("_splits"))
-    split = F.pmod(F.xxhash64(key), F.col("_splits"))
-    return rows.join(names, ["block", "n_package_name"]).join(
-        _part_counts(rows, "_parts", tile), "block").withColumn(
-        f"{side}_part", F.pmod(F.xxhash64("n_package_name", split), F.col("_parts")).cast(
-            "int")).drop("_splits", "_parts")
+def _scored_texts(p: DataFrame, e: DataFrame, tile: int) -> dict[str, DataFrame]:
+    """For each text that can reject a pair: its distinct values scored, where similar enough."""
+    def given(df: DataFrame, field: str) -> DataFrame:
+        return df.where(f"has_{field}").select(F.col(f"n_{field}").alias("text"))
 
+    return {f: cut_lineage(scored_values(given(p, f), given(e, f), limit, tile))
+            for f, limit in HARD_TEXTS}
 
-def _best_of_tiles(tiles: DataFrame) -> DataFrame:
-    """The two best candidates per plan out of at most two per tile."""
-    rows = tiles.select("plan_id", "remaining", F.posexplode("best").alias("pos", "c"))
-    order = F.struct(-F.col("c.primary_count"), -F.col("c.total_count"),
-                     -F.col("c.confidence"), "c.candidate_id")
-    first = rows.groupBy("plan_id").agg(
-        F.min_by("c", order).alias("one"),
-        F.sum(F.when(F.col("pos") == 0, F.col("remaining"))).alias("remaining"))
-    chosen = first.select("plan_id", F.col("one.candidate_id").alias("top"))
-    second = rows.join(chosen, "plan_id").where("c.candidate_id <> top").groupBy("plan_id").agg(
-        F.min_by("c", order).alias("two"))
-    return first.join(second, "plan_id", "left").select(
-        "plan_id", "remaining", F.array_compact(F.array("one", "two")).alias("best"))
 
+def _given_mask() -> Column:
+    return sum((F.when(F.col(f"has_{f}"), 1 << i).otherwise(0)
+                for i, (f, _) in enumerate(HARD_TEXTS)), F.lit(0))
 
-def _dissimilar_exists(plans: DataFrame, evidence: DataFrame, field: str, threshold: float,
-                       tile: int, similar: DataFrame | None = None) -> DataFrame:
-    """Texts of plans (column ``text``) for which some given evidence text is not similar.
 
-    Counts on distinct values: similar evidence rows fewer than given evidence rows.
+def _meetings(p: DataFrame, e: DataFrame, similar: dict[str, DataFrame]) -> DataFrame:
+    """(p_profile, e_profile) and the scores of the three texts, of pairs without hard conflict.
+
+    An evidence profile has one row for every set of texts that a plan may give, and is met over
+    the first text of that set which it gives too.
+    """
+    fields = [f for f, _ in HARD_TEXTS]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("profile", "family", _given_mask().cast("int").alias("mask"), *[
+            c for f in fields for c in (f"n_{f}", f"has_{f}")]).distinct().toDF(*[
+                f"{name}_{c}" for c in ("profile", "family", "mask", *[
+                    x for f in fields for x in (f, f"has_{f}")])])
+
+    left, right = side(p, "p"), side(e, "e").withColumn("with_mask", F.explode(F.array(*[
+        F.lit(m) for m in range(1 << len(fields))])))
+    common = F.expr("e_mask & with_mask")
+    first = F.when(common == 0, -1).otherwise(F.expr(
+        "case when e_mask & with_mask & 1 > 0 then 0 when e_mask & with_mask & 2 > 0 then 1 "
+        "else 2 end"))
+    right = right.withColumn("first", first)
+    fp, fe = F.col("p_family"), F.col("e_family")
+    ordered = [fp.isin("TENDER", "NON_TENDER") & fe.isin("TENDER", "NON_TENDER"),
+               fp == "E_PURCHASING", fe == "E_PURCHASING"]
+    possible = ~((fp != "") & (fe != "") & (fp != fe) & (ordered[0] | ordered[1] | ordered[2]))
+    met = left.join(right.where("first = -1"), F.col("p_mask") == F.col("with_mask")).where(
+        possible)
+    for i, field in enumerate(fields):
+        near = broadcast_if_few(similar[field].drop("score"))
+        reached = left.where(f"p_has_{field}").join(
+            near, F.col(f"p_{field}") == F.col("left_text")).drop("left_text")
+        met = met.unionByName(reached.join(right.where(F.col("first") == i), (
+            F.col("p_mask") == F.col("with_mask")) & (F.col("right_text") == F.col(f"e_{field}"))
+        ).where(possible).drop("right_text"))
+    for field in fields:
+        near = broadcast_if_few(similar[field].select(
+            F.col("left_text").alias("_l"), F.col("right_text").alias("_r"),
+            F.col("score").alias(f"s_{field}")))
+        both = F.col(f"p_has_{field}") & F.col(f"e_has_{field}")
+        met = met.join(near, (F.col(f"p_{field}") == F.col("_l")) & (
+            F.col(f"e_{field}") == F.col("_r")), "left").where(
+            ~both | F.col(f"s_{field}").isNotNull()).drop("_l", "_r").withColumn(
+            f"s_{field}", F.when(both, F.col(f"s_{field}")).otherwise(0.0))
+    return met.select("p_profile", "e_profile", *[f"s_{f}" for f in fields])
+
+
+def _rounded(value: Column) -> Column:
+    """Rounded to six digits, the nearer one of the exact binary value, halves to even.
+
+    ``value`` lies between 0 and 1; it is compared with the middle between two roundings in whole
+    numbers, because the shortest decimal form of a double may be a half when the double is not.
     """
-    mine = plans.where(f"has_{field}").select(F.col(f"n_{field}").alias("text")).distinct()
+    low = F.floor(value * 1_000_000)
+    exact = F.floor(value * float(1 << 62)).cast("decimal(20,0)") * F.lit(2_000_000).cast(
+        "decimal(8,0)")
+    middle = (low * 2 + 1).cast("decimal(8,0)") * F.lit(1 << 62).cast("decimal(20,0)")
+    up = (exact > middle) | ((exact == middle) & (low % 2 == 1))
+    return (low + F.when(up, 1).otherwise(0)) / 1_000_000
+
+
+def _scored(p: DataFrame, e: DataFrame, met: DataFrame) -> DataFrame:
+    """Counts, confidence, signals and soft conflicts of every surviving pair of profiles."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        kept = [c for c in COMPARED if c not in [f"n_{f}" for f, _ in HARD_TEXTS]]
+        return df.select("profile", *kept).distinct().toDF(
+            f"{name}_profile", *[f"{name}_{c}" for c in kept])
+
+    rows = met.join(side(p, "p"), "p_profile").join(side(e, "e"), "e_profile")
+    for field, _, _ in SOFT_TEXTS:
+        a, b = f"p_n_{field}", f"e_n_{field}"
+        pairs = rows.where((F.col(a) != "") & (F.col(b) != "")).select(a, b).distinct()
+        pairs = broadcast_if_few(cut_lineage(pairs.withColumn(f"s_{field}", gestalt(
+            F.col(a), F.col(b)))))
+        rows = rows.join(pairs, [a, b], "left").withColumn(f"s_{field}", F.coalesce(
+            f"s_{field}", F.lit(0.0)))
+
+    def both(name: str) -> Column:
+        return F.col(f"p_{name}").isNotNull() & F.col(f"e_{name}").isNotNull()
+
+    gap = F.abs(F.col("p_budget") - F.col("e_budget")) / F.greatest(
+        F.abs("p_budget"), F.abs("e_budget"), F.lit(1.0))
+    cost = F.when(both("budget"), F.greatest(F.lit(0.0), 1.0 - gap)).otherwise(0.0)
+    same_way = F.col("p_family") == F.col("e_family")
+    signals = {"BUDGET": both("budget") & (cost >= R.SIGNAL_BUDGET),
+               "PROCUREMENT_METHOD": F.col("p_has_method") & F.col("e_has_method") & same_way,
+               "YEAR": both("year") & (F.col("p_year") == F.col("e_year"))}
+    conflicts = {
+        "BUDGET_DEVIATION": both("budget") & (cost < R.CONFLICT_BUDGET),
+        "MINOR_PROCUREMENT_METHOD_DIFFERENCE": (F.col("p_family") != "") & (
+            F.col("e_family") != "") & ~same_way,
+        "YEAR_CONFLICT": both("year") & (F.col("p_year") != F.col("e_year"))}
+    for name, (field, _) in zip(R.PRIMARY_SIGNALS, [
+            ("package_name", 0), ("institution", 0), ("satker", 0)], strict=True):
+        signals[name] = F.col(f"s_{field}") >= R.SIGNAL_TEXT
+    for field, signal, conflict in SOFT_TEXTS:
+        given = F.col(f"p_has_{field}") & F.col(f"e_has_{field}")
+        signals[signal] = given & (F.col(f"s_{field}") >= R.SIGNAL_TEXT)
+        if conflict:
+            conflicts[conflict] = given & (F.col(f"s_{field}") < R.CONFLICT_OTHER)
+
+    def named(flags: dict[str, Column]) -> Column:
+        return F.array_compact(F.array(*[F.when(flags[k], F.lit(k)) for k in sorted(flags)]))
+
+    parts = [F.col("s_package_name"), F.col("s_institution"), F.col("s_satker"), cost,
+             *[F.col(f"s_{f}") for f, _, _ in SOFT_TEXTS]]
+    mean = F.lit(0.0)
+    for part in parts:
+        mean = mean + part
+    primary = sum((signals[k].cast("int") for k in R.PRIMARY_SIGNALS), F.lit(0))
+    return rows.select("p_profile", "e_profile", primary.alias("primary_count"), named(
+        signals).alias("signals"), named(conflicts).alias("conflicts"), (mean / len(parts)).alias(
+        "mean")).select("p_profile", "e_profile", "primary_count", F.size("signals").alias(
+            "total_count"), _rounded(F.col("mean")).alias("confidence"), "signals", "conflicts")
+
+
+def _best_two(e: DataFrame, scored: DataFrame) -> DataFrame:
+    """(profile, remaining, best) of plan profiles; equal evidence rows are ranked by their id."""
+    in_profile = Window.partitionBy("profile").orderBy("candidate_id")
+    ids = e.select("profile", "candidate_id", F.row_number().over(in_profile).alias("k")).where(
+        "k <= 2").groupBy("profile").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids"))
+    sizes = e.groupBy("profile").agg(F.count("*").alias("n"))
+    known = cut_lineage(sizes.join(ids, "profile").withColumnRenamed("profile", "e_profile"))
+    rows = cut_lineage(scored.join(broadcast_if_few(known), "e_profile"))
+    order = Window.partitionBy("p_profile").orderBy(
+        F.desc("primary_count"), F.desc("total_count"), F.desc("confidence"), "candidate_id")
+    top = rows.withColumn("candidate_id", F.explode("ids")).withColumn(
+        "k", F.row_number().over(order)).where("k <= 2").groupBy("p_profile").agg(
+        F.array_sort(F.collect_list(F.struct("k", F.struct(
+            "primary_count", "total_count", "confidence", "candidate_id", "signals",
+            "conflicts").alias("c")))).alias("top"))
+    return rows.groupBy("p_profile").agg(F.sum("n").alias("remaining")).join(
+        top, "p_profile").select(F.col("p_profile").alias("profile"), "remaining", F.transform(
+            "top", lambda t: t["c"]).cast(BEST).alias("best"))
+
+
+def _similar_rows(evidence: DataFrame, field: str, similar: DataFrame) -> DataFrame:
+    """(text, near): for each plan text, the evidence rows whose given text is similar."""
     given = evidence.where(f"has_{field}").groupBy(F.col(f"n_{field}").alias("right_text")).agg(
         F.count("*").alias("n"))
-    if similar is None:
-        similar = similar_values(mine, given.select(F.col("right_text").alias("text")),
-                                 threshold, tile)
-    total = given.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    near = similar.join(given, "right_text").groupBy(F.col("left_text").alias("text")).agg(
+    return similar.join(given, "right_text").groupBy(F.col("left_text").alias("text")).agg(
         F.sum("n").alias("near"))
-    return mine.join(near, "text", "left").where(
-        F.coalesce("near", F.lit(0)) < total).select("text")
-
-
-def _hard_flags(plans: DataFrame, evidence: DataFrame, similar_institutions: DataFrame,
-                tile: int) -> DataFrame:
-    """Hard conflict kinds met by each of the (rejected) plans, over all evidence."""
-    def flagged(df: DataFrame, field: str, texts: DataFrame, name: str) -> DataFrame:
-        marks = texts.withColumnRenamed("text", f"n_{field}").withColumn(f"_{name}", F.lit(True))
-        return df.join(marks, f"n_{field}", "left").withColumn(name, F.coalesce(
-            F.col(f"_{name}") & F.col(f"has_{field}"), F.lit(False))).drop(f"_{name}")
-
-    out = flagged(plans, "institution", _dissimilar_exists(
-        plans, evidence, "institution", R.CONFLICT_INSTITUTION, tile, similar_institutions),
-        "hard_institution")
-    out = flagged(out, "satker", _dissimilar_exists(
-        plans, evidence, "satker", R.CONFLICT_SATKER, tile), "hard_satker")
-
-    # Packages: a few very different evidence names settle almost every plan name; only names
-    # similar to all of these probes are compared with every evidence name.
-    names = evidence.where("has_package_name").select(F.col("n_package_name").alias("text"))
-    probes = names.agg(
-        F.min("text").alias("a"), F.max("text").alias("b"),
-        F.min_by("text", F.struct(F.length("text"), "text")).alias("c"),
-        F.max_by("text", F.struct(F.length("text"), "text")).alias("d"),
-        F.min_by("text", F.xxhash64("text")).alias("e")).select(
-        F.array_distinct(F.array_compact(F.array("a", "b", "c", "d", "e")))).scalar()
-    mine = plans.where("has_package_name").select(
-        F.col("n_package_name").alias("text")).distinct().withColumn("_probe", F.explode(probes))
-    lowest = mine.withColumn("_s", gestalt(F.col("text"), F.col("_probe"))).groupBy("text").agg(
-        F.min("_s").alias("lowest"))
-    settled = lowest.where(F.col("lowest") < R.CONFLICT_NAME).select("text")
-    open_names = lowest.where(F.col("lowest") >= R.CONFLICT_NAME).select(
-        F.col("text").alias("n_package_name"), F.lit(True).alias("has_package_name"))
-    rest = _dissimilar_exists(open_names, evidence, "package_name", R.CONFLICT_NAME, tile)
-    out = flagged(out, "package_name", settled.unionByName(rest), "hard_package")
-
-    seen = evidence.agg(F.struct(
-        F.max(F.col("family") == "E_PURCHASING").alias("ep"),
-        F.max(F.col("family") == "TENDER").alias("t"),
-        F.max(F.col("family") == "NON_TENDER").alias("nt"),
-        F.max((F.col("family") != "") & (F.col("family") != "E_PURCHASING")).alias("other"))
-    ).scalar()
-    family = F.col("family")
-    method = (F.when(family == "", False).when(family == "E_PURCHASING", seen["other"])
-              .when(family == "TENDER", seen["ep"] | seen["nt"])
-              .when(family == "NON_TENDER", seen["ep"] | seen["t"]).otherwise(seen["ep"]))
-    return out.select("plan_id", "hard_institution", "hard_satker", "hard_package",
-                      F.coalesce(method, F.lit(False)).alias("hard_method"))
 
 
-def _sides(plans: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides in normal form, written out: every step below reads them again."""
-    return (cut_lineage(_prepare(plans, "plan_id")),
-            cut_lineage(_prepare(distinct_evidence(evidence), "candidate_id")))
+def _families(evidence: DataFrame) -> Column:
+    """How many evidence rows have each kind of method family."""
+    family = F.col("family")
+    return evidence.agg(F.struct(
+        F.count_if(family == "E_PURCHASING").alias("ep"), F.count_if(family == "TENDER").alias("t"),
+        F.count_if(family == "NON_TENDER").alias("nt"),
+        F.count_if((family != "") & (family != "E_PURCHASING")).alias("other"))).scalar()
+
 
+def _conflict_counts(plans: DataFrame, evidence: DataFrame, similar: dict[str, DataFrame]
+                     ) -> DataFrame:
+    """Per plan, how many evidence rows it has each kind of hard conflict with.
 
-def _similar_institutions(p: DataFrame, e: DataFrame, tile: int) -> DataFrame:
-    return cut_lineage(similar_values(p.select(F.col("n_institution").alias("text")),
-                                      e.select(F.col("n_institution").alias("text")),
-                                      R.CONFLICT_INSTITUTION, tile))
+    Counted on distinct values: given evidence rows less the similar ones.
+    """
+    out = plans.select("plan_id", "family", *[c for f, _ in HARD_TEXTS for c in (
+        f"n_{f}", f"has_{f}")])
+    for field, _ in HARD_TEXTS:
+        near = _similar_rows(evidence, field, similar[field])
+        total = evidence.agg(F.count_if(F.col(f"has_{field}"))).scalar()
+        out = out.join(near.withColumnRenamed("text", f"n_{field}"), f"n_{field}", "left")
+        out = out.withColumn(f"{field}_conflicts", F.when(
+            F.col(f"has_{field}"), total - F.coalesce("near", F.lit(0))).otherwise(0)).drop("near")
+    family, seen = F.col("family"), _families(evidence)
+    method = (F.when(family == "", 0).when(family == "E_PURCHASING", seen["other"])
+              .when(family == "TENDER", seen["ep"] + seen["nt"])
+              .when(family == "NON_TENDER", seen["ep"] + seen["t"]).otherwise(seen["ep"]))
+    return out.select("plan_id", *[f"{f}_conflicts" for f, _ in HARD_TEXTS],
+                      method.cast("long").alias("method_conflicts"))
 
 
 def score_plans(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
     """Per plan: two best candidates, number of candidates, hard conflicts met."""
     p, e = _sides(plans, evidence)
-    similar = _similar_institutions(p, e, tile)
-    best = cut_lineage(_best_of_tiles(cut_lineage(_score_tiles(p, e, similar, 2, tile))))
-    rejected = p.join(best, "plan_id", "left_anti")
-    flags = _hard_flags(rejected, e, similar, tile)
+    similar = _scored_texts(p, e, tile)
+    best = cut_lineage(_best_two(e, _scored(p, e, cut_lineage(_meetings(p, e, similar)))))
+    judged = p.join(broadcast_if_few(best), "profile", "left")
+    met = _conflict_counts(judged.where("remaining is null"), e, similar)
     no = F.lit(False)
-    alive = best.select("plan_id", "remaining", *[no.alias(f"hard_{k}") for k in (
-        "institution", "satker", "package", "method")], "best")
-    none = flags.select("plan_id", F.lit(0).cast("long").alias("remaining"),
-                        "hard_institution", "hard_satker", "hard_package", "hard_method",
-                        F.array().cast(best.schema["best"].dataType).alias("best"))
+    alive = judged.where("remaining is not null").select("plan_id", "remaining", *[
+        no.alias(f"hard_{k}") for k in ("institution", "satker", "package", "method")], "best")
+    none = met.select("plan_id", F.lit(0).cast("long").alias("remaining"), *[
+        (F.col(f"{c}_conflicts") > 0).alias(f"hard_{k}") for c, k in (
+            ("institution", "institution"), ("satker", "satker"), ("package_name", "package"),
+            ("method", "method"))], F.array().cast(BEST).alias("best"))
     return alive.unionByName(none)
 
 
@@ -286,45 +352,18 @@ def surviving_candidates(plans: DataFrame, evidence: DataFrame, tile: int = TILE
                          ) -> DataFrame:
     """Every (plan, candidate) without a hard conflict, with signals and soft conflicts."""
     p, e = _sides(plans, evidence)
-    tiles = _score_tiles(p, e, _similar_institutions(p, e, tile), None, tile)
-    return tiles.select("plan_id", F.explode("best").alias("c")).select("plan_id", "c.*")
-
-
-def _near_counts(plans: DataFrame, evidence: DataFrame, field: str, threshold: float, tile: int
-                 ) -> DataFrame:
-    """(text, near): for each given plan text, the evidence rows whose given text is similar."""
-    given = evidence.where(f"has_{field}").groupBy(F.col(f"n_{field}").alias("right_text")).agg(
-        F.count("*").alias("n"))
-    similar = similar_values(plans.where(f"has_{field}").select(F.col(f"n_{field}").alias("text")),
-                             given.select(F.col("right_text").alias("text")), threshold, tile)
-    return similar.join(given, "right_text").groupBy(F.col("left_text").alias("text")).agg(
-        F.sum("n").alias("near"))
+    met = cut_lineage(_meetings(p, e, _scored_texts(p, e, tile)))
+    rows = _scored(p, e, met)
+    return rows.join(p.select("plan_id", F.col("profile").alias("p_profile")), "p_profile").join(
+        e.select("candidate_id", F.col("profile").alias("e_profile")), "e_profile").select(
+        "plan_id", "primary_count", "total_count", "confidence", "candidate_id", "signals",
+        "conflicts")
 
 
 def rejected_counts(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
-    """Per plan, how many evidence rows it has each kind of hard conflict with.
-
-    Counted on distinct values: given evidence rows less the similar ones.
-    """
+    """Per plan, how many evidence rows it has each kind of hard conflict with."""
     p, e = _sides(plans, evidence)
-    out = p.select("plan_id", "family", *[c for f, _ in HARD_TEXTS for c in (
-        f"n_{f}", f"has_{f}")])
-    for field, threshold in HARD_TEXTS:
-        near = _near_counts(p, e, field, threshold, tile)
-        total = e.agg(F.count_if(F.col(f"has_{field}"))).scalar()
-        out = out.join(near.withColumnRenamed("text", f"n_{field}"), f"n_{field}", "left")
-        out = out.withColumn(f"{field}_conflicts", F.when(
-            F.col(f"has_{field}"), total - F.coalesce("near", F.lit(0))).otherwise(0)).drop("near")
-    family = F.col("family")
-    seen = e.agg(F.struct(
-        F.count_if(family == "E_PURCHASING").alias("ep"), F.count_if(family == "TENDER").alias("t"),
-        F.count_if(family == "NON_TENDER").alias("nt"),
-        F.count_if((family != "") & (family != "E_PURCHASING")).alias("other"))).scalar()
-    method = (F.when(family == "", 0).when(family == "E_PURCHASING", seen["other"])
-              .when(family == "TENDER", seen["ep"] + seen["nt"])
-              .when(family == "NON_TENDER", seen["ep"] + seen["t"]).otherwise(seen["ep"]))
-    return out.select("plan_id", *[f"{f}_conflicts" for f, _ in HARD_TEXTS],
-                      method.cast("long").alias("method_conflicts"))
+    return _conflict_counts(p, e, _scored_texts(p, e, tile))
 
 
 def candidate_audit(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
@@ -418,8 +457,7 @@ def resolve_identity(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROW
         empty = plans.select("plan_id", F.lit(0).cast("long").alias("remaining"), *[
             F.lit(False).alias(f"hard_{k}") for k in ("institution", "satker", "package",
                                                       "method")],
-            F.from_json(F.lit("[]"), BLOCK_SCHEMA[BLOCK_SCHEMA.index("array<struct"):]).alias(
-                "best"))
+            F.array().cast(BEST).alias("best"))
         return decide(empty, evidence_exists=False)
     return decide(score_plans(plans, evidence, tile))
 

@@ -66,7 +66,7 @@ _SCORED = """
  s AS (SELECT *, hi OR hu OR hn OR hm AS dead, CAST(n AS INTEGER) + CAST(i AS INTEGER) +
    CAST(u AS INTEGER) AS prim, CAST(n AS INTEGER) + CAST(i AS INTEGER) + CAST(u AS INTEGER) +
    CAST(y AS INTEGER) + CAST(b AS INTEGER) + CAST(m AS INTEGER) AS total,
-   round((CAST(n AS INTEGER) + CAST(i AS INTEGER) + CAST(u AS INTEGER) +
+   round_even((CAST(n AS INTEGER) + CAST(i AS INTEGER) + CAST(u AS INTEGER) +
      CASE WHEN b THEN 1.0 ELSE 0.5 END) / 8, 6) AS conf FROM j),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prim DESC, total DESC, conf DESC,
    cid) AS rn, lead((prim, total, conf)) OVER (PARTITION BY id ORDER BY prim DESC, total DESC,
@@ -253,6 +253,14 @@ def _ratio_sql(a: str, at: str, b: str, bt: str) -> str:
     return f"2.0 * least({a}, {b}) / ({a} + {at} + {b} + {bt})"
 
 
+def _rounded_sql(x: str) -> str:
+    """Six digits, the nearer one of the exact binary value: compared in whole numbers."""
+    low, one = f"CAST(floor(({x}) * 1000000) AS HUGEINT)", "4611686018427387904"
+    exact, middle = f"CAST(({x}) * {one}.0 AS HUGEINT) * 2000000", f"(2 * {low} + 1) * {one}"
+    return (f"({low} + CASE WHEN {exact} > {middle} OR ({exact} = {middle} AND {low} % 2 = 1) "
+            f"THEN 1 ELSE 0 END) / 1000000.0")
+
+
 _STEMS = f"""
  WITH p AS (SELECT c_custkey AS id, 6 + c_custkey % 11 AS nl, c_custkey % 4 AS nt,
    CASE WHEN c_custkey % 17 <> 0 THEN 8 + c_custkey % 9 END AS il, c_custkey % 3 AS it,
@@ -273,7 +281,7 @@ _STEMS = f"""
  s AS (SELECT *, coalesce(ri < 0.65, FALSE) AS hi, coalesce(ru < 0.65, FALSE) AS hu, rn < 0.45
    AS hn, rn >= 0.8 AS n, coalesce(ri >= 0.8, FALSE) AS i, coalesce(ru >= 0.8, FALSE) AS u,
    rb >= 0.85 AS b,
-   round((rn + coalesce(ri, 0.0) + coalesce(ru, 0.0) + rb) / 8, 6) AS conf FROM j),
+   {_rounded_sql('(rn + coalesce(ri, 0.0) + coalesce(ru, 0.0) + rb) / 8')} AS conf FROM j),
  t AS (SELECT *, hi OR hu OR hn OR hm AS dead, CAST(n AS INTEGER) + CAST(i AS INTEGER) +
    CAST(u AS INTEGER) AS prim, CAST(n AS INTEGER) + CAST(i AS INTEGER) + CAST(u AS INTEGER) +
    CAST(y AS INTEGER) + CAST(b AS INTEGER) + CAST(m AS INTEGER) AS total FROM s),

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on; sizes (memory, cores, partitions) belong to the cluster.
 DEFAULTS = {
@@ -67,3 +68,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that loops do not grow their plans."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+FEW_ROWS = 20_000  # rows of a narrow table that may be sent to every task, after counting
+
+
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """A stored narrow table, sent to every task when it was counted to be small.
+
+    Stored tables have no size estimate, so without this the larger side of a join would move.
+    """
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df

@@ -134,13 +134,29 @@ def similar_values(left: DataFrame, right: DataFrame, threshold: float,
     return scored_values(left, right, threshold, tile).drop("score")
 
 
-def _sides(plans: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides in normal form, written out: every step below reads them again."""
-    def named(df: DataFrame) -> DataFrame:
-        return df.withColumn("profile", row_digest(df, COMPARED))
+def _profiled(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, profile) of every row and (profile, compared fields) of every distinct content."""
+    rows = cut_lineage(df.withColumn("_content", row_digest(df, COMPARED)))
+    profiles = cut_lineage(rows.groupBy("_content").agg(*[
+        F.any_value(c).alias(c) for c in COMPARED]).withColumn(
+        "profile", F.monotonically_increasing_id()))
+    ids = rows.select(key, "_content").join(broadcast_if_few(profiles.select(
+        "_content", "profile")), "_content").select(key, "profile")
+    return cut_lineage(ids), profiles.drop("_content")
 
-    return (cut_lineage(named(_prepare(plans, "plan_id"))),
-            cut_lineage(named(_prepare(distinct_evidence(evidence), "candidate_id"))))
+
+class _Sides:
+    """Both sides in normal form, written out: every step reads them again.
+
+    ``plans`` and ``evidence`` are (id, profile), ``p`` and ``e`` the profiles.
+    """
+
+    def __init__(self, plans: DataFrame, evidence: DataFrame, tile: int):
+        self.plans, self.p = _profiled(_prepare(plans, "plan_id"), "plan_id")
+        self.evidence, self.e = _profiled(_prepare(distinct_evidence(evidence), "candidate_id"),
+                                          "candidate_id")
+        self.similar = _scored_texts(self.p, self.e, tile)
+        self.sizes = cut_lineage(self.evidence.groupBy("profile").agg(F.count("*").alias("n")))
 
 
 def _scored_texts(p: DataFrame, e: DataFrame, tile: int) -> dict[str, DataFrame]:
@@ -157,7 +173,7 @@ def _given_mask() -> Column:
                 for i, (f, _) in enumerate(HARD_TEXTS)), F.lit(0))
 
 
-def _meetings(p: DataFrame, e: DataFrame, similar: dict[str, DataFrame]) -> DataFrame:
+def _meetings(sides: _Sides) -> DataFrame:
     """(p_profile, e_profile) and the scores of the three texts, of pairs without hard conflict.
 
     An evidence profile has one row for every set of texts that a plan may give, and is met over
@@ -167,17 +183,20 @@ def _meetings(p: DataFrame, e: DataFrame, similar: dict[str, DataFrame]) -> Data
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select("profile", "family", _given_mask().cast("int").alias("mask"), *[
-            c for f in fields for c in (f"n_{f}", f"has_{f}")]).distinct().toDF(*[
+            c for f in fields for c in (f"n_{f}", f"has_{f}")]).toDF(*[
                 f"{name}_{c}" for c in ("profile", "family", "mask", *[
                     x for f in fields for x in (f, f"has_{f}")])])
 
-    left, right = side(p, "p"), side(e, "e").withColumn("with_mask", F.explode(F.array(*[
+    # Few rows become many here, so they are first dealt to as many tasks as a shuffle has.
+    left = side(sides.p, "p").repartition(int(sides.p.sparkSession.conf.get(
+        "spark.sql.shuffle.partitions")))
+    right = side(sides.e, "e").withColumn("with_mask", F.explode(F.array(*[
         F.lit(m) for m in range(1 << len(fields))])))
     common = F.expr("e_mask & with_mask")
     first = F.when(common == 0, -1).otherwise(F.expr(
         "case when e_mask & with_mask & 1 > 0 then 0 when e_mask & with_mask & 2 > 0 then 1 "
         "else 2 end"))
-    right = right.withColumn("first", first)
+    right = broadcast_if_few(cut_lineage(right.withColumn("first", first)))
     fp, fe = F.col("p_family"), F.col("e_family")
     ordered = [fp.isin("TENDER", "NON_TENDER") & fe.isin("TENDER", "NON_TENDER"),
                fp == "E_PURCHASING", fe == "E_PURCHASING"]
@@ -185,14 +204,14 @@ def _meetings(p: DataFrame, e: DataFrame, similar: dict[str, DataFrame]) -> Data
     met = left.join(right.where("first = -1"), F.col("p_mask") == F.col("with_mask")).where(
         possible)
     for i, field in enumerate(fields):
-        near = broadcast_if_few(similar[field].drop("score"))
+        near = broadcast_if_few(sides.similar[field].drop("score"))
         reached = left.where(f"p_has_{field}").join(
             near, F.col(f"p_{field}") == F.col("left_text")).drop("left_text")
         met = met.unionByName(reached.join(right.where(F.col("first") == i), (
             F.col("p_mask") == F.col("with_mask")) & (F.col("right_text") == F.col(f"e_{field}"))
         ).where(possible).drop("right_text"))
     for field in fields:
-        near = broadcast_if_few(similar[field].select(
+        near = broadcast_if_few(sides.similar[field].select(
             F.col("left_text").alias("_l"), F.col("right_text").alias("_r"),
             F.col("score").alias(f"s_{field}")))
         both = F.col(f"p_has_{field}") & F.col(f"e_has_{field}")
@@ -217,16 +236,38 @@ def _rounded(value: Column) -> Column:
     return (low + F.when(up, 1).otherwise(0)) / 1_000_000
 
 
-def _scored(p: DataFrame, e: DataFrame, met: DataFrame) -> DataFrame:
-    """Counts, confidence, signals and soft conflicts of every surviving pair of profiles."""
+SIGNALS = sorted([*R.PRIMARY_SIGNALS, "YEAR", "BUDGET", "PROCUREMENT_METHOD",
+                  *[signal for _, signal, _ in SOFT_TEXTS]])
+CONFLICTS = sorted(["MINOR_PROCUREMENT_METHOD_DIFFERENCE", "YEAR_CONFLICT", "BUDGET_DEVIATION",
+                    *[conflict for _, _, conflict in SOFT_TEXTS if conflict]])
+
+
+def _bits(flags: dict[str, Column], names: list[str]) -> Column:
+    return sum((F.when(flags[k], 1 << i).otherwise(0) for i, k in enumerate(names)), F.lit(0))
+
+
+def _names(bits: str, names: list[str]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.getbit(bits, F.lit(i)) == 1, F.lit(k))
+                                     for i, k in enumerate(names)]))
+
+
+def _scored(sides: _Sides, met: DataFrame) -> DataFrame:
+    """Counts, confidence, signals and soft conflicts (as bits) of every surviving pair."""
     def side(df: DataFrame, name: str) -> DataFrame:
         kept = [c for c in COMPARED if c not in [f"n_{f}" for f, _ in HARD_TEXTS]]
-        return df.select("profile", *kept).distinct().toDF(
-            f"{name}_profile", *[f"{name}_{c}" for c in kept])
+        return broadcast_if_few(df.select("profile", *kept).toDF(
+            f"{name}_profile", *[f"{name}_{c}" for c in kept]))
 
-    rows = met.join(side(p, "p"), "p_profile").join(side(e, "e"), "e_profile")
-    for field, _, _ in SOFT_TEXTS:
+    def used(df: DataFrame) -> list[bool]:
+        return [bool(x) for x in df.agg(*[F.max(F.col(f"n_{f}") != "") for f, _, _ in SOFT_TEXTS]
+                                        ).first()]
+
+    rows = met.join(side(sides.p, "p"), "p_profile").join(side(sides.e, "e"), "e_profile")
+    for (field, _, _), *given in zip(SOFT_TEXTS, used(sides.p), used(sides.e), strict=True):
         a, b = f"p_n_{field}", f"e_n_{field}"
+        if not all(given):  # no pair gives it on both sides
+            rows = rows.withColumn(f"s_{field}", F.lit(0.0))
+            continue
         pairs = rows.where((F.col(a) != "") & (F.col(b) != "")).select(a, b).distinct()
         pairs = broadcast_if_few(cut_lineage(pairs.withColumn(f"s_{field}", gestalt(
             F.col(a), F.col(b)))))
@@ -248,8 +289,8 @@ def _scored(p: DataFrame, e: DataFrame, met: DataFrame) -> DataFrame:
         "MINOR_PROCUREMENT_METHOD_DIFFERENCE": (F.col("p_family") != "") & (
             F.col("e_family") != "") & ~same_way,
         "YEAR_CONFLICT": both("year") & (F.col("p_year") != F.col("e_year"))}
-    for name, (field, _) in zip(R.PRIMARY_SIGNALS, [
-            ("package_name", 0), ("institution", 0), ("satker", 0)], strict=True):
+    for name, field in zip(R.PRIMARY_SIGNALS, ["package_name", "institution", "satker"],
+                           strict=True):
         signals[name] = F.col(f"s_{field}") >= R.SIGNAL_TEXT
     for field, signal, conflict in SOFT_TEXTS:
         given = F.col(f"p_has_{field}") & F.col(f"e_has_{field}")
@@ -257,113 +298,113 @@ def _scored(p: DataFrame, e: DataFrame, met: DataFrame) -> DataFrame:
         if conflict:
             conflicts[conflict] = given & (F.col(f"s_{field}") < R.CONFLICT_OTHER)
 
-    def named(flags: dict[str, Column]) -> Column:
-        return F.array_compact(F.array(*[F.when(flags[k], F.lit(k)) for k in sorted(flags)]))
-
     parts = [F.col("s_package_name"), F.col("s_institution"), F.col("s_satker"), cost,
              *[F.col(f"s_{f}") for f, _, _ in SOFT_TEXTS]]
     mean = F.lit(0.0)
     for part in parts:
         mean = mean + part
-    primary = sum((signals[k].cast("int") for k in R.PRIMARY_SIGNALS), F.lit(0))
-    return rows.select("p_profile", "e_profile", primary.alias("primary_count"), named(
-        signals).alias("signals"), named(conflicts).alias("conflicts"), (mean / len(parts)).alias(
-        "mean")).select("p_profile", "e_profile", "primary_count", F.size("signals").alias(
-            "total_count"), _rounded(F.col("mean")).alias("confidence"), "signals", "conflicts")
+    primary = sum(1 << SIGNALS.index(k) for k in R.PRIMARY_SIGNALS)
+    return rows.select(
+        "p_profile", "e_profile", _bits(signals, SIGNALS).alias("signals"),
+        _bits(conflicts, CONFLICTS).alias("conflicts"), (mean / len(parts)).alias("mean")).select(
+        "p_profile", "e_profile", F.bit_count(F.col("signals").bitwiseAND(F.lit(primary))).alias(
+            "primary_count"), F.bit_count("signals").alias("total_count"),
+        _rounded(F.col("mean")).alias("confidence"), "signals", "conflicts")
 
 
-def _best_two(e: DataFrame, scored: DataFrame) -> DataFrame:
+def _best_two(sides: _Sides, scored: DataFrame) -> DataFrame:
     """(profile, remaining, best) of plan profiles; equal evidence rows are ranked by their id."""
     in_profile = Window.partitionBy("profile").orderBy("candidate_id")
-    ids = e.select("profile", "candidate_id", F.row_number().over(in_profile).alias("k")).where(
-        "k <= 2").groupBy("profile").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids"))
-    sizes = e.groupBy("profile").agg(F.count("*").alias("n"))
-    known = cut_lineage(sizes.join(ids, "profile").withColumnRenamed("profile", "e_profile"))
-    rows = cut_lineage(scored.join(broadcast_if_few(known), "e_profile"))
+    ids = sides.evidence.withColumn("k", F.row_number().over(in_profile)).where("k <= 2").groupBy(
+        "profile").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids"))
+    known = cut_lineage(sides.sizes.join(ids, "profile").withColumnRenamed("profile", "e_profile"))
+    rows = cut_lineage(scored.join(broadcast_if_few(known.drop("ids")), "e_profile"))
+    ranked = rows.join(broadcast_if_few(known.drop("n")), "e_profile").withColumn(
+        "candidate_id", F.explode("ids"))
     order = Window.partitionBy("p_profile").orderBy(
         F.desc("primary_count"), F.desc("total_count"), F.desc("confidence"), "candidate_id")
-    top = rows.withColumn("candidate_id", F.explode("ids")).withColumn(
-        "k", F.row_number().over(order)).where("k <= 2").groupBy("p_profile").agg(
-        F.array_sort(F.collect_list(F.struct("k", F.struct(
-            "primary_count", "total_count", "confidence", "candidate_id", "signals",
-            "conflicts").alias("c")))).alias("top"))
+    top = ranked.select("p_profile", "primary_count", "total_count", "confidence", "candidate_id",
+                        "signals", "conflicts", F.row_number().over(order).alias("k")).where(
+        "k <= 2").groupBy("p_profile").agg(F.array_sort(F.collect_list(F.struct(
+            "k", F.struct("primary_count", "total_count", "confidence", "candidate_id",
+                          _names("signals", SIGNALS).alias("signals"),
+                          _names("conflicts", CONFLICTS).alias("conflicts")).alias("c")))).alias(
+            "top"))
     return rows.groupBy("p_profile").agg(F.sum("n").alias("remaining")).join(
         top, "p_profile").select(F.col("p_profile").alias("profile"), "remaining", F.transform(
             "top", lambda t: t["c"]).cast(BEST).alias("best"))
 
 
-def _similar_rows(evidence: DataFrame, field: str, similar: DataFrame) -> DataFrame:
-    """(text, near): for each plan text, the evidence rows whose given text is similar."""
-    given = evidence.where(f"has_{field}").groupBy(F.col(f"n_{field}").alias("right_text")).agg(
-        F.count("*").alias("n"))
-    return similar.join(given, "right_text").groupBy(F.col("left_text").alias("text")).agg(
-        F.sum("n").alias("near"))
-
-
-def _families(evidence: DataFrame) -> Column:
+def _families(rows: DataFrame) -> Column:
     """How many evidence rows have each kind of method family."""
     family = F.col("family")
-    return evidence.agg(F.struct(
-        F.count_if(family == "E_PURCHASING").alias("ep"), F.count_if(family == "TENDER").alias("t"),
-        F.count_if(family == "NON_TENDER").alias("nt"),
-        F.count_if((family != "") & (family != "E_PURCHASING")).alias("other"))).scalar()
+
+    def counted(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    return rows.agg(F.struct(
+        counted(family == "E_PURCHASING").alias("ep"), counted(family == "TENDER").alias("t"),
+        counted(family == "NON_TENDER").alias("nt"),
+        counted((family != "") & (family != "E_PURCHASING")).alias("other"))).scalar()
 
 
-def _conflict_counts(plans: DataFrame, evidence: DataFrame, similar: dict[str, DataFrame]
-                     ) -> DataFrame:
-    """Per plan, how many evidence rows it has each kind of hard conflict with.
+def _conflict_counts(sides: _Sides, profiles: DataFrame) -> DataFrame:
+    """How many evidence rows each of these plan profiles has each kind of hard conflict with.
 
     Counted on distinct values: given evidence rows less the similar ones.
     """
-    out = plans.select("plan_id", "family", *[c for f, _ in HARD_TEXTS for c in (
+    evidence = sides.e.join(broadcast_if_few(sides.sizes), "profile")
+    out = profiles.select("profile", "family", *[c for f, _ in HARD_TEXTS for c in (
         f"n_{f}", f"has_{f}")])
     for field, _ in HARD_TEXTS:
-        near = _similar_rows(evidence, field, similar[field])
-        total = evidence.agg(F.count_if(F.col(f"has_{field}"))).scalar()
-        out = out.join(near.withColumnRenamed("text", f"n_{field}"), f"n_{field}", "left")
-        out = out.withColumn(f"{field}_conflicts", F.when(
+        given = evidence.where(f"has_{field}").groupBy(F.col(f"n_{field}").alias("right_text")
+                                                       ).agg(F.sum("n").alias("n"))
+        near = sides.similar[field].join(given, "right_text").groupBy(
+            F.col("left_text").alias(f"n_{field}")).agg(F.sum("n").alias("near"))
+        total = given.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+        out = out.join(near, f"n_{field}", "left").withColumn(f"{field}_conflicts", F.when(
             F.col(f"has_{field}"), total - F.coalesce("near", F.lit(0))).otherwise(0)).drop("near")
     family, seen = F.col("family"), _families(evidence)
     method = (F.when(family == "", 0).when(family == "E_PURCHASING", seen["other"])
               .when(family == "TENDER", seen["ep"] + seen["nt"])
               .when(family == "NON_TENDER", seen["ep"] + seen["t"]).otherwise(seen["ep"]))
-    return out.select("plan_id", *[f"{f}_conflicts" for f, _ in HARD_TEXTS],
+    return out.select("profile", *[f"{f}_conflicts" for f, _ in HARD_TEXTS],
                       method.cast("long").alias("method_conflicts"))
 
 
 def score_plans(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
     """Per plan: two best candidates, number of candidates, hard conflicts met."""
-    p, e = _sides(plans, evidence)
-    similar = _scored_texts(p, e, tile)
-    best = cut_lineage(_best_two(e, _scored(p, e, cut_lineage(_meetings(p, e, similar)))))
-    judged = p.join(broadcast_if_few(best), "profile", "left")
-    met = _conflict_counts(judged.where("remaining is null"), e, similar)
+    sides = _Sides(plans, evidence, tile)
+    best = broadcast_if_few(cut_lineage(_best_two(sides, _scored(sides, cut_lineage(
+        _meetings(sides))))))
+    none = _conflict_counts(sides, sides.p.join(best, "profile", "left_anti")).select(
+        "profile", F.lit(0).cast("long").alias("remaining"), *[
+            (F.col(f"{c}_conflicts") > 0).alias(f"hard_{k}") for c, k in (
+                ("institution", "institution"), ("satker", "satker"),
+                ("package_name", "package"), ("method", "method"))],
+        F.array().cast(BEST).alias("best"))
     no = F.lit(False)
-    alive = judged.where("remaining is not null").select("plan_id", "remaining", *[
-        no.alias(f"hard_{k}") for k in ("institution", "satker", "package", "method")], "best")
-    none = met.select("plan_id", F.lit(0).cast("long").alias("remaining"), *[
-        (F.col(f"{c}_conflicts") > 0).alias(f"hard_{k}") for c, k in (
-            ("institution", "institution"), ("satker", "satker"), ("package_name", "package"),
-            ("method", "method"))], F.array().cast(BEST).alias("best"))
-    return alive.unionByName(none)
+    alive = best.select("profile", "remaining", *[no.alias(f"hard_{k}") for k in (
+        "institution", "satker", "package", "method")], "best")
+    return sides.plans.join(alive.unionByName(none), "profile").drop("profile")
 
 
 def surviving_candidates(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS
                          ) -> DataFrame:
     """Every (plan, candidate) without a hard conflict, with signals and soft conflicts."""
-    p, e = _sides(plans, evidence)
-    met = cut_lineage(_meetings(p, e, _scored_texts(p, e, tile)))
-    rows = _scored(p, e, met)
-    return rows.join(p.select("plan_id", F.col("profile").alias("p_profile")), "p_profile").join(
-        e.select("candidate_id", F.col("profile").alias("e_profile")), "e_profile").select(
-        "plan_id", "primary_count", "total_count", "confidence", "candidate_id", "signals",
-        "conflicts")
+    sides = _Sides(plans, evidence, tile)
+    rows = _scored(sides, cut_lineage(_meetings(sides)))
+    return rows.join(sides.plans.withColumnRenamed("profile", "p_profile"), "p_profile").join(
+        sides.evidence.withColumnRenamed("profile", "e_profile"), "e_profile").select(
+        "plan_id", "primary_count", "total_count", "confidence", "candidate_id",
+        _names("signals", SIGNALS).alias("signals"),
+        _names("conflicts", CONFLICTS).alias("conflicts"))
 
 
 def rejected_counts(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
     """Per plan, how many evidence rows it has each kind of hard conflict with."""
-    p, e = _sides(plans, evidence)
-    return _conflict_counts(p, e, _scored_texts(p, e, tile))
+    sides = _Sides(plans, evidence, tile)
+    return sides.plans.join(_conflict_counts(sides, sides.p), "profile").drop("profile")
 
 
 def candidate_audit(plans: DataFrame, evidence: DataFrame, tile: int = TILE_ROWS) -> DataFrame:

@@ -220,3 +220,13 @@ def test_similar_part_texts(spark, tmp_path):
     want = {(a, b) for a in texts for b in texts if a < b and (
         SequenceMatcher(None, a, b).ratio() >= 0.8)}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_confidence_rounds_like_the_exact_value(spark):
+    rng = random.Random(3)
+    values = [0.2578125, 0.3546875, 0.0, 1.0, 0.5, 1 / 3, 2 / 3, 0.1234565, 0.0078125, 0.9999995]
+    values += [rng.randrange(0, 8000) / 8000 / 8 + rng.randrange(8) / 8 for _ in range(300)]
+    values += [(2 * rng.randrange(500_000) + 1) / 2e6 for _ in range(300)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", linkage._rounded(F.col("v")).alias("r")).collect()
+    assert [(r.v, r.r) for r in got] == [(v, round(v, 6)) for v in values]

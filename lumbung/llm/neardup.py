@@ -8,8 +8,11 @@ sets, built from the texts.
 
 Work inside large buckets stays small. First every member meets only the hub of its bucket, the
 member that shares buckets with most others. Members whose component is then known to be the same
-need not be compared; what is left of a bucket is compared in tiles of bounded size. A pair is
-confirmed in the first bucket it shares, inside its tile, and only links leave a tile.
+need not be compared; what is left of a bucket is compared in tiles of bounded size, which hold
+signatures only. A pair belongs to the first bucket it shares. In each round a tile gives out, for
+each member, at most a fixed number of plausible partners in other components; these pairs are
+confirmed, components are merged, and members with partners left go on behind the last one tried.
+So pairs stay linear in the rows of the tiles, and none is lost.
 
 Sets are kept as 64-bit hashes of their shingles; two different shingles of one pair of texts agree
 with probability below 1e-10 even for the longest texts.
@@ -19,7 +22,8 @@ With 32 bands of 4 rows a pair of similarity 0.8 shares no band with probability
 Defined results: null text or text without words has an empty set and is linked with nothing; fewer
 words than a shingle's width make one shingle; repeated rows each get a row; rows that share a
 doc_id but not the text are each judged by their text; rows without doc_id are linked by their text,
-and a component that has no doc_id at all has a null one; an empty table gives no rows. Columns other than the key and the text are not read.
+and a component that has no doc_id at all has a null one; an empty table gives no rows. Columns
+other than the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.llm import words as W
-from lumbung.llm.common import kept, likely, numbered, partitions, pick, restored
+from lumbung.llm.common import kept, likely, numbered, partitions, pick, restored, small
 from lumbung.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -44,11 +48,12 @@ BATCH = 16  # signature values that one look compares
 MISS = 1e-7  # chosen probability, at each look, to drop a pair that reaches the threshold
 SEED = 7
 MINOR_BLOCK, MEMBER_BLOCK = 256, 1024  # sides of a tile
-UNNAMED = 1 << 62  # nodes without doc_id are numbered from here
+TRIED = 64  # partners of a member that a tile gives out in one round
 
 PROFILE = "doc_id long, n_shingles long, digest binary, signature binary"
 SETS = "digest binary, shingles binary"
 PAIRS = "a long, b long"
+TRIALS = "a long, b long, bucket long, i int, j int, cursor long"
 
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,34 +201,38 @@ def _confirmed(percent: int):
     return confirm
 
 
-def _tile(rows: dict[str, np.ndarray], shingles: list[bytes], percent: int
-          ) -> list[tuple[int, int]]:
-    """Links of one tile: minor members against members of other components."""
+def _tile(rows: dict[str, np.ndarray], percent: int, most: int
+          ) -> list[tuple[int, int, int | None]]:
+    """Plausible pairs (minor member, member of another component) of one tile.
+
+    Partners come by rising id. When a member has more than ``most``, the id of the last one given
+    out is also the third value of its pair: the next round goes on behind it.
+    """
     minor, full = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
+    full = full[np.argsort(rows["cid"][full])]
     band, out = int(rows["band"][0]), []
     for x in minor:
         mark = rows["signature"][x]
-        ok = full[(rows["root"][full] != rows["root"][x]) & (rows["cid"][full] != rows["cid"][x])]
+        ok = full[(rows["root"][full] != rows["root"][x]) & (rows["cid"][full] != rows["cid"][x])
+                  & (rows["cid"][full] > rows["cursor"][x])]
         ok = ok[survivors(np.broadcast_to(mark, (len(ok), HASHES)), rows["signature"][ok],
                           percent)]
         if len(ok):
             same = (rows["signature"][ok] == mark).reshape(len(ok), BANDS, -1).all(axis=2)
             ok = ok[same.argmax(axis=1) == band]  # elsewhere the pair met in an earlier band
-        if len(ok):
-            ok = ok[linked(_shingles(shingles[x]), [_shingles(shingles[y]) for y in ok], percent)]
-        own = int(rows["cid"][x])
-        out.extend((max(own, int(y)), min(own, int(y))) for y in rows["cid"][ok])
+        own, tried = int(rows["cid"][x]), rows["cid"][ok[:most]].tolist()
+        out.extend((own, y, y if len(ok) > most and y == tried[-1] else None) for y in tried)
     return out
 
 
-def _tiles(percent: int):
+def _tiles(percent: int, most: int):
     """Goes through rows sorted by tile; a tile is held only while its rows arrive."""
-    names = ["bucket", "i", "j", "band", "side", "cid", "root"]
+    names = ["bucket", "i", "j", "band", "side", "cid", "root", "cursor"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def cut(table: pa.Table, final: bool) -> tuple[list[tuple[int, int]], pa.Table | None]:
+        def cut(table: pa.Table, final: bool) -> tuple[list[tuple], pa.Table | None]:
             held = {n: table.column(n).to_numpy() for n in names}
             held["signature"] = _matrix(table.column("signature"))
             same = np.ones(len(table), bool)
@@ -232,15 +241,18 @@ def _tiles(percent: int):
                 same[1:] &= held[n][1:] == held[n][:-1]
             edges = [*np.flatnonzero(~same).tolist(), len(table)]
             stop = len(edges) - 1 if final else len(edges) - 2
-            out: list[tuple[int, int]] = []
+            out: list[tuple] = []
             for a, b in zip(edges[:stop], edges[1:stop + 1], strict=True):
-                out += _tile({n: v[a:b] for n, v in held.items()},
-                             table.column("shingles").slice(a, b - a).to_pylist(), percent)
+                tile = tuple(int(held[n][a]) for n in ("bucket", "i", "j"))
+                out += [(x, y, *tile, cursor) for x, y, cursor in _tile(
+                    {n: v[a:b] for n, v in held.items()}, percent, most)]
             return out, None if final else table.slice(edges[-2])
 
-        def packed(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+                [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)],
+                ["a", "b", "bucket", "i", "j", "cursor"])
 
         for batch in batches:
             if batch.num_rows == 0:
@@ -277,11 +289,13 @@ def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def _met_sets(members: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """Shingle sets of classes that share a bucket; other texts are read but not moved."""
-    ids = members.select("cid").distinct()
+    met = kept(classes.select("cid", "digest", "name").join(
+        members.select("cid").distinct(), "cid", "left_semi"))
+    ids = met.where("name is not null").select("name").distinct()
     near = likely(docs, "doc_id", ids, "met").where("met or doc_id is null").select("text")
-    met = classes.select("cid", "digest").join(ids, "cid", "left_semi")
     return near.mapInArrow(_sets(width), SETS).groupBy("digest").agg(
-        F.any_value("shingles").alias("shingles")).join(met, "digest").select("cid", "shingles")
+        F.any_value("shingles").alias("shingles")).join(
+        met.select("cid", "digest"), "digest").select("cid", "shingles")
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -297,12 +311,13 @@ def _members(classes: DataFrame) -> DataFrame:
     return shared.drop("n").join(hubs, "bucket")
 
 
-def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame,
-               percent: int) -> DataFrame:
-    """Links inside buckets whose members, besides the hub, lie in several components."""
-    rooted = members.where("cid <> hub").join(
-        labels.select(F.col("node").alias("cid"), F.col("component").alias("root")), "cid",
-        "left").select("bucket", "band", "cid", F.coalesce("root", "cid").alias("root"))
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, i, j, band, side, cid): tiles of buckets that hold several components.
+
+    The hub has met all others. Members outside a bucket's largest component (side 0) meet all of
+    its members (side 1).
+    """
+    rooted = _rooted(members.where("cid <> hub").select("bucket", "band", "cid"), labels)
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("members"),
@@ -312,20 +327,63 @@ def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, sets:
     met = rooted.join(mixed.select("bucket", "main", wide.alias("wide"), high.alias("high")),
                       "bucket")
     own = F.col("cid")
-    member = met.select("bucket", "band", "cid", "root", F.lit(1).alias("side"), F.explode(
+    member = met.select("bucket", "band", "cid", F.lit(1).alias("side"), F.explode(
         F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), F.pmod(
         F.xxhash64(own), "wide").cast("int").alias("j"))
     minor = met.where("root <> main").select(
-        "bucket", "band", "cid", "root", F.lit(0).alias("side"), F.pmod(
+        "bucket", "band", "cid", F.lit(0).alias("side"), F.pmod(
             F.xxhash64(own), "high").cast("int").alias("i"), F.explode(F.sequence(
                 F.lit(0), F.col("wide") - 1)).alias("j"))
-    rows = member.unionByName(minor.select(*member.columns))
-    held = classes.select("cid", "signature").join(sets, "cid")
-    tiles = rows.join(held, "cid").select("bucket", "i", "j", "band", "side", "cid", "root",
-                                          "signature", "shingles")
-    return tiles.repartition(partitions(members.sparkSession), "bucket", "i", "j"
-                             ).sortWithinPartitions("bucket", "i", "j").mapInArrow(
-        _tiles(percent), PAIRS).distinct()
+    return member.unionByName(minor)
+
+
+def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the component of ``cid``, as column root."""
+    return rows.join(labels.select(F.col("node").alias("cid"), F.col("component").alias("root")),
+                     "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links, which are few: only the components that they touch change."""
+    def root(df: DataFrame, node: str) -> DataFrame:
+        own = labels.select(F.col("node").alias(node), F.col("component").alias(f"{node}_root"))
+        return df.join(own, node, "left").withColumn(f"{node}_root", F.coalesce(
+            f"{node}_root", node))
+
+    between = root(root(links, "a"), "b").where("a_root <> b_root").select(
+        F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b"))
+    moved = kept(components(between))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return kept(labels.join(to, "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component")).unionByName(
+        moved.join(labels, "node", "left_anti")))
+
+
+def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame,
+               percent: int) -> DataFrame:
+    """Labels after links inside buckets whose members, besides the hub, lie in several components.
+    """
+    placed, place, todo = _placed(members, labels), ["bucket", "i", "j"], None
+    while True:
+        rows = _rooted(placed, labels)
+        if todo is None:
+            rows = rows.withColumn("cursor", F.lit(-1).cast("long"))
+        else:
+            rows = rows.join(todo.select(place).distinct(), place, "left_semi").join(
+                todo, [*place, "cid"], "left").where("side = 1 or cursor is not null")
+        tiles = rows.join(classes.select("cid", "signature"), "cid").select(
+            *place, "band", "side", "cid", "root", F.coalesce("cursor", F.lit(-1)).alias("cursor"),
+            "signature")
+        tried = kept(tiles.repartition(partitions(members.sparkSession), *place
+                                       ).sortWithinPartitions(*place).mapInArrow(
+            _tiles(percent, TRIED), TRIALS))
+        pairs = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        links = kept(_confirm_pairs(pairs.distinct(), sets, percent))
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+        todo = tried.where("cursor is not null").select(*place, F.col("a").alias("cid"), "cursor")
+        if todo.isEmpty():
+            return labels
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
@@ -338,26 +396,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     docs = pick(docs, doc_id=key, text=text).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiles = kept(docs.mapInArrow(_profiles(width), PROFILE))
-    unnamed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("digest"), 3)
     classes = kept(profiles.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("cid"), F.any_value("signature").alias("signature")).withColumn(
-        "cid", F.coalesce("cid", unnamed)))
+        F.min("doc_id").alias("name"), F.any_value("signature").alias("signature")).withColumn(
+        "cid", F.monotonically_increasing_id()))
     members = kept(_members(classes))
     sets = kept(_met_sets(members, docs, classes, width))
     spokes = members.where("cid <> hub").select(
         F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
     first = _confirm_pairs(_prune_pairs(spokes, classes, percent), sets, percent)
-    labels = components(first)
-    second = _left_over(members, labels, classes, sets, percent)
-    found = components(labels.where("node <> component").select(
-        F.col("node").alias("a"), F.col("component").alias("b")).unionAll(second))
-    by_digest = classes.select("digest", "cid").join(
-        found, F.col("cid") == F.col("node"), "left").select(
-        "digest", F.coalesce("component", "cid").alias("component"))
-    named = profiles.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return named.select("doc_id", "n_shingles", F.when(component < UNNAMED, component).alias(
-        "component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    labels = _left_over(members, kept(components(first)), classes, sets, percent)
+    nodes = labels.withColumnRenamed("node", "cid")
+    linked_classes = classes.select("cid", "name", "digest").join(nodes, "cid")
+    names = kept(linked_classes.groupBy("component").agg(F.min("name").alias("smallest")))
+    by_class = kept(linked_classes.join(small(names), "component").select(
+        "digest", F.col("smallest").alias("component_id")).unionByName(
+        classes.join(nodes, "cid", "left_anti").select(
+            "digest", F.col("name").alias("component_id"))))
+    rows = profiles.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+    named = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias(
+        "component_id"))
+    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,

@@ -8,11 +8,10 @@ sets, built from the texts.
 
 Work inside large buckets stays small. First every member meets only the hub of its bucket, the
 member that shares buckets with most others. Members whose component is then known to be the same
-need not be compared; what is left of a bucket is compared in tiles of bounded size, which hold
-signatures only. A pair belongs to the first bucket it shares. In each round a tile gives out, for
-each member, at most a fixed number of plausible partners in other components; these pairs are
-confirmed, components are merged, and members with partners left go on behind the last one tried.
-So pairs stay linear in the rows of the tiles, and none is lost.
+need not be compared; what is left of a bucket is compared in tiles of bounded size. Tiles first
+hold signatures only and name the members that have a plausible partner in them; a pair belongs to
+the first bucket it shares. Only these members come again with their sets, and links are confirmed
+inside the tile. So no list of pairs ever leaves a tile, and most sets never enter one.
 
 Sets are kept as 64-bit hashes of their shingles; two different shingles of one pair of texts agree
 with probability below 1e-10 even for the longest texts.
@@ -48,12 +47,11 @@ BATCH = 16  # signature values that one look compares
 MISS = 1e-7  # chosen probability, at each look, to drop a pair that reaches the threshold
 SEED = 7
 MINOR_BLOCK, MEMBER_BLOCK = 256, 1024  # sides of a tile
-TRIED = 64  # partners of a member that a tile gives out in one round
 
 PROFILE = "doc_id long, n_shingles long, digest binary, signature binary"
 SETS = "digest binary, shingles binary"
 PAIRS = "a long, b long"
-TRIALS = "a long, b long, bucket long, i int, j int, cursor long"
+PLAUSIBLE = "bucket long, i int, j int, cid long"
 
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -201,33 +199,52 @@ def _confirmed(percent: int):
     return confirm
 
 
-def _tile(rows: dict[str, np.ndarray], percent: int, most: int
-          ) -> list[tuple[int, int, int | None]]:
-    """Plausible pairs (minor member, member of another component) of one tile.
-
-    Partners come by rising id. When a member has more than ``most``, the id of the last one given
-    out is also the third value of its pair: the next round goes on behind it.
-    """
+def _partners(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each minor member of a tile with its plausible partners in other components."""
     minor, full = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
-    full = full[np.argsort(rows["cid"][full])]
-    band, out = int(rows["band"][0]), []
+    band = int(rows["band"][0])
     for x in minor:
         mark = rows["signature"][x]
-        ok = full[(rows["root"][full] != rows["root"][x]) & (rows["cid"][full] != rows["cid"][x])
-                  & (rows["cid"][full] > rows["cursor"][x])]
+        ok = full[(rows["root"][full] != rows["root"][x]) & (rows["cid"][full] != rows["cid"][x])]
         ok = ok[survivors(np.broadcast_to(mark, (len(ok), HASHES)), rows["signature"][ok],
                           percent)]
         if len(ok):
             same = (rows["signature"][ok] == mark).reshape(len(ok), BANDS, -1).all(axis=2)
             ok = ok[same.argmax(axis=1) == band]  # elsewhere the pair met in an earlier band
-        own, tried = int(rows["cid"][x]), rows["cid"][ok[:most]].tolist()
-        out.extend((own, y, y if len(ok) > most and y == tried[-1] else None) for y in tried)
-    return out
+        if len(ok):
+            yield int(x), ok
+
+
+def _plausible(percent: int):
+    def named(rows: dict[str, np.ndarray], _: list) -> list[tuple]:
+        """(tile, cid) of every member that has a partner in the tile."""
+        met: set[int] = set()
+        for x, others in _partners(rows, percent):
+            met.update((int(rows["cid"][x]), *rows["cid"][others].tolist()))
+        return [(*(int(rows[n][0]) for n in ("bucket", "i", "j")), cid) for cid in met]
+
+    return _by_tile(named, PLAUSIBLE)
+
+
+def _links(percent: int):
+    def confirmed(rows: dict[str, np.ndarray], shingles: list[bytes]) -> list[tuple]:
+        """Links of the tile, confirmed on full sets."""
+        out: list[tuple] = []
+        for x, others in _partners(rows, percent):
+            ok = others[linked(_shingles(shingles[x]), [_shingles(shingles[y]) for y in others],
+                               percent)]
+            own = int(rows["cid"][x])
+            out.extend((max(own, int(y)), min(own, int(y))) for y in rows["cid"][ok])
+        return out
+
+    return _by_tile(confirmed, PAIRS)
 
 
-def _tiles(percent: int, most: int):
+def _by_tile(work, schema: str):
     """Goes through rows sorted by tile; a tile is held only while its rows arrive."""
-    names = ["bucket", "i", "j", "band", "side", "cid", "root", "cursor"]
+    names = ["bucket", "i", "j", "band", "side", "cid", "root"]
+    columns = [(x.split()[0], {"long": pa.int64(), "int": pa.int32()}[x.split()[1]])
+               for x in schema.split(", ")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -235,6 +252,7 @@ def _tiles(percent: int, most: int):
         def cut(table: pa.Table, final: bool) -> tuple[list[tuple], pa.Table | None]:
             held = {n: table.column(n).to_numpy() for n in names}
             held["signature"] = _matrix(table.column("signature"))
+            sets = "shingles" in table.column_names
             same = np.ones(len(table), bool)
             same[0] = False
             for n in ("bucket", "i", "j"):
@@ -243,16 +261,13 @@ def _tiles(percent: int, most: int):
             stop = len(edges) - 1 if final else len(edges) - 2
             out: list[tuple] = []
             for a, b in zip(edges[:stop], edges[1:stop + 1], strict=True):
-                tile = tuple(int(held[n][a]) for n in ("bucket", "i", "j"))
-                out += [(x, y, *tile, cursor) for x, y, cursor in _tile(
-                    {n: v[a:b] for n, v in held.items()}, percent, most)]
+                out += work({n: v[a:b] for n, v in held.items()}, table.column("shingles").slice(
+                    a, b - a).to_pylist() if sets else [])
             return out, None if final else table.slice(edges[-2])
 
         def packed(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)],
-                ["a", "b", "bucket", "i", "j", "cursor"])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, (
+                _, kind) in enumerate(columns)], [name for name, _ in columns])
 
         for batch in batches:
             if batch.num_rows == 0:
@@ -363,27 +378,19 @@ def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, sets:
                percent: int) -> DataFrame:
     """Labels after links inside buckets whose members, besides the hub, lie in several components.
     """
-    placed, place, todo = _placed(members, labels), ["bucket", "i", "j"], None
-    while True:
-        rows = _rooted(placed, labels)
-        if todo is None:
-            rows = rows.withColumn("cursor", F.lit(-1).cast("long"))
-        else:
-            rows = rows.join(todo.select(place).distinct(), place, "left_semi").join(
-                todo, [*place, "cid"], "left").where("side = 1 or cursor is not null")
-        tiles = rows.join(classes.select("cid", "signature"), "cid").select(
-            *place, "band", "side", "cid", "root", F.coalesce("cursor", F.lit(-1)).alias("cursor"),
-            "signature")
-        tried = kept(tiles.repartition(partitions(members.sparkSession), *place
-                                       ).sortWithinPartitions(*place).mapInArrow(
-            _tiles(percent, TRIED), TRIALS))
-        pairs = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        links = kept(_confirm_pairs(pairs.distinct(), sets, percent))
-        if not links.isEmpty():
-            labels = _merged(labels, links)
-        todo = tried.where("cursor is not null").select(*place, F.col("a").alias("cid"), "cursor")
-        if todo.isEmpty():
-            return labels
+    place = ["bucket", "i", "j"]
+    rows = _rooted(_placed(members, labels), labels).join(classes.select("cid", "signature"), "cid"
+                                                          ).select(
+        *place, "band", "side", "cid", "root", "signature")
+
+    def dealt(tiles: DataFrame) -> DataFrame:
+        return tiles.repartition(partitions(members.sparkSession), *place).sortWithinPartitions(
+            *place)
+
+    near = kept(dealt(rows).mapInArrow(_plausible(percent), PLAUSIBLE).distinct())
+    full = rows.join(small(near), [*place, "cid"], "left_semi").join(sets, "cid")
+    links = kept(dealt(full).mapInArrow(_links(percent), PAIRS).distinct())
+    return labels if links.isEmpty() else _merged(labels, links)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,

@@ -164,32 +164,19 @@ def test_one_id_on_two_texts(frame):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (5, 2), (5, 5), (9, 5)]
 
 
-def test_partners_in_rounds(frame, monkeypatch):
-    """One partner a round finds the same links as all at once."""
+def test_drifting_chains(frame, monkeypatch):
+    """Links that no hub has, inside tiles of a few members."""
     rng = random.Random(12)
     base = [f"w{i}" for i in range(50)]
     rows = []
-    for i in range(150):  # chains of slowly drifting texts that share most of their bands
+    for i in range(150):  # slowly drifting texts that share most of their bands
         base = list(base) if i % 30 else [f"v{i}x{k}" if k > 25 else f"w{k}" for k in range(50)]
         base[rng.randrange(50)] = f"n{i}"
         rows.append((i, " ".join(base)))
     want = brute.near(rows, 1, 60)[0]
-    for most in (1, 64):
-        monkeypatch.setattr(neardup, "TRIED", most)
+    for side in (4, 256):
+        monkeypatch.setattr(neardup, "MINOR_BLOCK", side)
+        monkeypatch.setattr(neardup, "MEMBER_BLOCK", 2 * side)
         got = neardup.near_duplicates(frame(rows), width=1, percent=60).collect()
         assert {r.doc_id: r.component_id for r in got} == want
     assert len(set(want.values())) > 1
-
-
-def test_tile_goes_on_behind_the_last_partner():
-    n = 9
-    rows = {"side": np.array([0] + [1] * n), "cid": np.arange(n + 1), "root": np.arange(n + 1),
-            "band": np.zeros(n + 1, int), "cursor": np.full(n + 1, -1),
-            "signature": np.ones((n + 1, neardup.HASHES), np.uint32)}
-    met, cursor = [], -1
-    while cursor is not None:
-        rows["cursor"][0] = cursor
-        out = neardup._tile(rows, 80, 4)
-        met += [y for _, y, _ in out]
-        cursor = out[-1][2]
-    assert met == list(range(1, n + 1))

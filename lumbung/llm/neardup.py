@@ -16,6 +16,9 @@ inside the tile. So no list of pairs ever leaves a tile, and most sets never ent
 Sets are kept as 64-bit hashes of their shingles; two different shingles of one pair of texts agree
 with probability below 1e-10 even for the longest texts.
 
+Signatures keep 16 bits of each minimum: equal ones stay equal, and others agree by chance too
+rarely to matter, for a value (1 in 65,536) as for a band (1 in 2^64).
+
 With 32 bands of 4 rows a pair of similarity 0.8 shares no band with probability 5e-8.
 
 Defined results: null text or text without words has an empty set and is linked with nothing; fewer
@@ -84,14 +87,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash values (sets x hashes, 32 bits each) of non-empty sets."""
+    """MinHash values (sets x hashes, 16 bits each) of non-empty sets."""
     every = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), HASHES), np.uint32)
+    out = np.empty((len(sets), HASHES), np.uint16)
     with np.errstate(over="ignore"):
         for k in range(HASHES):
             mixed = every * _FACTORS[k] + _SHIFTS[k]
-            out[:, k] = np.minimum.reduceat((mixed >> np.uint64(32)).astype(np.uint32), starts)
+            least = np.minimum.reduceat((mixed >> np.uint64(32)).astype(np.uint32), starts)
+            out[:, k] = least & np.uint32(0xFFFF)
     return out
 
 
@@ -158,7 +162,7 @@ def survivors(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return W.raw(column)[0].view(np.uint32).reshape(-1, HASHES)
+    return W.raw(column)[0].view(np.uint16).reshape(-1, HASHES)
 
 
 def _pruned(percent: int):
@@ -315,7 +319,7 @@ def _met_sets(members: DataFrame, docs: DataFrame, classes: DataFrame, width: in
 
 def _members(classes: DataFrame) -> DataFrame:
     """(bucket, band, cid, hub) of every class in a bucket that it shares."""
-    bands = F.array(*[F.xxhash64(F.substring("signature", 1 + 4 * ROWS * b, 4 * ROWS), F.lit(b))
+    bands = F.array(*[F.xxhash64(F.substring("signature", 1 + 2 * ROWS * b, 2 * ROWS), F.lit(b))
                       for b in range(BANDS)])
     banded = classes.select("cid", F.posexplode(bands).alias("band", "bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -379,16 +383,17 @@ def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, sets:
     """Labels after links inside buckets whose members, besides the hub, lie in several components.
     """
     place = ["bucket", "i", "j"]
-    rows = _rooted(_placed(members, labels), labels).join(classes.select("cid", "signature"), "cid"
-                                                          ).select(
-        *place, "band", "side", "cid", "root", "signature")
+    marks = classes.select("cid", "signature")
+    rows = _rooted(_placed(members, labels), labels).select(*place, "band", "side", "cid", "root")
 
     def dealt(tiles: DataFrame) -> DataFrame:
         return tiles.repartition(partitions(members.sparkSession), *place).sortWithinPartitions(
             *place)
 
-    near = kept(dealt(rows).mapInArrow(_plausible(percent), PLAUSIBLE).distinct())
-    full = rows.join(small(near), [*place, "cid"], "left_semi").join(sets, "cid")
+    near = kept(dealt(rows.join(marks, "cid")).mapInArrow(_plausible(percent), PLAUSIBLE
+                                                          ).distinct())
+    full = rows.join(small(near), [*place, "cid"], "left_semi").join(
+        sets.join(marks, "cid"), "cid")
     links = kept(dealt(full).mapInArrow(_links(percent), PAIRS).distinct())
     return labels if links.isEmpty() else _merged(labels, links)
 

@@ -156,6 +156,15 @@ def test_components(spark):
     assert got == root
 
 
+def test_components_dealt_out(spark, monkeypatch):
+    """The same labels when no edge list counts as short."""
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (90, 7)],
+                                  "a long, b long")
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    assert got == {**dict.fromkeys([*range(41), 90], 0), 100: 100, 101: 100}
+
+
 def test_one_id_on_two_texts(frame):
     """Ids name components; they do not join texts."""
     one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")

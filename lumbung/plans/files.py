@@ -10,7 +10,7 @@ from lumbung.functions.digests import dataset_digest
 from lumbung.plans.registry import query
 from lumbung.plans.views import UNITS, packages, pick, pick_sql, table, with_packages
 from lumbung.session import checkpoint_root
-from lumbung.sources import contacts, evidence, html, sinks
+from lumbung.sources import contacts, delimited, evidence, html, sinks
 from lumbung.sources import packages as package_source
 
 QUOTED = 'with "quotes", commas; and\ttabs'
@@ -181,3 +181,56 @@ def registry_cards(spark, sf_dir):
         F.lit(None).cast("string").alias("filter_province"), "html"), F.lit("now"))
     return rows.select("nama_lpse", "kategori_instansi", "provinsi", "versi_spse", "aktif",
                        "https", "domain", "source_page")
+
+
+def _csv(rows, folder, name):
+    """One more layout among the files of ``folder``."""
+    rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                       ignoreTrailingWhiteSpace=False).csv(f"{folder}/{name}")
+
+
+@query("csv_records", """
+ SELECT c_custkey, c_name || chr(10) || '"' || c_mktsegment || '",' || chr(10) AS remark,
+  TRUE AS numbered FROM customer""")
+def csv_records(spark, sf_dir):
+    """Line breaks and quotes inside quotes; the records of every file are numbered without gap."""
+    folder = fresh_folder(spark, "records")
+    _csv(table(spark, sf_dir, "customer").select("c_custkey", F.concat(
+        "c_name", F.lit('\n"'), "c_mktsegment", F.lit('",\n')).alias("remark")).repartition(
+        3, "c_custkey"), folder, "csv")
+    rows = delimited.parsed(delimited.records(spark, folder).where("record > 0"),
+                            ["c_custkey", "remark"])
+    ends = rows.groupBy("_path").agg((F.max("_record") == F.count_distinct("_record")).alias(
+        "numbered"))
+    return rows.join(ends, "_path").select(F.col("c_custkey").cast("long").alias("c_custkey"),
+                                           "remark", "numbered")
+
+
+def evidence_folder(spark, sf_dir):
+    """Suppliers as evidence files of two layouts, a file with a wrong row and a page."""
+    folder = fresh_folder(spark, "evidence")
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_name", F.concat(F.col("s_name"), F.lit(', "unit"\nof '), F.col(
+            "s_nationkey").cast("string")).alias("place"),
+        F.when(k % 3 == 0, "Tender Selesai").when(k % 3 == 1, "Pengumuman Pemenang").otherwise(
+            "").alias("state"))
+    _csv(rows.where(k % 2 == 0).select(F.col("s_suppkey").alias("id_rup"), F.col("s_name").alias(
+        "nama_paket"), F.col("place").alias("instansi"), F.col("state").alias("status")),
+        folder, "first")
+    _csv(rows.where(k % 2 == 1).select(F.col("state").alias("tahapan"), F.col("place").alias(
+        "satker"), F.col("s_suppkey").alias("kode_rup")), folder, "second")
+    rows.limit(1).select(F.lit("tender selesai,2,3").alias("status")).write.option(
+        "header", True).option("quote", "").csv(f"{folder}/wrong")
+    return folder
+
+
+@query("evidence_folder_rows", """
+ SELECT CAST(s_suppkey AS VARCHAR) AS rup_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END
+  AS package_name, s_name || ', "unit"' || chr(10) || 'of ' || s_nationkey AS institution_name,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'Tender Selesai' ELSE 'Pengumuman Pemenang' END AS matched_text
+ FROM supplier WHERE s_suppkey % 3 <> 2""")
+def evidence_folder_rows(spark, sf_dir):
+    """Evidence of a folder whose files have different headers."""
+    rows, _ = evidence.load_evidence(spark, evidence_folder(spark, sf_dir))
+    return rows.select("rup_id", "package_name", "institution_name", "matched_text")

@@ -13,6 +13,8 @@ from lumbung.functions.text import (clean, clean_inner, contains_any, first_year
                                     strip_html)
 from lumbung.operators.status import factual_status, has_status_terms, source_type
 from lumbung.rules import evidence as R
+from lumbung.session import cut_lineage
+from lumbung.sources import delimited
 
 
 def read_evidence(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -72,9 +74,10 @@ def pick_column(columns: list[str], synonyms: list[str]) -> str | None:
     return next((c for c in columns if any(_plain(s) in _plain(c) for s in synonyms)), None)
 
 
-def evidence_from_table(rows: DataFrame, file_name: str, position: Column) -> DataFrame:
+def evidence_from_table(rows: DataFrame, file_name: str | Column, position: Column,
+                        columns: list[str] | None = None) -> DataFrame:
     """Rows of a table of unknown layout that state an execution status."""
-    columns = rows.columns
+    columns = rows.columns if columns is None else columns
     found = {role: pick_column(columns, names) for role, names in R.GENERIC_COLUMNS.items()}
 
     def role(name: str) -> Column:
@@ -82,7 +85,7 @@ def evidence_from_table(rows: DataFrame, file_name: str, position: Column) -> Da
 
     cells = F.array(*[clean_inner(F.col(f"`{c}`")) for c in columns])
     text = F.array_join(F.filter(cells, lambda x: x != ""), " | ")
-    label = F.lit(file_name)
+    label = F.lit(file_name) if isinstance(file_name, str) else file_name
     tagged = rows.withColumn("_text", text).withColumn("_pos", position).withColumn(
         "_status", factual_status(F.col("_text")))
     derived = looks_derived(label) & ~has_source_hint(label)
@@ -123,6 +126,62 @@ def scan_report(evidence: DataFrame, files: DataFrame) -> DataFrame:
         F.when(F.col("n") > 0, "yes").otherwise("no").alias("used_for_matching"))
 
 
+def load_evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(evidence, report) of a folder of files whose layouts are not known.
+
+    The first records of the CSV files are read once; files with the same header are one group with
+    one scan. A file that cannot be read as a table (no header, more fields than the header, an open
+    quote) is a row of the report and gives no evidence. Other text files count as a whole. The
+    driver holds one row per file and one plan per distinct header.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    hint = F.when(has_source_hint(name), "real_status_hint").otherwise("generic_or_derived")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder
+        ).select("path", name.alias("file"), hint.alias("hint"))
+    known = {kind: [r["path"] for r in listed.where(reduce(lambda a, b: a | b, [
+        F.lower("file").endswith(e) for e in ends])).select("path").collect()]
+        for kind, ends in (("csv", [".csv"]), ("text", [".html", ".htm", ".json"]))}
+    parts, states = [], []
+    if known["csv"]:
+        rows = delimited.records(spark, known["csv"])
+        heads = cut_lineage(rows.where("record = 0").select("path", F.col("text").alias("header")))
+        joined = rows.join(F.broadcast(heads), "path").where("record > 0")
+        wrong = F.when(~delimited.closed(F.col("text")), "error: quote is not closed").when(
+            delimited.field_count(F.col("text")) > delimited.field_count(F.col("header")),
+            "error: more fields than the header")
+        errors = cut_lineage(joined.select("path", wrong.alias("error")).where(
+            "error is not null").groupBy("path").agg(F.min("error").alias("error")))
+        csv_files = listed.where(F.lower("file").endswith(".csv"))
+        states.append(csv_files.join(heads, "path", "left").join(errors, "path", "left").select(
+            "path", "hint", F.when(F.col("header").isNull(), "error: no header").otherwise(
+                F.coalesce("error", F.lit("scanned_csv"))).alias("scan_status")))
+        for (header,) in heads.select("header").distinct().collect():
+            own = joined.where(F.col("header") == header).join(
+                F.broadcast(errors), "path", "left_anti").select("path", "record", "text")
+            names = delimited.header_names(header)
+            table = delimited.parsed(own, names)
+            label = F.element_at(F.split("_path", "/"), -1)
+            found = evidence_from_table(table, label, F.col("_record") + 1, names)
+            parts.append(found)
+    if known["text"]:
+        files = spark.read.option("wholetext", True).text(known["text"]).select(
+            F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+        parts.append(evidence_from_text(files))
+        states.append(files.join(listed, "path").select(
+            "path", "hint", F.lit("scanned_text").alias("scan_status")))
+    if not parts:
+        raise FileNotFoundError(f"no evidence files in {folder}")
+    evidence = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    evidence = evidence.withColumn("evidence_file", F.element_at(
+        F.split("evidence_file", "/"), -1))
+    counts = evidence.groupBy(F.col("evidence_file").alias("file")).agg(F.count("*").alias("n"))
+    report = reduce(DataFrame.unionByName, states).withColumn("file", name).join(
+        counts, "file", "left").select(
+        "file", "hint", "scan_status", F.coalesce("n", F.lit(0)).alias("evidence_rows_found"),
+        F.when(F.col("n") > 0, "yes").otherwise("no").alias("used_for_matching"))
+    return evidence, report
+
+
 # ---- list payloads and parsed tables ------------------------------------------------------------
 def payload_rows(payloads: DataFrame, year: int | None = None) -> DataFrame:
     """Evidence rows of list payloads ({"data": [[cell, ...], ...]}), cells freed of markup.

@@ -12,6 +12,7 @@ from lumbung.functions.text import best_nonempty, display_name
 from lumbung.functions.web import has_web_provenance
 from lumbung.operators.authority import match_keys
 from lumbung.rules import contacts as R
+from lumbung.sources import delimited
 
 
 def _name(path: str) -> str:
@@ -38,14 +39,14 @@ def equivalent_files(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def read_contact_file(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of one known file under its header contract."""
+    """Rows of one known file under its header contract, with their number as ``_record``."""
     name = _name(path)
     if name not in R.KNOWN_FILES:
         raise ValueError(f"unknown contact source filename: {name}")
-    rows = spark.read.option("header", True).option("multiLine", True).option(
-        "escape", '"').csv(path)
-    bare = [c.lstrip("\ufeff") for c in rows.columns]
-    rows = rows.toDF(*bare)
+    records = delimited.records(spark, path)
+    header = records.where("record = 0").first()
+    bare = delimited.header_names(header["text"]) if header else []
+    rows = delimited.parsed(records.where("record > 0"), bare).drop("_path")
     missing = sorted(set(R.REQUIRED_COLUMNS[R.KNOWN_FILES[name][0]]) - set(bare))
     if missing:
         raise ValueError(f"unsupported schema for {name}; missing required columns: "
@@ -94,7 +95,7 @@ def read_contacts(spark: SparkSession, paths: list[str]) -> DataFrame:
     frames = []
     for path in equivalent_files(spark, paths):
         rows = read_contact_file(spark, path)
-        frames.append(canonical_contacts(rows, _name(path), F.monotonically_increasing_id() + 1))
+        frames.append(canonical_contacts(rows, _name(path), F.col("_record")))
     if not frames:
         raise FileNotFoundError("no contact sources given")
     return reduce(DataFrame.unionByName, frames)

@@ -444,7 +444,8 @@ def verify_chains(log: DataFrame, genesis: str = GENESIS, block: int = 1_000_000
         F.array_sort(F.collect_set("rule")).alias("failures"))
     facts = chain_facts(log).select("run_id", "terminal_type", "terminal_hash", "processed",
                                     "canonical_total", "quarantine_total", "retry_total",
-                                    "completed")
+                                    "completed", "last_source",
+                                    F.col("end.duckdb_sha256").alias("table_digest"))
     out = facts.join(failures, "run_id", "left").withColumn(
         "failures", F.coalesce("failures", F.array().cast("array<string>")))
     valid = F.size("failures") == 0

@@ -330,11 +330,8 @@ def replay_append(spark, sf_dir):
     return snapshot.rows_to_append(batch, stored, "o_orderkey", "batch").select("o_orderkey")
 
 
-@query("resume_state", """
- SELECT 'run-' || (o_orderkey % 40) AS run_id, CASE o_orderkey % 40 % 4 WHEN 0 THEN 'consistent'
-  WHEN 1 THEN 'replay_candidate' WHEN 2 THEN 'error: canonical rows trail the checkpoint'
-  ELSE 'error: ahead by more than one page' END AS state FROM orders GROUP BY o_orderkey % 40""")
-def resume_state(spark, sf_dir):
+def resume_runs(spark, sf_dir):
+    """Checkpoints that agree with the stored rows, trail them by five or twelve, or lead."""
     run = F.col("o_orderkey") % 40
     name = F.concat(F.lit("run-"), run.cast("string"))
     rows = table(spark, sf_dir, "orders").select(name.alias("run_id"), run.alias("run"),
@@ -346,7 +343,33 @@ def resume_state(spark, sf_dir):
         F.lit(0).alias("quarantine_rows"))
     quarantine = rows.where(F.col("id") < 0).select(
         "run_id", F.col("id").alias("quarantine_record_id"))
-    return runlog.resume_state(checkpoint, rows, quarantine, 10).select("run_id", "state")
+    return checkpoint, rows, quarantine
+
+
+@query("resume_state", """
+ SELECT 'run-' || (o_orderkey % 40) AS run_id, CASE o_orderkey % 40 % 4 WHEN 0 THEN 'consistent'
+  WHEN 1 THEN 'replay_candidate' WHEN 2 THEN 'error: canonical rows trail the checkpoint'
+  ELSE 'error: ahead by more than one page' END AS state FROM orders GROUP BY o_orderkey % 40""")
+def resume_state(spark, sf_dir):
+    return runlog.resume_state(*resume_runs(spark, sf_dir), 10).select("run_id", "state")
+
+
+@query("verified_replay", """
+ WITH g AS (SELECT o_orderkey % 40 AS run, count(*) AS n FROM orders GROUP BY 1)
+ SELECT 'run-' || run AS run_id, CASE run % 4 WHEN 1 THEN 5 WHEN 2 THEN -3 WHEN 3 THEN 12 ELSE 0
+  END AS canonical_ahead_count, CASE WHEN run % 8 = 1 THEN 5 ELSE 4 END AS page_canonical,
+  run % 8 = 1 AS verified FROM g""")
+def verified_replay(spark, sf_dir):
+    """Runs ahead of their checkpoint against the page that is fetched again: every second run
+    that is one page ahead has exactly that page's rows more."""
+    checkpoint, rows, quarantine = resume_runs(spark, sf_dir)
+    states = runlog.resume_state(checkpoint, rows, quarantine, 10)
+    keep = F.when(F.col("run") % 8 == 1, 5).otherwise(4)
+    page = rows.groupBy("run_id", "run").agg(F.count("*").alias("n")).select(
+        "run_id", F.explode(F.sequence(F.lit(1), keep)).alias("i")).withColumn(
+        "is_valid", F.lit(True))
+    return runlog.verified_replay(states, page).select(
+        "run_id", "canonical_ahead_count", "page_canonical", "verified")
 
 
 # ---- run log ---------------------------------------------------------------------------------
@@ -424,26 +447,6 @@ def chain_heads(spark, sf_dir):
     return runlog.chain_facts(run_logs(spark, sf_dir)).select("run_id", "terminal_hash")
 
 
-GATES = runlog.promotion_gates("STEADY_STATE")
-
-
-@query("gate_table", """
- WITH r AS (SELECT l_suppkey AS run, count(*) AS n, count(DISTINCT l_orderkey) AS d
-            FROM lineitem GROUP BY 1)
- SELECT 'run-' || run AS run_id, n = d AS promotion_eligible,
-  CASE WHEN n = d THEN '' ELSE 'unique_ids' END AS failures FROM r""")
-def gate_table(spark, sf_dir):
-    """Supplier shipments as runs: a repeated order key fails the uniqueness gate."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(
-        F.concat(F.lit("run-"), F.col("l_suppkey").cast("string")).alias("run_id")).agg(
-        F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("d"))
-    named = {g: F.lit(True) for g in GATES}
-    named.update({"row_count_nonzero": F.col("n") > 0, "unique_ids": F.col("n") == F.col("d")})
-    gates = runlog.gate_table(rows.withColumns(named), "STEADY_STATE")
-    return runlog.promotion_verdict(gates).select(
-        "run_id", "promotion_eligible", F.array_join("failures", "; ").alias("failures"))
-
-
 @query("manifest_checks", """
  WITH o AS (SELECT l_suppkey AS run, count(*) AS n FROM lineitem GROUP BY 1)
  SELECT 'run-' || run AS run_id, array_to_string(list_filter([

@@ -108,7 +108,7 @@ def stored_runs(spark, sf_dir) -> Q.Evidence:
 
 
 def stored_reports(claimed, keys, pairs, manifests) -> DataFrame:
-    """Reports as the comparison wrote them; one root's run in each has a wrong count."""
+    """Reports as the comparison wrote them; one run of each root has a wrong count."""
     fault = F.col("run") % FAULTS
     facts = claimed.select("run_id", "run").join(
         Q.run_facts(keys), "run_id", "left").withColumns(Q.no_rows()).join(
@@ -248,7 +248,7 @@ def run_qualification(spark, sf_dir):
         "failures", F.array_join("failures", "; "))
 
 
-@query("run_gates", _RUNS + """
+@query("gate_table", _RUNS + """
  , names AS (SELECT mode, unnest(gates) AS gate, generate_subscripts(gates, 1) - 1 AS position
    FROM (VALUES ('GENESIS', [""" + ", ".join(
     f"'{g}'" for g in runlog.promotion_gates("GENESIS")) + """]), ('STEADY_STATE', [""" + ", ".join(
@@ -256,7 +256,7 @@ def run_qualification(spark, sf_dir):
  SELECT run_id, mode, CAST(position AS INTEGER) AS position, gate, CASE WHEN contains(
   '; ' || array_to_string(failing, '; ') || ';', '; ' || gate || ';') THEN 'FAIL' ELSE 'PASS' END
   AS verdict FROM v JOIN names USING (mode)""")
-def run_gates(spark, sf_dir):
+def gate_table(spark, sf_dir):
     """The ordered gates of every run: 19 of a first snapshot, 15 of the others."""
     return Q.gate_rows(judged_runs(spark, sf_dir)[0])
 

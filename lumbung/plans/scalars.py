@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lumbung.functions import numbers
 from lumbung.functions import text as X
-from lumbung.operators import contracts, linkage, products, prospects, runlog, summaries
+from lumbung.operators import (contracts, linkage, products, prospects, qualification, runlog,
+                               summaries)
 from lumbung.plans import acquisition
 from lumbung.plans.linking import _SCORED, letter_evidence, letter_plans, stem_text
 from lumbung.plans.outreach_events import _E, events
@@ -134,19 +135,26 @@ def source_drift(spark, sf_dir):
 
 
 @query("run_manifest", """
- SELECT 'run-' || (event_id // 40) AS run_id, count(*) AS row_count, min(event_id) AS min_id,
-  max(event_id) AS max_id, count(*) - CASE WHEN max(event_id) // 40 % 7 = 2 THEN 1 ELSE 0 END
-   AS page_count FROM events GROUP BY 1""")
+ WITH h AS (SELECT event_id // 40 AS run, event_id, sha256('{"event_type":"' || event_type ||
+   '","id":' || event_id || '}') AS d FROM events)
+ SELECT 'run-' || run AS run_id, count(*) AS row_count, count(*) AS distinct_id_count,
+  min(event_id) AS min_id, max(event_id) AS max_id,
+  count(*) - CASE WHEN run % 7 = 2 THEN 1 ELSE 0 END AS page_count, sha256(count(*) || ':' ||
+   sum(CAST('0x' || substr(d, 1, 8) AS BIGINT)) || ':' || sum(CAST('0x' || substr(d, 9, 8) AS
+   BIGINT)) || ':' || sum(CAST('0x' || substr(d, 17, 8) AS BIGINT)) || ':' || sum(CAST('0x' ||
+   substr(d, 25, 8) AS BIGINT))) AS digest FROM h GROUP BY run""")
 def run_manifest(spark, sf_dir):
-    """Totals of each run's receipts with the metrics of its rows."""
+    """Totals of each run's receipts with the metrics and the digest of its rows."""
     facts = runlog.chain_facts(acquisition.run_logs(spark, sf_dir)).select(
         "run_id", F.col("pages").alias("page_count"))
     run = F.concat(F.lit("run-"), F.floor(F.col("event_id") / 40).cast("string"))
-    rows = table(spark, sf_dir, "events").groupBy(run.alias("run_id"))
-    metrics = rows.agg(F.count("*").alias("row_count"), F.min("event_id").alias("min_id"),
-                       F.max("event_id").alias("max_id"))
-    digest = rows.agg(F.bit_xor(F.xxhash64("event_id")).alias("digest"))
-    return runlog.manifest_rows(facts, metrics, digest).drop("digest")
+    rows = table(spark, sf_dir, "events").select(run.alias("run_id"), F.col("event_id").alias(
+        "id"), "event_type")
+    alone = spark.createDataFrame([], "run_id string, baseline_run_id string")
+    stored = qualification.run_facts(qualification.key_facts(rows, alone))
+    return runlog.manifest_rows(
+        facts, stored.select("run_id", "row_count", "distinct_id_count", "min_id", "max_id"),
+        stored.select("run_id", F.col("sha256").alias("digest")))
 
 
 @query("sent_projection", _E + """

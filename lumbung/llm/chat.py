@@ -15,8 +15,9 @@ some already, so that taking one away gives back the original.
 Defined results: null texts and roles are empty; events that are equal throughout count once (logs
 may be delivered twice); a conversation without messages gives no row; null conv_id is a
 conversation of its own; an empty log gives no rows; other columns are not read. Deltas are folded
-per message before messages meet; one conversation's messages meet in one row, because its text is
-one value.
+per message before messages meet; what was voided is decided on keys without texts. One
+conversation's messages meet in one row, because its text is one value; time grows in proportion to
+its turns.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ BEGIN, END, PROMPT, ANSWER = "<s>", "</s>", "[INST]", "[/INST]"
 ASSISTANT = "assistant"
 CONTROL = "(/?s>|/?INST\\])"
 DELTA_CHARS = 200
+BLOCK = 4096  # code points
 
 
 def escaped(text: Column) -> Column:
@@ -42,13 +44,21 @@ def unescaped(text: Column) -> Column:
 
 
 def folded(log: DataFrame) -> DataFrame:
-    """Final messages (conv_id, message, role, text) of an event log."""
+    """Final messages (conv_id, message, role, text) of an event log.
+
+    What a regeneration voids is found on keys alone; the few voided events are then left out by
+    an anti join, so texts are never sorted by conversation.
+    """
     events = pick(log, conv_id="conv_id", seq="seq", kind="kind", message="message", role="role",
-                  text="text").dropDuplicates()
+                  text="text")
     later = Window.partitionBy("conv_id").orderBy(F.col("seq").desc()).rangeBetween(
         Window.unboundedPreceding, -1)
     cut = F.min(F.when(F.col("kind") == "regenerate", F.col("message"))).over(later)
-    alive = events.withColumn("cut", cut).where("cut is null or message <= cut")
+    void = events.select("conv_id", "seq", "message", cut.alias("cut")).where(
+        "message > cut").select(F.col("conv_id").alias("c"), F.col("seq").alias("s"),
+                                F.col("message").alias("m"))
+    alive = events.dropDuplicates().join(void, F.col("conv_id").eqNullSafe(F.col("c")) & (
+        F.col("seq") == F.col("s")) & (F.col("message") == F.col("m")), "left_anti")
     parts = alive.groupBy("conv_id", "message").agg(
         F.max(F.when(F.col("kind") != "delta", F.struct("seq", "kind", "text"))).alias("reset"),
         F.max_by("role", F.when(F.col("kind") == "open", F.col("seq"))).alias("role"),
@@ -63,27 +73,45 @@ def folded(log: DataFrame) -> DataFrame:
 
 
 def rendered(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss): the text and its spans (start, length) that bear the loss."""
+    """(conv_id, formatted, loss): the text and its spans (start, length) that bear the loss.
+
+    A turn's place is a running sum of lengths, so a conversation costs time in proportion to it.
+    """
     own = F.col("role") == ASSISTANT
     head = F.concat(F.lit(BEGIN), escaped(F.col("role")), F.when(own, F.lit(ANSWER)).otherwise(
         F.lit(PROMPT)))
     turns = messages.select("conv_id", "message", own.alias("own"), head.alias("head"),
                             escaped(F.col("text")).alias("body"))
-    held = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
-        "message", "head", "body", "own"))).alias("turns"))
-    zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<start:bigint,length:bigint>>")
-    walked = F.aggregate(
-        "turns", F.struct(zero.alias("at"), none.alias("spans")),
-        lambda a, t: F.struct(
-            (a["at"] + F.length(t["head"]) + F.length(t["body"]) + len(END)).cast("long").alias(
-                "at"),
-            F.when(t["own"], F.concat(a["spans"], F.array(F.struct(
-                (a["at"] + F.length(t["head"])).cast("long").alias("start"),
-                F.length(t["body"]).cast("long").alias("length"))))).otherwise(
-                a["spans"]).alias("spans")),
-        lambda a: a["spans"])
-    return held.select("conv_id", F.array_join(F.transform("turns", lambda t: F.concat(
-        t["head"], t["body"], F.lit(END))), "").alias("formatted"), walked.alias("loss"))
+    before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(
+        Window.unboundedPreceding, -1)
+    size = (F.length("head") + F.length("body") + len(END)).cast("long")
+    placed = turns.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    span = F.struct((F.col("at") + F.length("head")).alias("start"),
+                    F.length("body").cast("long").alias("length"))
+    held = placed.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("message", F.concat(
+            F.col("head"), F.col("body"), F.lit(END)).alias("turn")))).alias("turns"),
+        F.array_sort(F.collect_list(F.when(F.col("own"), span))).alias("loss"))
+    return held.select("conv_id", F.array_join(F.transform(
+        "turns", lambda t: t["turn"]), "").alias("formatted"), "loss")
+
+
+def _under(text: Column, spans: Column) -> Column:
+    """The texts under spans, each looked up in the blocks it touches, not from the text's start."""
+    parts = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias(
+        "blocks"), spans.alias("spans"))
+
+    def cut(blocks: Column, span: Column) -> Column:
+        first = F.floor(span["start"] / BLOCK)
+        count = F.floor((span["start"] + span["length"]) / BLOCK) - first + 1
+        return F.substring(
+            F.array_join(F.slice(blocks, (first + 1).cast("int"), count.cast("int")), ""),
+            (span["start"] - first * BLOCK + 1).cast("int"), span["length"].cast("int"))
+
+    # The array of one binds the blocks to a name, or they would be made again for every span.
+    bound = F.transform(F.array(parts), lambda x: F.transform(
+        x["spans"], lambda s: cut(x["blocks"], s)))
+    return F.element_at(bound, 1)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -92,8 +120,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     turns = F.transform(pieces, lambda p: F.struct(
         unescaped(F.regexp_extract(p, "(?s)^<s>(.*?)\\[/?INST\\]", 1)).alias("role"),
         unescaped(F.regexp_replace(p, "(?s)^<s>.*?\\[/?INST\\]", "")).alias("text")))
-    loss = F.array_join(F.transform("loss", lambda s: unescaped(F.substring(
-        F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    loss = F.array_join(F.transform(
+        _under(F.col("formatted"), F.col("loss")), unescaped), "")
     return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"),
                             F.length("formatted").cast("long").alias("formatted_chars"))
 

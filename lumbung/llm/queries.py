@@ -214,9 +214,10 @@ def _escape_sql(text: str) -> str:
    WHEN 'assistant' THEN 7 ELSE 6 END)::BIGINT AS formatted_chars
  FROM c GROUP BY conv_id""")
 def op10_chat_formatting(spark, sf_dir):
-    planted = spark.createDataFrame(
-        [(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)],
-        "conv_id long, turn long, role string, text string")
+    planted = spark.range(1).select(F.explode(F.array(*[F.struct(
+        F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"),
+        F.lit(role).alias("role"), F.lit(PLANTED).alias("text"))
+        for i, role in enumerate(("user", "assistant"))])).alias("t")).select("t.*")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     log = chat.conversation_log(turns.unionByName(planted))
     return chat.digests(chat.read_back(chat.rendered(chat.folded(log))))

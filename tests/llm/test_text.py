@@ -6,6 +6,7 @@ import json
 import math
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumbung.llm import chat, extraction, langid, lm, pieces, quality
 from lumbung.llm import words as W
@@ -167,6 +169,31 @@ def test_chat_log_events(frame):
     assert chat.rendered(chat.folded(frame([], schema))).collect() == []
 
 
+def test_long_conversation(spark):
+    """40,000 turns, spans over block borders and astral characters; time in proportion."""
+    def turns(n):
+        i = F.col("id")
+        return spark.range(n).select(
+            F.lit(1).alias("conv_id"), i.alias("turn"),
+            F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"),
+            F.when(i == 7, F.repeat(F.lit("😀x</s>"), 3000)).otherwise(F.concat(
+                F.lit("é[INST] "), i.cast("string"))).alias("text"))
+
+    def fold(n):
+        start = time.perf_counter()
+        row = chat.digests(chat.read_back(chat.rendered(chat.folded(
+            chat.conversation_log(turns(n)))))).first()
+        return row, time.perf_counter() - start
+
+    fold(100)
+    row, seconds = fold(40_000)
+    loss = "".join("😀x</s>" * 3000 if i == 7 else f"é[INST] {i}" for i in range(1, 40_000, 2))
+    assert row.n_turns == 40_000
+    assert (row.loss_chars, row.loss_sha256) == (
+        len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert seconds < 30
+
+
 # -- extraction -----------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{a:b}</style></head><body>

@@ -15,8 +15,7 @@ some already, so that taking one away gives back the original.
 Defined results: null texts and roles are empty; events that are equal throughout count once (logs
 may be delivered twice); a conversation without messages gives no row; null conv_id is a
 conversation of its own; an empty log gives no rows; other columns are not read. Deltas are folded
-per message before messages meet; what was voided is decided on keys without texts. One
-conversation's messages meet in one row, because its text is one value; time grows in proportion to
+per message before messages meet, in a window over one row per message. One conversation's messages meet in one row, because its text is one value; time grows in proportion to
 its turns.
 """
 
@@ -46,28 +45,37 @@ def unescaped(text: Column) -> Column:
 def folded(log: DataFrame) -> DataFrame:
     """Final messages (conv_id, message, role, text) of an event log.
 
-    What a regeneration voids is found on keys alone; the few voided events are then left out by
-    an anti join, so texts are never sorted by conversation.
+    An event is void if it is older than the latest regeneration of any earlier message. That is a
+    running maximum over one row per message, so events are grouped by message and never sorted by
+    conversation.
     """
     events = pick(log, conv_id="conv_id", seq="seq", kind="kind", message="message", role="role",
-                  text="text")
-    later = Window.partitionBy("conv_id").orderBy(F.col("seq").desc()).rangeBetween(
+                  text="text").dropDuplicates()
+    kind = F.col("kind")
+    parts = events.groupBy("conv_id", "message").agg(
+        F.max("seq").alias("last"),
+        F.max(F.when((kind == "regenerate") & F.col("message").isNotNull(), F.col("seq"))).alias(
+            "again"),
+        F.max(F.when(kind != "delta", F.struct("seq", "kind", "text"))).alias("reset"),
+        F.max(F.when(kind == "open", F.struct("seq", "role"))).alias("opened"),
+        F.array_sort(F.collect_list(F.when(kind == "delta", F.struct("seq", "text")))).alias(
+            "deltas"))
+    earlier = Window.partitionBy("conv_id").orderBy("message").rowsBetween(
         Window.unboundedPreceding, -1)
-    cut = F.min(F.when(F.col("kind") == "regenerate", F.col("message"))).over(later)
-    void = events.select("conv_id", "seq", "message", cut.alias("cut")).where(
-        "message > cut").select(F.col("conv_id").alias("c"), F.col("seq").alias("s"),
-                                F.col("message").alias("m"))
-    alive = events.dropDuplicates().join(void, F.col("conv_id").eqNullSafe(F.col("c")) & (
-        F.col("seq") == F.col("s")) & (F.col("message") == F.col("m")), "left_anti")
-    parts = alive.groupBy("conv_id", "message").agg(
-        F.max(F.when(F.col("kind") != "delta", F.struct("seq", "kind", "text"))).alias("reset"),
-        F.max_by("role", F.when(F.col("kind") == "open", F.col("seq"))).alias("role"),
-        F.array_sort(F.collect_list(F.when(
-            F.col("kind") == "delta", F.struct("seq", "text")))).alias("deltas"))
-    after = F.filter("deltas", lambda d: F.col("reset").isNull() | (d["seq"] > F.col("reset.seq")))
+    alive = parts.withColumn("void", F.max("again").over(earlier)).where(
+        "void is null or last >= void")
+
+    def lives(seq: Column) -> Column:
+        return F.col("void").isNull() | (seq >= F.col("void"))
+
+    reset = F.when(lives(F.col("reset.seq")), F.col("reset"))
+    alive = alive.withColumn("reset", reset)
+    after = F.filter("deltas", lambda d: lives(d["seq"]) & (
+        F.col("reset").isNull() | (d["seq"] > F.col("reset.seq"))))
     start = F.when(F.col("reset.kind") == "regenerate", F.lit("")).otherwise(
         F.coalesce(F.col("reset.text"), F.lit("")))
-    return parts.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.concat(
+    role = F.when(lives(F.col("opened.seq")), F.col("opened.role"))
+    return alive.select("conv_id", "message", F.coalesce(role, F.lit("")).alias("role"), F.concat(
         start, F.array_join(F.transform(after, lambda d: F.coalesce(d["text"], F.lit(""))), "")
     ).alias("text"))
 

@@ -169,6 +169,36 @@ def test_chat_log_events(frame):
     assert chat.rendered(chat.folded(frame([], schema))).collect() == []
 
 
+def plainly_folded(log):
+    """The log's meaning, event by event: what a later regeneration voids never happened."""
+    events = sorted(set(log), key=lambda e: e[1])
+    out = {}
+    for conv, seq, kind, message, role, text in events:
+        if any(e[0] == conv and e[2] == "regenerate" and e[1] > seq and e[3] < message
+               for e in events):
+            continue
+        held = out.setdefault((conv, message), ["", ""])
+        if kind == "open":
+            held[0] = role or ""
+        held[1] = {"delta": held[1] + (text or ""), "regenerate": ""}.get(kind, text or "")
+    return sorted((*k, *v) for k, v in out.items())
+
+
+def test_chat_folding_equals_plain_replay(frame):
+    schema = "conv_id long, seq long, kind string, message int, role string, text string"
+    source = random.Random(5)
+    log = []
+    for conv in range(40):
+        for seq in range(source.randrange(1, 30)):
+            log.append((conv, seq, source.choice(["open", "delta", "delta", "edit", "regenerate"]),
+                        source.randrange(5), source.choice(["user", "assistant", None]),
+                        source.choice(["a", "bc", "", None])))
+    log += source.sample(log, 20)
+    source.shuffle(log)
+    got = chat.folded(frame(log, schema).repartition(5)).collect()
+    assert sorted((r.conv_id, r.message, r.role, r.text) for r in got) == plainly_folded(log)
+
+
 def test_long_conversation(spark):
     """40,000 turns, spans over block borders and astral characters; time in proportion."""
     def turns(n):

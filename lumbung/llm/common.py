@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbung.session import cut_lineage
+from lumbung.session import checkpoint_root, cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,6 +46,15 @@ def kept(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``kept``, as a compressed Parquet table in that folder: far less disk than serialised
+    rows, and later steps read only the columns they need."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 SMALL_ROWS = 50_000  # rows of a narrow table that may be sent to every task, after counting
 BATCH_BYTES = 8 << 20  # text that one Arrow batch holds
 

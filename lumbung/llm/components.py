@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import kept
+from lumbung.llm.common import written
 
 FEW_EDGES = 100_000  # counted edges (16 bytes each) that one task may hold
 
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     rounds; edges, never whole components, are dealt out, and each round is stored. Edges that were
     counted to be few stay in one task, where the joins need no exchange.
     """
-    held, seen = kept(edges.select("a", "b").distinct()), None
+    held, seen = written(edges.select("a", "b").distinct()), None
     while True:
         mark = held.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen:
@@ -44,6 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         if mark[0] <= FEW_EDGES:
             held = held.coalesce(1)
-        held = kept(_small_star(_large_star(held).distinct()).distinct())
+        held = written(_small_star(_large_star(held).distinct()).distinct())
     return held.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         held.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.llm import words as W
-from lumbung.llm.common import kept, likely, numbered, partitions, pick, restored, small
+from lumbung.llm.common import likely, numbered, partitions, pick, restored, small, written
 from lumbung.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -308,7 +308,7 @@ def _confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def _met_sets(members: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """Shingle sets of classes that share a bucket; other texts are read but not moved."""
-    met = kept(classes.select("cid", "digest", "name").join(
+    met = written(classes.select("cid", "digest", "name").join(
         members.select("cid").distinct(), "cid", "left_semi"))
     ids = met.where("name is not null").select("name").distinct()
     near = likely(docs, "doc_id", ids, "met").where("met or doc_id is null").select("text")
@@ -323,7 +323,7 @@ def _members(classes: DataFrame) -> DataFrame:
                       for b in range(BANDS)])
     banded = classes.select("cid", F.posexplode(bands).alias("band", "bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = kept(banded.join(sizes, "bucket"))
+    shared = written(banded.join(sizes, "bucket"))
     weights = shared.groupBy("cid").agg(F.sum("n").alias("weight"))
     hubs = shared.join(weights, "cid").groupBy("bucket").agg(F.max_by(
         "cid", F.struct("weight", -F.col("cid"))).alias("hub"))
@@ -371,9 +371,9 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
     between = root(root(links, "a"), "b").where("a_root <> b_root").select(
         F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b"))
-    moved = kept(components(between))
+    moved = written(components(between))
     to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return kept(labels.join(to, "component", "left").select(
+    return written(labels.join(to, "component", "left").select(
         "node", F.coalesce("to", "component").alias("component")).unionByName(
         moved.join(labels, "node", "left_anti")))
 
@@ -390,11 +390,11 @@ def _left_over(members: DataFrame, labels: DataFrame, classes: DataFrame, sets:
         return tiles.repartition(partitions(members.sparkSession), *place).sortWithinPartitions(
             *place)
 
-    near = kept(dealt(rows.join(marks, "cid")).mapInArrow(_plausible(percent), PLAUSIBLE
+    near = written(dealt(rows.join(marks, "cid")).mapInArrow(_plausible(percent), PLAUSIBLE
                                                           ).distinct())
     full = rows.join(small(near), [*place, "cid"], "left_semi").join(
         sets.join(marks, "cid"), "cid")
-    links = kept(dealt(full).mapInArrow(_links(percent), PAIRS).distinct())
+    links = written(dealt(full).mapInArrow(_links(percent), PAIRS).distinct())
     return labels if links.isEmpty() else _merged(labels, links)
 
 
@@ -407,20 +407,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     docs = pick(docs, doc_id=key, text=text).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = kept(docs.mapInArrow(_profiles(width), PROFILE))
-    classes = kept(profiles.where("n_shingles > 0").groupBy("digest").agg(
+    profiles = written(docs.mapInArrow(_profiles(width), PROFILE))
+    classes = written(profiles.where("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("name"), F.any_value("signature").alias("signature")).withColumn(
         "cid", F.monotonically_increasing_id()))
-    members = kept(_members(classes))
-    sets = kept(_met_sets(members, docs, classes, width))
+    members = written(_members(classes))
+    sets = written(_met_sets(members, docs, classes, width))
     spokes = members.where("cid <> hub").select(
         F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
     first = _confirm_pairs(_prune_pairs(spokes, classes, percent), sets, percent)
-    labels = _left_over(members, kept(components(first)), classes, sets, percent)
+    labels = _left_over(members, written(components(first)), classes, sets, percent)
     nodes = labels.withColumnRenamed("node", "cid")
     linked_classes = classes.select("cid", "name", "digest").join(nodes, "cid")
-    names = kept(linked_classes.groupBy("component").agg(F.min("name").alias("smallest")))
-    by_class = kept(linked_classes.join(small(names), "component").select(
+    names = written(linked_classes.groupBy("component").agg(F.min("name").alias("smallest")))
+    by_class = written(linked_classes.join(small(names), "component").select(
         "digest", F.col("smallest").alias("component_id")).unionByName(
         classes.join(nodes, "cid", "left_anti").select(
             "digest", F.col("name").alias("component_id"))))
@@ -438,7 +438,7 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
     shuffled.
     """
     verdict = near_duplicates(docs, key, text, width, percent)
-    gone = kept(verdict.where("doc_id is not null and not kept").select(
+    gone = written(verdict.where("doc_id is not null and not kept").select(
         F.col("doc_id").alias("_gone")).distinct())
     rows, names = numbered(docs)
     place = f"c{names.index(key)}"

@@ -9,7 +9,8 @@ same pieces in any batch, partition or attempt.
 
 Texts are cut first where no piece of the vocabulary crosses; every segmentation breaks there, so
 the parts are independent. Equal parts share one lattice, and all parts of a batch are walked
-together. A character without a piece of its own is spelled by byte pieces. Blanks are the
+together. A part of more than ``LONG_PART`` bytes, as in writing without blanks, is filtered and
+walked alone, in blocks, and gets the same pieces. A character without a piece of its own is spelled by byte pieces. Blanks are the
 vocabulary's U+2581 mark; that character itself is spelled by bytes, so decoding gives back every
 text byte for byte. No blank is put before a text.
 
@@ -36,9 +37,16 @@ SEED = 20240229
 HELD_PARTS = 60_000  # parts whose lattices a worker keeps
 CELLS = 1 << 20  # lattice cells that are filtered at once
 PART_BYTES = 1 << 20  # text that is walked at once
+LONG_PART = 1 << 12  # bytes; longer parts are filtered one by one, in blocks, and not kept
+BLOCK = 1 << 16  # bytes of a long part that are looked up at once
+TINY = 1e-200  # sums below it are scaled up
 MARK = "▁"
 
 
+def _pair(a: str, b: str) -> int:
+    return int.from_bytes(a.encode(), "little") << 32 | int.from_bytes(b.encode(), "little")
+
+
 class Vocabulary:
     """Pieces by length in bytes, with their hashes, ids and log weights."""
 
@@ -72,21 +80,42 @@ class Vocabulary:
                 -sharpness * np.log(rank[at] + 1.0)[order])
         self.single = {plain for _, _, _, plain in own if len(plain) == 1}
         crossed = np.zeros((256, 256), bool)
+        pairs: set[int] = set()
         for _, _, _, plain in own:
             data = plain.encode()
             for a, b in zip(data, data[1:], strict=False):
                 crossed[a, b] = True
-        crossed[128:, 128:] = True  # perhaps inside a character
+            pairs.update(_pair(a, b) for a, b in zip(plain, plain[1:], strict=False)
+                         if a > "\x7f" and b > "\x7f")
+        crossed[128:, 128:] = True  # inside a character, or by the pair of characters below
         self.crossed = crossed
+        self.crossed_pairs = np.array(sorted(pairs), np.uint64)
+        self.longest = max(self.by_length)
 
     def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the parts that no piece crosses."""
         first = np.ones(len(data), bool)
         first[1:] = ~self.crossed[data[:-1], data[1:]]
+        first[self._between_characters(data)] = True
         first[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(first)
         return starts, np.append(starts[1:], len(data))
 
+    def _between_characters(self, data: np.ndarray) -> np.ndarray:
+        """Where a character beyond ASCII follows another one and no piece crosses."""
+        if not (data >= 0xC0).any():
+            return np.zeros(0, np.int64)
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        sizes = np.diff(heads, append=len(data))
+        code = np.zeros(len(heads), np.uint64)
+        for i in range(4):
+            inside = np.flatnonzero(sizes > i)
+            code[inside] |= data[heads[inside] + i].astype(np.uint64) << np.uint64(8 * i)
+        high = (data[heads] >= 0xC0) & (sizes <= 4)
+        at = np.flatnonzero(high[:-1] & high[1:]) + 1
+        pairs = code[at - 1] << np.uint64(32) | code[at]
+        return heads[at[~np.isin(pairs, self.crossed_pairs)]]
+
     def lacking(self, data: np.ndarray, text: bytes) -> np.ndarray:
         """Bytes of characters without a piece of their own."""
         out = np.zeros(len(data), bool)
@@ -123,6 +152,10 @@ class Lattices:
         sizes = ends - starts
         order = np.argsort(sizes, kind="stable")
         found, at = [], 0
+        while len(order) and sizes[order[-1]] > LONG_PART:
+            part, order = order[-1:], order[:-1]
+            found.append((part, *_filtered_long(
+                vocabulary, text[starts[part[0]]:ends[part[0]]])))
         while at < len(order):
             longest = int(sizes[order[at]])
             take = max(1, CELLS // (longest + 1) ** 2)
@@ -202,12 +235,116 @@ def _filtered(vocabulary: Vocabulary, text: bytes, starts: np.ndarray, sizes: np
     return degree, running - before, back, piece
 
 
+def _filtered_long(vocabulary: Vocabulary, part: bytes
+                   ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward filtering of one long part, block after block.
+
+    A block starts from the sums of the positions that a piece can reach back to, divided by the
+    greatest of them; shares within a state do not depend on that. Lookups take memory for one
+    block; what stays is one entry per edge.
+    """
+    size, reach = len(part), vocabulary.longest
+    sums = [0.0] * (reach - 1) + [1.0]  # of the last positions before the block
+    degrees, shares, backs, pieces = [np.zeros(1, np.int64)], [], [], []
+    for begin in range(0, size, BLOCK):
+        stop = min(begin + BLOCK, size)
+        low, high = max(0, begin - reach), min(size, stop + 3)
+        while low and part[low] & 0xC0 == 0x80:
+            low -= 1
+        data = np.frombuffer(part, np.uint8)[low:high]
+        lacking = vocabulary.lacking(data, part[low:high])
+        ends, back, piece, weight = [], [], [], []
+        for m, (keys, ids, weights) in vocabulary.by_length.items():
+            first = np.arange(max(begin + 1 - m, 0), stop - m + 1) - low
+            if not len(first):
+                continue
+            wanted = W.hashes(data, first, first + m, fold=False)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == wanted)
+            if m == 1:
+                lacking[first[hit]] = False
+            ends.append(first[hit] + low + m)
+            back.append(np.full(len(hit), m))
+            piece.append(ids[at[hit]])
+            weight.append(weights[at[hit]])
+        spelled = np.flatnonzero(lacking[begin - low:stop - low]) + begin
+        ends.append(spelled + 1)
+        back.append(np.ones(len(spelled), np.int64))
+        piece.append(vocabulary.byte[data[spelled - low]])
+        weight.append(np.full(len(spelled), vocabulary.byte_weight))
+        end, length = np.concatenate(ends), np.concatenate(back)
+        order = np.lexsort((length, end))
+        end, length = end[order], length[order]
+        factor = np.exp(np.concatenate(weight)[order]).tolist()
+        sums, share, degree = _forward(sums, end - begin, length, factor, stop - begin, reach)
+        alive = share >= 0
+        degrees.append(degree)
+        shares.append(share[alive])
+        backs.append(length[alive])
+        pieces.append(np.concatenate(piece)[order][alive])
+    return (np.concatenate(degrees), np.concatenate(shares), np.concatenate(backs),
+            np.concatenate(pieces))
+
+
+def _forward(sums: list[float], end: np.ndarray, length: np.ndarray, factor: list[float], size: int,
+             reach: int) -> tuple[list[float], np.ndarray, np.ndarray]:
+    """Sums after a block, each edge's cumulative share (-1: from a state that none reaches) and
+    the number of edges into each position. Edges come by end and length."""
+    sums = sums + [0.0] * size
+    share, degree = [-1.0] * len(factor), [0] * size
+    source = (end + (reach - 1) - length).tolist()
+    bounds = np.searchsorted(end, np.arange(1, size + 2)).tolist()
+    for j in range(size):
+        a, b = bounds[j], bounds[j + 1]
+        whole = 0.0
+        for e in range(a, b):
+            if mass := sums[source[e]] * factor[e]:
+                whole += mass
+                share[e] = whole
+                degree[j] += 1
+        if whole:
+            for e in range(a, b):
+                if share[e] >= 0:
+                    share[e] /= whole
+            sums[reach + j] = whole
+            if whole < TINY:
+                window = slice(max(0, j + 1), reach + j + 1)
+                top = max(sums[window])
+                sums[window] = [x / top for x in sums[window]]
+    last = sums[-reach:]
+    top = max(last) or 1.0
+    return [x / top for x in last], np.array(share), np.array(degree, np.int64)
+
+
 def _uniform(keys: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
     """Numbers in [0, 1) that depend on the row key, the position and the seed."""
     mixed = W.mix(W.mix(keys ^ np.uint64(seed)) ^ places.astype(np.uint64))
     return (mixed >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def _walk_long(held: Lattices, state: int, end: int, stop: int, key: np.uint64, begin: int,
+               seed: int, out: np.ndarray) -> None:
+    """Backward sampling of one long part, block after block; ``begin`` is where its text begins."""
+    while end > stop:
+        low = max(stop, end - BLOCK)
+        draws = _uniform(np.full(end - low, key), np.arange(low + 1, end + 1) - begin, seed).tolist()
+        edges = held.first_edge[state - (end - low):state + 2]
+        base = int(edges[0])
+        share = held.share[base:edges[-1]].tolist()
+        back = held.back[base:edges[-1]].tolist()
+        first = (edges - base).tolist()
+        at, chosen, ends = end, [], []
+        while at > low:
+            draw, edge, last = draws[at - low - 1], first[at - low], first[at - low + 1] - 1
+            while edge < last and share[edge] <= draw:
+                edge += 1
+            chosen.append(edge)
+            ends.append(at)
+            at -= back[edge]
+        out[np.array(ends) - 1] = held.piece[base + np.array(chosen)]
+        state, end = state - (end - at), at
+
+
 class Sampler:
     """Segmentations of many texts at once."""
 
@@ -233,11 +370,12 @@ class Sampler:
 
         fresh = np.flatnonzero(~known())
         room = max(0, HELD_PARTS - len(self.held.keys))
-        if len(fresh) and room:
-            keep = fresh[:room]
+        short = fresh[(ends - starts)[first[fresh]] <= LONG_PART]
+        if len(short) and room:
+            keep = short[:room]
             self.held.learn(self.vocabulary, distinct[keep], text, starts[first[keep]],
                             ends[first[keep]])
-            fresh = fresh[room:]
+            fresh = np.setdiff1d(fresh, keep)
         out = np.full(len(data), -1, np.int64)
         is_known = known()
         self._walk(self.held, distinct, which, is_known, ends, offsets, keys, seed, out)
@@ -259,6 +397,11 @@ class Sampler:
         state, end = held.last[where], ends[parts].copy()
         row = np.searchsorted(offsets, end - 1, side="right") - 1
         stop = end - held.size[where]
+        long = held.size[where] > LONG_PART
+        for i in np.flatnonzero(long).tolist():
+            _walk_long(held, int(state[i]), int(end[i]), int(stop[i]), keys[row[i]],
+                       int(offsets[row[i]]), seed, out)
+        state, end, row, stop = state[~long], end[~long], row[~long], stop[~long]
         while len(state):
             draw = _uniform(keys[row], end - offsets[row], seed)
             edge, last = held.first_edge[state], held.first_edge[state + 1] - 1

@@ -9,7 +9,8 @@ marked article, as against standing beside it. A name never leaves out an ``arti
 element inside, nor more than half of the page's words.
 
 Defined results: null html has no text; unclosed elements end with the element around them or with
-the page; what follows an unclosed script, style or comment belongs to it; character references are
+the page; what follows an unclosed script, style or comment belongs to it; a tag whose quotes or bracket
+stay open is text; character references are
 decoded once; a page whose words all weigh negative has no text; repeated rows are read one by one;
 an empty table gives no rows. Columns other than the key, url and html are not read.
 """
@@ -19,7 +20,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,9 +63,12 @@ CLIP = 6.0
 DEFAULT_WORD, DEFAULT_TAG, DEFAULT_NAME = 1.0, -0.5, -1.0
 Weights = dict[tuple[str, str, bool], float]
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL)
+_OPENER = re.compile(r"<(?:!|\?|/?[a-zA-Z])")
+_COMMENT_END = re.compile(r"--!?>")
+_NAME_END = re.compile(r"[\s/>]")
+# Possessive, so that a tag without an end costs one look and no going back.
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
+_SPECIAL = re.compile(r"[>\"']")
 _NAME = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))",
                    re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|"
@@ -82,6 +87,88 @@ def boilerplate_names(attributes: str) -> set[str]:
     return out
 
 
+class Markup:
+    """Finds tags, comments and declarations in one pass over a page.
+
+    A quoted value may hold ``>``. A tag whose quotes leave it without an end is text; whether that
+    is so comes from a table that is filled from the page's end when the first such tag is met, so
+    pages full of unmatched quotes take linear time too.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last_end = page, page.rfind(">")
+        self.places: list[int] | None = None  # of every > and quote
+        self.ends: list[int] = []  # where a tag ends whose attributes go on at that place, or -1
+        self.ending: list[int] = []  # the last place up to there from which a tag ends
+        self.name_from, self.name_to = 0, -1
+
+    def _look_ahead(self) -> None:
+        page = self.page
+        self.places = [m.start() for m in _SPECIAL.finditer(page)]
+        n = len(self.places)
+        self.ends = [-1] * (n + 1)
+        following = {'"': n, "'": n}
+        for i in range(n - 1, -1, -1):
+            c = page[self.places[i]]
+            if c == ">":
+                self.ends[i] = self.places[i]
+            else:
+                close = following[c]
+                self.ends[i] = self.ends[close + 1] if close < n else -1
+                following[c] = i
+        last = -1
+        for i in range(n):
+            last = i if self.ends[i] >= 0 else last
+            self.ending.append(last)
+
+    def _name_end(self, at: int) -> int:
+        if not self.name_from <= at <= self.name_to:
+            found = _NAME_END.search(self.page, at)
+            self.name_from, self.name_to = at, found.start() if found else len(self.page)
+        return self.name_to
+
+    def _odd_tag(self, start: int) -> tuple[int, str, str, str] | None:
+        """A tag with quotes in its name or without an end, by the table."""
+        if self.places is None:
+            self._look_ahead()
+        closing = self.page[start] == "/"
+        first = start + closing
+        name_end = self._name_end(first)
+        i = bisect_left(self.places, name_end)
+        if i == len(self.places):
+            return None
+        if self.ends[i] < 0:  # perhaps a quote inside the name begins the attributes
+            i = self.ending[i]
+            if i < 0 or self.places[i] <= first:
+                return None
+            name_end = self.places[i]
+        return (self.ends[i] + 1, "/" if closing else "", self.page[first:name_end].lower(),
+                self.page[name_end:self.ends[i]])
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, "/" or "", name and attributes of the next one; no name: not an element."""
+        page = self.page
+        while found := _OPENER.search(page, at):
+            start = found.start()
+            if page.startswith("<!--", start):
+                end = _COMMENT_END.search(page, start + 4)
+                return start, end.end() if end else len(page), "", "", ""
+            if start > self.last_end:
+                at = page.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            if page[start + 1] in "!?":
+                return start, page.index(">", start + 1) + 1, "", "", ""
+            tag = _TAG.match(page, start + 1) if self.places is None else None
+            if tag:
+                return start, tag.end(), tag[1], tag[2].lower(), tag[3]
+            if odd := self._odd_tag(start + 1):
+                return (start, *odd)
+            at = start + 1
+        return None
+
+
 class Named:
     """An element with words for boilerplate in its name, and what it holds."""
 
@@ -113,17 +200,24 @@ def tokens(page: str, weights: Weights | None = None) -> tuple[list[Token], list
     ``out``: boilerplate by kind or name; ``block``: ends a block.
     """
     row: list[Token] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate by kind, inside a marked element
+    # Name, boilerplate by kind, inside a marked element, innermost block, depth of the scope.
+    stack: list[tuple[str, bool, bool, str, int]] = []
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name
     open_named: list[tuple[int, Named]] = []  # depth in the stack
     named: list[Named] = []
     within: list[Named | None] = []  # the innermost one around each token
-    at = 0
+    at, markup = 0, Markup(page)
 
     def state() -> tuple[bool, bool]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
     def element() -> str:
-        return next((n for n, _, _ in reversed(stack) if n not in INLINE), "html")
+        return stack[-1][3] if stack else "html"
+
+    def close(depth: int) -> None:
+        for entry in stack[depth:]:
+            depths[entry[0]].pop()
+        del stack[depth:]
 
     def holder() -> Named | None:
         while open_named and open_named[-1][0] >= len(stack):
@@ -145,42 +239,40 @@ def tokens(page: str, weights: Weights | None = None) -> tuple[list[Token], list
         row.append(Token(("tag", sign + known, out), 0, "", out, marked, name not in INLINE
                          and name not in CELLS))
 
-    while found := _TOKEN.search(page, at):
-        text(page[at:found.start()])
-        at = found.end()
-        name = (found[2] or "").lower()
+    while found := markup.next(at):
+        start, stop, sign, name, attributes = found
+        text(page[at:start])
+        at = stop
         if not name:
             continue
-        if found[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
+        if sign:
+            if depths[name]:
                 tag(name, "/")
-                del stack[depth:]
+                close(depths[name][-1])
             continue
         if name in ENDS_P or name in ENDS_SAME:
-            ends = {"p"} if name in ENDS_P else {name, ENDS_SAME[name]}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        if name not in IN_HEAD and any(n == "head" for n, _, _ in stack):
-            del stack[next(i for i, x in enumerate(stack) if x[0] == "head"):]
+            ends = ("p",) if name in ENDS_P else (name, ENDS_SAME[name])
+            depth = max((depths[n][-1] for n in ends if depths[n]), default=-1)
+            if depth >= 0 and depth > stack[-1][4]:
+                close(depth)
+        if name not in IN_HEAD and depths["head"]:
+            close(depths["head"][0])
         out, marked = state()
         marked_here = marked or name in MARKED
         plain = name in ("html", "body", *MARKED)
         left_out = out or name in LEFT_OUT or (name == "header" and not marked) or (
-            not plain and bool(_HIDDEN.search(found[3])))
-        if name in VOID or found[3].endswith("/") and name not in RAW:
+            not plain and bool(_HIDDEN.search(attributes)))
+        if name in VOID or attributes.endswith("/") and name not in RAW:
             if name in VOID:
                 tag(name, "")
             continue
         parent = holder()
         if name in MARKED and parent:
             parent.holds = True
-        stack.append((name, left_out, marked_here))
-        names = set() if plain else boilerplate_names(found[3])
+        depths[name].append(len(stack))
+        stack.append((name, left_out, marked_here, element() if name in INLINE else name,
+                      len(stack) if name in SCOPES else stack[-1][4] if stack else -1))
+        names = set() if plain else boilerplate_names(attributes)
         if marked:
             names.discard("header")  # an article's header has its title
         if names:

@@ -6,6 +6,7 @@ import json
 import math
 import os
 import random
+import re
 import time
 import zlib
 
@@ -300,6 +301,34 @@ def test_any_markup(page):
     extraction.main_text(page, {})
 
 
+PLAIN_MARKUP = re.compile(
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    re.DOTALL)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(st.sampled_from("<<>/!-ab\"\"'= "), max_size=24))
+def test_markup_equals_its_plain_statement(page):
+    got, markup, at = [], extraction.Markup(page), 0
+    while found := markup.next(at):
+        got.append(found)
+        at = found[1]
+    assert got == [(m.start(), m.end(), m[1] or "", (m[2] or "").lower(), m[3] or "")
+                   for m in PLAIN_MARKUP.finditer(page)]
+
+
+@pytest.mark.parametrize("unit", [
+    '<a b="x ', "<i>", "<p><b>", "<a<a", '<a"<a" ', "<!", "<li><b>", "<b><h1>x</h1>", "</q><u>x",
+    "<div class='", "<!-- ", "<head ", "<title>"])
+def test_markup_is_linear(unit):
+    def seconds(size):
+        begun = time.process_time()
+        extraction.main_text(unit * (size // len(unit)), {})
+        return time.process_time() - begun
+
+    assert seconds(1 << 20) < 12 * seconds(1 << 17) + 1
+
+
 # -- language id ----------------------------------------------------------------------------------
 
 def test_language_rules(frame):
@@ -465,6 +494,32 @@ def test_pieces_are_drawn_by_weight():
         assert abs(drawn.get(k, 0) / n - share) < 5 * math.sqrt(share / n) + 1e-3
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("thean é日本語приет😀"), max_size=60), max_size=4))
+def test_long_parts_are_the_same_in_blocks(texts):
+    data, offsets = W.raw(pa.array(texts, pa.string()))
+    keys = np.arange(len(texts)).astype(np.uint64)
+    want = pieces.sampler(PIECES).encode(data, offsets, keys)
+    held = pieces.LONG_PART, pieces.BLOCK
+    try:
+        pieces.LONG_PART, pieces.BLOCK = 3, 5
+        small = pieces.Sampler(PIECES)
+        got = small.encode(data, offsets, keys)
+    finally:
+        pieces.LONG_PART, pieces.BLOCK = held
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+    assert not (small.held.size > 3).any()
+
+
+@pytest.mark.parametrize("unit", ["日本語文章", "приветмир", "the", "a", "ไทย", "中😀"])
+def test_pieces_of_text_without_breaks(unit):
+    data = np.frombuffer((unit * (500_000 // len(unit.encode()))).encode(), np.uint8)
+    sampler, begun = pieces.Sampler(PIECES), time.process_time()
+    ids, _ = sampler.encode(data, np.array([0, len(data)]), np.zeros(1, np.uint64))
+    assert time.process_time() - begun < 10
+    assert b"".join(sampler.vocabulary.spelling[i] for i in ids) == data.tobytes()
+
+
 def test_pieces_of_rows(frame, monkeypatch):
     rows = [(i, " ".join(random.Random(i).choices("thing other ocean été 日本 <s> -- x".split(), k=i)))
             for i in range(60)] + [(100, None), (101, ""), (102, "▁ ▁"), (None, "no key")]

@@ -8,8 +8,9 @@ word's share of its bucket is its add-one frequency there, with one place for un
 the probabilities of all words, and the unseen one, sum to one.
 
 What is learned from the corpus, all of it: word counts, and how often each bucket follows each
-context. Training runs on those counts where they lie; partitions train on their part from common
-parameters, whose weighted mean starts the next round. Only parameters (a fixed size) and the most
+context. Training runs on those counts where they lie: a hash deals them to a fixed number of
+parts, which train from common parameters, and the weighted mean starts the next round. So equal
+documents give an equal model in any partitioning, and again after a lost executor. Only parameters (a fixed size) and the most
 frequent words (a fixed number) travel through the driver; counts of other words are joined.
 
 Defined results: null text is empty and has the end token only; repeated rows are scored one by
@@ -37,7 +38,8 @@ ENDINGS = 128  # buckets of the other words
 BUCKETS = 1 + FREQUENT + ENDINGS
 SENT_WORDS = 1 << 17  # most frequent words whose counts are sent to every task (2 MB)
 DIM = 32
-ROUNDS = 3
+ROUNDS = 5
+TRAINING_PARTS = 16  # trained side by side; there are at most BUCKETS**3 counts at any size
 NOISE = 64
 MINIBATCH = 4096
 HEAVY = 4096
@@ -256,37 +258,37 @@ def _trained(model: bytes, noise: np.ndarray, number: int):
         if parts:
             keys = np.concatenate([k for k, _ in parts])
             counts = np.concatenate([c for _, c in parts])
-            task = TaskContext.get().partitionId()
-            out = train_locally(unpacked(model), noise, keys, counts, number * 1_000_003 + task)
+            order = np.argsort(keys)  # rows come in any order
+            part = TaskContext.get().partitionId()
+            out = train_locally(unpacked(model), noise, keys[order], counts[order],
+                                number * 1_000_003 + part)
             yield pa.RecordBatch.from_arrays([
-                pa.array([task % 16], pa.int32()), pa.array([float(counts.sum())]),
+                pa.array([part], pa.int32()), pa.array([float(counts.sum())]),
                 pa.array([packed(out)], pa.binary())], ["part", "weight", "model"])
 
     return train
 
 
-def _mean(table: pa.Table) -> pa.Table:
-    """Weighted mean of the models of some partitions."""
-    weights = table.column("weight").to_numpy()
-    total = sum(w * np.frombuffer(m.as_py(), "<f4").astype(np.float64)
-                for w, m in zip(weights, table.column("model"), strict=True))
-    return pa.table({"weight": [float(weights.sum())],
-                     "model": pa.array([(total / weights.sum()).astype("<f4").tobytes()],
-                                       pa.binary())})
+def training_parts(follows: DataFrame) -> DataFrame:
+    """Sums of (key, n), stored in ``TRAINING_PARTS`` partitions that a hash of the key chooses.
+
+    A key's partition does not depend on the partitions it came from, nor on a lost executor.
+    """
+    return kept(follows.repartition(TRAINING_PARTS, "key").groupBy("key").agg(
+        F.sum("n").alias("n")))
 
 
 def train(follows: DataFrame, noise: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters from stored (key, n) counts; the driver sees at most 16 models a round."""
+    """Parameters from ``training_parts``; the driver sees one model per part and round."""
     model = untrained(noise)
     for number in range(rounds):
         parts = follows.mapInArrow(_trained(packed(model), noise, number),
-                                   "part int, weight double, model binary").groupBy(
-            "part").applyInArrow(_mean, "weight double, model binary").collect()
+                                   "part int, weight double, model binary").collect()
         total = sum(r["weight"] for r in parts)
         if not total:
             break
         mean = sum(r["weight"] / total * np.frombuffer(bytes(r["model"]), "<f4").astype(np.float64)
-                   for r in sorted(parts, key=lambda r: (r["weight"], bytes(r["model"]))))
+                   for r in sorted(parts, key=lambda r: r["part"]))
         model = unpacked(mean.astype("<f4").tobytes())
     return model
 
@@ -399,9 +401,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     share[1:1 + len(frequent)] = many[order][np.searchsorted(word[order], frequent)]
     share = (share + 1) / (share + 1).sum()
     buckets = Buckets(frequent, np.log10(n_of + kinds_of + 1), share)
-    follows = kept(learn.mapInArrow(
-        _gather(_follow_counts(buckets), ["key", "none", "n"]), "key long, none long, n long"
-    ).groupBy("key").agg(F.sum("n").alias("n")))
+    follows = training_parts(learn.mapInArrow(
+        _gather(_follow_counts(buckets), ["key", "none", "n"]), "key long, none long, n long"))
     model = train(follows, share)
     scored = kept(rows.mapInArrow(_scored(model, buckets, word[order], many[order]), SCORED))
     spread = scored.select("uid", F.explode(F.arrays_zip("words", "times")).alias("w")).select(

@@ -440,6 +440,13 @@ def test_lm_learns_a_rare_count():
     assert (after["context"][[300, 400]] != before["context"][[300, 400]]).any(axis=1).all()
 
 
+def test_lm_is_independent_of_partitioning(frame):
+    docs = frame(lm_rows())
+    three, seven = ({r.doc_id: r.score for r in lm.scores(docs.repartition(n)).collect()}
+                    for n in (3, 7))
+    assert three == pytest.approx(seven, rel=1e-6)
+
+
 def test_lm_rare_words_are_joined(frame, monkeypatch):
     """With few counts sent along, the others come from the join and give the same scores."""
     docs = frame(lm_rows())

@@ -75,11 +75,10 @@ def order_tables(spark, sf_dir):
  FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def html_tables(spark, sf_dir):
     """Every cell of both tables of each page."""
-    rows = html.html_tables(order_tables(spark, sf_dir))
-    cells = F.transform(F.array_sort(F.collect_list(F.struct(
-        "row_idx", F.array_join("cells", "|", "").alias("cells")))), lambda r: r["cells"])
-    return rows.groupBy("page_id", "table_idx").agg(
-        F.count("*").alias("rows"), F.array_join(cells, ";").alias("cells"))
+    cells = F.transform("rows", lambda r: F.array_join(r, "|", ""))
+    return html.page_tables(html.parsed_pages(order_tables(spark, sf_dir))).select(
+        "page_id", "table_idx", F.greatest(F.size("rows"), F.lit(1)).cast("long").alias("rows"),
+        F.array_join(cells, ";").alias("cells"))
 
 
 @query("detail_fields", """
@@ -89,10 +88,7 @@ def html_tables(spark, sf_dir):
    CASE WHEN count(DISTINCT l_partkey) = 1 THEN CAST(min(l_partkey) AS VARCHAR) ELSE '' END
    AS code FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def detail_fields(spark, sf_dir):
-    tables = html.html_tables(order_tables(spark, sf_dir))
-    outer = tables.where("table_idx = 1")
-    named = html.detail_fields(outer).drop("kode_rup", "kode_rup_rows")
-    return named.join(html.rup_codes(tables), "page_id").select(
+    return html.page_details(html.parsed_pages(order_tables(spark, sf_dir))).select(
         "page_id", "package_code", "package_name", "satker", "kode_rup",
         F.size("kode_rup_rows").alias("rup_rows"))
 
@@ -104,7 +100,7 @@ def detail_fields(spark, sf_dir):
  SELECT l_orderkey AS page_id, string_agg(line, ' || ' ORDER BY rn) AS snippet FROM l
  WHERE rn <= 3 GROUP BY 1""")
 def table_snippets(spark, sf_dir):
-    return html.table_snippets(html.html_tables(order_tables(spark, sf_dir)))
+    return html.page_snippets(html.parsed_pages(order_tables(spark, sf_dir)))
 
 
 def list_payloads(spark, sf_dir):
@@ -139,7 +135,8 @@ def payload_rows(spark, sf_dir):
  SELECT CAST(l_partkey AS VARCHAR) AS package_code, 'name ' || l_suppkey AS package_name,
   count(*) AS rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 def table_evidence(spark, sf_dir):
-    nested = html.html_tables(order_tables(spark, sf_dir)).where("table_idx = 0")
+    nested = html.page_tables(html.parsed_pages(order_tables(spark, sf_dir))).where(
+        "table_idx = 0")
     return ev.table_evidence(nested).groupBy("package_code", "package_name").agg(
         F.count("*").alias("rows"))
 

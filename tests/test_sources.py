@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,38 @@ def test_nested_tables_and_detail_fields(spark):
     assert snippets["two"] == "55 | Paket A | APBD || 56 | Paket B"
 
 
+def test_whole_pages_give_the_same_as_their_rows(spark):
+    pages = spark.createDataFrame([
+        ("one", DETAIL.format(more="")), ("head", "<table><tr><td>Kode RUP</td></tr></table>"),
+        ("two", DETAIL.format(more="<tr><td>56</td><td>Paket B &amp; C</td></tr>")),
+        ("null", None), ("none", "<p>no tables</p>")], "page_id string, html string")
+    rows, parsed = html.html_tables(pages), html.parsed_pages(pages)
+    for by_rows, whole in ((html.detail_fields(rows), html.page_details(parsed)),
+                           (html.table_snippets(rows), html.page_snippets(parsed)),
+                           (evidence.table_evidence(rows),
+                            evidence.table_evidence(html.page_tables(parsed)))):
+        names = by_rows.columns
+        assert sorted(whole.select(names).collect()) == sorted(by_rows.collect())
+        assert by_rows.count() > 0
+    plan = html.page_details(parsed)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan  # the page is parsed once and nothing moves
+
+
+def test_tables_without_a_tree_are_those_of_the_tree():
+    rng = random.Random(7)
+    plain = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<TH>", "</th>", "<b>",
+             "</b>", "<br>", '<td class="a b">', "</p>", "none", " nan ", "a b", "x\u00a0", "> "]
+    odd = ["&amp;", "<!-- c -->", "<script>", "</script>", "<br/>", "< ", "<td a=b>", "<a",
+           "</td x=\"1\">"]
+    passed = 0
+    for _ in range(4000):
+        page = "".join(rng.choice(plain if rng.random() < .99 else odd)
+                       for _ in range(rng.randint(0, 40)))
+        assert html.tables_of(page) == html._parsed_tables(page), page
+        passed += html._plain_tables(page) is not None
+    assert passed > 2500
+
+
 def test_ragged_rows_are_padded(spark):
     pages = spark.createDataFrame([(1, "<table><tr><td>a</td></tr><tr><td>1</td><td>2<br>3</td>"
                                        "</tr><tr><td></td></tr></table>")],

@@ -11,6 +11,7 @@ from lumbung.functions.text import split_list
 from lumbung.functions.web import slug
 from lumbung.operators.status import product_category
 from lumbung.rules import outreach as R
+from lumbung.session import cut_lineage
 
 # ---- fixed values: alternative field names of product feeds -----------------------------------
 FEED_FIELDS = {
@@ -99,6 +100,7 @@ def _keywords(products: DataFrame) -> DataFrame:
 
 
 GRAM = 4
+FEW_KEYWORDS = 200
 
 
 def _runs(text: Column, lengths: range) -> Column:
@@ -128,9 +130,13 @@ def keyword_hits(rows: DataFrame, row_id: str, text: str, keywords: DataFrame) -
 
     A text that contains a keyword contains each of its runs of characters, so rows and keywords
     meet on the keywords' rarest runs, and only these pairs are compared in full. Texts stay with
-    their rows until then. Row ids are distinct.
+    their rows until then. Row ids are distinct. Keywords that were counted to be few are sent to
+    all tasks instead: looking for each of them in a text is then less work than its runs.
     """
     words = keywords.select("keyword").where("keyword <> ''").distinct()
+    if words.limit(FEW_KEYWORDS + 1).count() <= FEW_KEYWORDS:
+        return rows.select(row_id, text).join(F.broadcast(words), F.col(text).contains(
+            F.col("keyword"))).select(row_id, "keyword")
     met = rows.select(row_id, F.explode(_runs(F.col(text), range(1, GRAM + 1))).alias(
         "_gram")).join(_anchored(words), "_gram").select(row_id, "keyword")
     return rows.select(row_id, text).join(met, row_id).where(
@@ -141,12 +147,12 @@ def institution_signatures(prospects: DataFrame) -> DataFrame:
     """Institutions grouped by what matching looks at: their categories and text.
 
     Institutions that agree on both match the same products, so products meet signatures, not
-    institutions.
+    institutions. They are written out, because matching reads them several times.
     """
     text = F.lower(F.concat(F.coalesce("relevant_categories", F.lit("")), F.lit(" "),
                             F.coalesce("example_package_names", F.lit(""))))
-    return prospects.withColumn("_text", text).withColumn(
-        "signature", F.sha2(F.concat_ws("\u001f", "relevant_categories", "_text"), 256))
+    return cut_lineage(prospects.withColumn("_text", text).withColumn(
+        "signature", F.sha2(F.concat_ws("\u001f", "relevant_categories", "_text"), 256)))
 
 
 def signature_matches(products: DataFrame, signatures: DataFrame) -> DataFrame:

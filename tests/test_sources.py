@@ -292,3 +292,16 @@ def test_stored_products_replace_the_seed(spark):
     assert products.product_data_set(seed.limit(0), seed).count() == 10
     chosen = products.product_data_set(seed.where("id = 'ups-general'"), seed)
     assert [(r.id, r.using_seed_fallback) for r in chosen.collect()] == [("ups-general", False)]
+
+
+def test_few_and_many_keywords_hit_the_same(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a laptop and a server"), (2, "srv"), (3, None), (4, "")],
+                                 "id int, t string")
+    words = col(spark, ["laptop", "serv", "srv", "a", "", None, "xyz"]).withColumnRenamed(
+        "v", "keyword")
+    few = products.keyword_hits(rows, "id", "t", words)
+    assert "NestedLoop" in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(products, "FEW_KEYWORDS", 2)
+    many = products.keyword_hits(rows, "id", "t", words)
+    assert sorted(few.collect()) == sorted(many.collect()) == [
+        (1, "a"), (1, "laptop"), (1, "serv"), (2, "srv")]

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumbung.functions.matching import any_pattern, matching_terms
+from lumbung.functions.matching import any_pattern, let, matching_terms
 from lumbung.functions.numbers import money
 from lumbung.functions.text import clean_inner, contains_any, first_class, location_parts
 from lumbung.rules import health as R
@@ -23,10 +23,14 @@ def is_health_lead() -> Column:
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in (
         "paket", "satuanKerja", "kldi", "lokasi", "jenisPengadaan")]))
     title = F.lower(F.coalesce("paket", F.lit("")))
-    context = _names_any(text, R.CONTEXT_KEYWORDS)
-    excluded = _names_any(title, R.EXCLUDE_KEYWORDS)
-    equipment = _names_any(title, R.EQUIPMENT_KEYWORDS)
-    return context & ~excluded & (equipment | (F.col("jenisPengadaan") == R.GOODS_TYPE))
+    goods = F.col("jenisPengadaan") == R.GOODS_TYPE
+
+    def holds(t: Column) -> Column:
+        return (_names_any(t["text"], R.CONTEXT_KEYWORDS)
+                & ~_names_any(t["title"], R.EXCLUDE_KEYWORDS)
+                & (_names_any(t["title"], R.EQUIPMENT_KEYWORDS) | t["goods"]))
+
+    return let(F.struct(text.alias("text"), title.alias("title"), goods.alias("goods")), holds)
 
 
 def _names_any(text: Column, terms: list[str]) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumbung.functions.matching import any_pattern, matching_classes
+from lumbung.functions.matching import any_pattern, let, matching_classes
 from lumbung.functions.numbers import money
 from lumbung.functions.ranking import first_k
 from lumbung.functions.text import contains_any, display_name, region_of, split_list, squeeze
 from lumbung.rules import outreach as R
+from lumbung.session import cut_lineage
 
 
 _VETOED = ""  # label of the veto terms inside the class table
@@ -20,8 +21,8 @@ def categories_of(name: Column, rules: dict[str, list[str]] | None = None,
     """Every category with a matching term, in rule order; none if a veto term matches."""
     rules, veto = rules or R.CATEGORY_TERMS, R.CATEGORY_VETO if veto is None else veto
     found = matching_classes(F.lower(squeeze(name)), {_VETOED: veto, **rules})
-    return F.when(F.array_contains(found, _VETOED), F.array().cast("array<string>")
-                  ).otherwise(found)
+    return let(found, lambda f: F.when(F.array_contains(f, _VETOED), F.array().cast(
+        "array<string>")).otherwise(f))
 
 
 def target_level(name: Column) -> Column:
@@ -40,7 +41,9 @@ def relevant_packages(packages: DataFrame, rules=None, veto=None) -> DataFrame:
     # Cheap superset first: a title without any of the terms cannot have a category.
     terms = sorted({t for listed in (rules or R.CATEGORY_TERMS).values() for t in listed})
     possible = packages.where(F.lower("paket").rlike(any_pattern(terms)))
-    tagged = possible.withColumn("categories", categories_of(F.col("paket"), rules, veto))
+    # A generator, because a filter on a plain column would move down and find them a second time.
+    tagged = possible.withColumn("categories", F.explode(F.array(
+        categories_of(F.col("paket"), rules, veto))))
     return tagged.where(F.size("categories") > 0).withColumn(
         "institution_name",
         F.when(unit != "", unit).when(parent != "", parent).otherwise("UNKNOWN_INSTITUTION"))
@@ -51,11 +54,14 @@ def institution_rollup(packages: DataFrame, months: list[str] | None = None, exa
     """One row per institution: counts, budget, months, categories, examples, attributes.
 
     Attributes and examples come from the lowest package ids. All sums and sets are partially
-    aggregated before the shuffle; examples are cut to ``examples`` rows per map task.
+    aggregated before the shuffle; examples are cut to ``examples`` rows per map task. Both read
+    the relevant packages, which are therefore classified once and written out.
     """
     if months is not None:
         packages = packages.where(F.col("pemilihan").isin(months))
-    rows = relevant_packages(packages, rules, veto)
+    rows = cut_lineage(relevant_packages(packages, rules, veto).select(
+        "institution_name", "id", "pagu", "pemilihan", "satuanKerja", "kldi", "lokasi", "paket",
+        "categories"))
     unit, parent = squeeze(F.col("satuanKerja")), squeeze(F.col("kldi"))
     first = F.struct(unit.alias("work_unit"), parent.alias("parent_organization"),
                      squeeze(F.col("lokasi")).alias("location_hint"))

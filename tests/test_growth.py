@@ -74,3 +74,23 @@ def test_rounding_and_agreement():
         round(round(float(v), 6) * 1e6)) for v in values]
     assert agreement(np.array([2.0, 1.0, np.nan]), np.array([1.0, -1.0, 1.0])).tolist() == [
         0.5, 0.0, 0.0]
+
+
+def test_equal_plans_are_ranked_once(spark):
+    texts = ("Pengadaan Server Data Center", "Kementerian Contoh", "Pusat Data")
+    kinds = [(*texts, 2025, 1e9, "Tender", "Jakarta", ""), (*texts, None, None, "", None, ""),
+             ("Tinta", *texts[1:], 2025, 1e9, "Tender", "Jakarta", "")]
+    plans = spark.createDataFrame([(f"p{i:03d}", *kinds[i % 3]) for i in range(90)], PLAN)
+    evidence = spark.createDataFrame(
+        [(f"e{i:02d}", *texts, 2025 + i % 2, b, "Tender", "Jakarta", "", "Selesai", "t", "r")
+         for i, b in enumerate(budgets(40, 3))], EVIDENCE)
+    members, ranked = linkage.audited_classes(plans, evidence)
+    assert (members.count(), ranked.count()) == (90, 2 * 40)  # 60 * 40 pairs survive
+    want = linkage.candidate_audit(plans.where("plan_id in ('p000', 'p001')"), evidence)
+    want = {i: sorted(tuple(r)[1:] for r in want.where(f"plan_id = 'p00{i}'").collect())
+            for i in (0, 1)}
+    for tile in (1000, 7):
+        got = linkage.every_plan(members, ranked, tile).collect()
+        for i in range(90):
+            mine = sorted(tuple(r)[1:] for r in got if r.plan_id == f"p{i:03d}")
+            assert mine == want.get(i % 3, [])

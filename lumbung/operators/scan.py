@@ -11,22 +11,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumbung.session import broadcast_if_few, cut_lineage
+
 BLOCK_ROWS = 1_000_000
 
 
 def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column] | None = None,
             lasts: dict[str, Column] | None = None, inclusive: bool = True,
-            block: int = BLOCK_ROWS) -> DataFrame:
+            block: int | None = BLOCK_ROWS) -> DataFrame:
     """Add prefix sums and last non-null values per key in ``order``.
 
     ``order`` is an integer position, unique per key; ``block`` is the span of positions one task
-    scans. With ``inclusive=False`` a row sees only the rows before it.
+    scans, None scans a key at once (see ``by_length``). With ``inclusive=False`` a row sees only
+    the rows before it.
     """
     sums, lasts = sums or {}, lasts or {}
     parts = {f"_v{i}": c for i, c in enumerate([*sums.values(), *lasts.values()])}
     sum_in = dict(zip(sums, list(parts)[:len(sums)]))
     last_in = dict(zip(lasts, list(parts)[len(sums):]))
-    rows = df.withColumns({**parts, "_block": F.floor(F.col(order) / block)})
+    rows = df.withColumns(parts)
+    if block is None:
+        return _scanned(rows, keys, order, sum_in, last_in, inclusive).select(
+            *[F.col(f"`{c}`") for c in df.columns if c not in {**sum_in, **last_in}],
+            *[F.coalesce(f"_l{o}", F.lit(0)).alias(o) for o in sum_in],
+            *[F.col(f"_l{o}").alias(o) for o in last_in])
+    rows = rows.withColumn("_block", F.floor(F.col(order) / block))
     group = [*keys, "_block"]
 
     totals = rows.groupBy(*group).agg(
@@ -39,11 +48,7 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column]
         *[F.sum(f"_t{o}").over(before).alias(f"_c{o}") for o in sum_in],
         *[F.last(f"_t{o}", ignorenulls=True).over(before).alias(f"_c{o}") for o in last_in])
 
-    inside = W.partitionBy(*group).orderBy(order).rowsBetween(
-        W.unboundedPreceding, 0 if inclusive else -1)
-    local = rows.withColumns({
-        **{f"_l{o}": F.sum(v).over(inside) for o, v in sum_in.items()},
-        **{f"_l{o}": F.last(v, ignorenulls=True).over(inside) for o, v in last_in.items()}})
+    local = _scanned(rows, group, order, sum_in, last_in, inclusive)
     joined = local.join(carry, group, "left")
     out = {o: F.coalesce(f"_l{o}", F.lit(0)) + F.coalesce(f"_c{o}", F.lit(0)) for o in sum_in}
     out.update({o: F.coalesce(f"_l{o}", f"_c{o}") for o in last_in})
@@ -51,6 +56,29 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column]
                          *[c.alias(o) for o, c in out.items()])
 
 
+def _scanned(rows: DataFrame, group: list[str], order: str, sums: dict[str, str],
+             lasts: dict[str, str], inclusive: bool) -> DataFrame:
+    inside = W.partitionBy(*group).orderBy(order).rowsBetween(
+        W.unboundedPreceding, 0 if inclusive else -1)
+    return rows.withColumns({
+        **{f"_l{o}": F.sum(v).over(inside) for o, v in sums.items()},
+        **{f"_l{o}": F.last(v, ignorenulls=True).over(inside) for o, v in lasts.items()}})
+
+
+def by_length(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys with at most ``limit`` rows, and those of longer keys (None without any).
+
+    Keys of few rows need no blocks: where a log has many keys, blocks of positions hold a row or
+    two of each, and their totals are as many as the rows.
+    """
+    longer = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(
+        F.col("_n") > limit).drop("_n"))
+    if longer.isEmpty():
+        return df, None
+    longer = broadcast_if_few(longer)
+    return df.join(longer, keys, "left_anti"), df.join(longer, keys, "left_semi")
+
+
 def previous(df: DataFrame, keys: list[str], order: str, columns: list[str],
              block: int = BLOCK_ROWS) -> DataFrame:
     """Add ``previous``: a struct of ``columns`` of the row before, null on the first row."""

@@ -20,14 +20,19 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def arriving(rows: DataFrame, folder: str, batch) -> DataFrame:
-    """A stream that gets ``rows`` in batches, by the number that ``batch`` gives each row."""
-    numbered = rows.withColumn("_batch", batch)
+def deliver(rows: DataFrame, folder: str, batch, run) -> None:
+    """Gives a stream ``rows`` in batches, by the number that ``batch`` gives each row.
+
+    A batch is written by all tasks. Each time one has arrived, the stream is started again from
+    its checkpoint by ``run`` and takes it up as one micro-batch.
+    """
+    spark = rows.sparkSession
+    rows.withColumn("_batch", batch).write.partitionBy("_batch").parquet(f"{folder}/sent")
+    sent = spark.read.schema(rows.withColumn("_batch", F.lit(0)).schema).parquet(f"{folder}/sent")
     for i in range(BATCHES):
-        numbered.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode(
-            "append").parquet(f"{folder}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option(
-        "maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        sent.where(F.col("_batch") == i).drop("_batch").write.mode("append").parquet(
+            f"{folder}/in")
+        run(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).awaitTermination()
 
 
 def shuffled():
@@ -43,8 +48,8 @@ def stream_effective_contact(spark, sf_dir):
         "institution_id", F.lit(-1).cast("long").alias("seq"), F.lit("CANONICAL").alias("type"),
         "email", F.col("source_url").alias("evidence_url"), "fingerprint")
     events = moves.unionByName(start, allowMissingColumns=True)
-    live.stream_effective_contacts(arriving(events, folder, shuffled()), f"{folder}/out",
-                                   f"{folder}/check").awaitTermination()
+    deliver(events, folder, shuffled(), lambda stream: live.stream_effective_contacts(
+        stream, f"{folder}/out", f"{folder}/check"))
     return live.current_state(spark, f"{folder}/out").where("kind is not null").select(
         "institution_id", "kind", "email")
 
@@ -53,8 +58,8 @@ def stream_effective_contact(spark, sf_dir):
 def stream_draft_state(spark, sf_dir):
     folder = fresh_folder(spark, "drafts")
     commands = outreach_events.draft_commands(spark, sf_dir)
-    live.stream_drafts(arriving(commands, folder, shuffled()), f"{folder}/out",
-                       f"{folder}/check").awaitTermination()
+    deliver(commands, folder, shuffled(), lambda stream: live.stream_drafts(
+        stream, f"{folder}/out", f"{folder}/check"))
     return live.current_state(spark, f"{folder}/out").select(
         "institution_id", "text", "approved", "version")
 
@@ -65,9 +70,8 @@ def stream_commands(spark, sf_dir):
     folder = fresh_folder(spark, "commands")
     rows = outreach_events.command_rows(spark, sf_dir)
     most = rows.agg(F.max("seq")).scalar()
-    live.stream_commands(arriving(rows, folder, F.floor(
-        F.col("seq") * BATCHES / (most + 1)).cast("int")), f"{folder}/out",
-        f"{folder}/check").awaitTermination()
+    deliver(rows, folder, F.floor(F.col("seq") * BATCHES / (most + 1)).cast("int"),
+            lambda stream: live.stream_commands(stream, f"{folder}/out", f"{folder}/check"))
     return spark.read.parquet(f"{folder}/out/verdicts").select("seq", "verdict")
 
 
@@ -80,10 +84,9 @@ def stream_pages(spark, sf_dir):
     pages = acquisition.source_pages(spark, sf_dir).select(*PAGES.fieldNames())
     twice = pages.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
     batch = F.pmod(F.xxhash64("page_start") + F.col("_copy"), F.lit(BATCHES))
-    placed = twice.withColumn("_at", batch)
-    stream = arriving(placed.drop("_copy"), folder, F.col("_at")).drop("_at")
-    ingest.ingest_pages(stream, f"{folder}/out", f"{folder}/check",
-                        acquisition.REQUIRED).awaitTermination()
+    placed = twice.withColumn("_at", batch).drop("_copy")
+    deliver(placed, folder, F.col("_at"), lambda stream: ingest.ingest_pages(
+        stream.drop("_at"), f"{folder}/out", f"{folder}/check", acquisition.REQUIRED))
     records = spark.read.parquet(f"{folder}/out/provenance").select("source_offset", "disposition")
     errors = spark.read.parquet(f"{folder}/out/quarantine").select(
         "source_offset", "validation_error")

@@ -1,7 +1,7 @@
 """Append-only event logs folded into current state, as batch jobs.
 
-Every log has an integer ``seq`` giving the event order. No fold collects a key's events: each is
-a prefix scan, an aggregation or a walk along links between events.
+Every log has an integer ``seq`` giving the event order. No fold collects the events of a long
+history: each is a prefix scan, an aggregation or a walk along links between events.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.functions.ranking import one_per_group
-from lumbung.operators.scan import BLOCK_ROWS, previous, running
+from lumbung.operators.scan import BLOCK_ROWS, by_length, previous, running
 from lumbung.rules import outreach as R
 from lumbung.session import cut_lineage
 
+FOLDED = 10_000  # events of an institution that are folded one after the other
+
 
 # ---- effective contact -----------------------------------------------------------------------
 def _contact_nodes(events: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -42,18 +44,39 @@ def _contact_nodes(events: DataFrame, canonical: DataFrame) -> DataFrame:
     return start.unionByName(moves)
 
 
-def effective_contact(events: DataFrame, canonical: DataFrame, block: int = BLOCK_ROWS
-                      ) -> DataFrame:
+def effective_contact(events: DataFrame, canonical: DataFrame, block: int = BLOCK_ROWS,
+                      folded: int = FOLDED) -> DataFrame:
     """Current contact per institution; institutions with none in force are absent.
 
     Only the first event after a node that takes what the node gives can follow it, so the history
-    in force is a chain of links. Its end is found by pointer doubling: the links of all nodes are
-    squared until nothing moves, which takes log2(longest chain) joins however long one
-    institution's history is. Each round is written out, so the plan does not grow.
+    in force is a chain of links. A history of at most ``folded`` events is walked in order; the
+    ends of longer ones are found by pointer doubling.
 
-    ``canonical``: institution_id, email, source_url, fingerprint (null: no usable contact).
+    ``canonical``: institution_id, email, source_url, fingerprint (null: no usable contact), one
+    row per institution.
     """
     nodes = _contact_nodes(events, canonical)
+    short, longer = by_length(nodes, ["institution_id"], folded)
+    walked = _walked(short)
+    return walked if longer is None else walked.unionByName(_doubled(longer, block))
+
+
+def _walked(nodes: DataFrame) -> DataFrame:
+    """Each institution's nodes in order, keeping the one in force."""
+    node = F.struct("seq", "takes", "gives", "contact")
+    none = F.lit(None).cast(nodes.select(node.alias("n")).schema["n"].dataType)
+    steps = nodes.groupBy("institution_id").agg(F.array_sort(F.collect_list(node)).alias("steps"))
+    end = F.aggregate("steps", none, lambda held, n: F.when(
+        (n["seq"] == -1) | (n["takes"] == held["gives"]), n).otherwise(held))
+    return steps.select("institution_id", end["contact"].alias("contact")).where(
+        F.col("contact").isNotNull()).select("institution_id", "contact.*")
+
+
+def _doubled(nodes: DataFrame, block: int) -> DataFrame:
+    """The links of all nodes are squared until nothing moves, which takes log2(longest chain)
+    joins however long one institution's history is. Each round is written out, so the plan does
+    not grow.
+    """
     # For every node the next node (in seq order) that takes its key: a scan in reverse order.
     gives = nodes.where(F.col("gives").isNotNull()).select(
         "institution_id", F.col("gives").alias("key"), (-2 * F.col("seq")).alias("at"),
@@ -137,6 +160,12 @@ def draft_history(commands: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     force depends on earlier accepted texts only, approval on text changes, readiness on approval;
     so three prefix scans replace the command-by-command fold.
     """
+    short, longer = by_length(commands, ["institution_id"], block)
+    done = _draft_scans(short, None)
+    return done if longer is None else done.unionByName(_draft_scans(longer, block))
+
+
+def _draft_scans(commands: DataFrame, block: int | None) -> DataFrame:
     key, status = ["institution_id"], F.col("status")
     server_only = F.coalesce(status == "SENT", F.lit(False)) | F.coalesce("sent", F.lit(False))
     ready = F.coalesce(status == "READY_TO_SEND", F.lit(False)) & ~server_only

@@ -31,14 +31,17 @@ def contact_fold(history: DataFrame) -> DataFrame:
 def fold_batch(batch: DataFrame, target: str, state_path: str, fold: Fold) -> None:
     """Stores a batch's events and the new state of its institutions; may be run again."""
     spark = batch.sparkSession
-    events = batch.dropDuplicates([KEY, "seq"]).withColumn(BUCKET, bucket(KEY))
-    append_new(events, f"{target}/log", [KEY, "seq"], BUCKET)
-    keys = events.select(KEY).distinct()
-    history = in_partitions(stored(spark, f"{target}/log"), BUCKET, events).join(
-        keys, KEY, "left_semi").drop(BUCKET)
-    # The log only grows, so of two states of a key the one of more events is the newer.
-    folded = history.groupBy(KEY).agg(F.count("*").alias("events_folded"))
-    folded.join(fold(history), KEY, "left").write.mode("overwrite").parquet(state_path)
+    events = batch.dropDuplicates([KEY, "seq"]).withColumn(BUCKET, bucket(KEY)).persist()
+    try:
+        append_new(events, f"{target}/log", [KEY, "seq"], BUCKET)
+        keys = events.select(KEY).distinct()
+        history = in_partitions(stored(spark, f"{target}/log"), BUCKET, events).join(
+            keys, KEY, "left_semi").drop(BUCKET)
+        # The log only grows, so of two states of a key the one of more events is the newer.
+        folded = history.groupBy(KEY).agg(F.count("*").alias("events_folded"))
+        folded.join(fold(history), KEY, "left").write.mode("overwrite").parquet(state_path)
+    finally:
+        events.unpersist()
 
 
 def _fold_stream(events: DataFrame, target: str, checkpoint: str, fold: Fold) -> StreamingQuery:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 64
 BUCKET = "bucket"
+WRITERS = 8  # parts that write to one folder
 
 
 def bucket(key: str) -> Column:
@@ -35,4 +36,8 @@ def append_new(rows: DataFrame, path: str, key: list[str], partition: str) -> No
     held = stored(rows.sparkSession, path)
     if held is not None:
         rows = rows.join(in_partitions(held, partition, rows).select(*key), key, "left_anti")
-    rows.write.mode("append").partitionBy(partition).parquet(path)
+    # Dealt by folder first, so that files do not multiply with the tasks.
+    part = F.pmod(F.xxhash64(*key), F.lit(WRITERS))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(tasks, partition, part).write.mode("append").partitionBy(partition).parquet(
+        path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumbung.operators import runlog
 from lumbung.sources.packages import stream_pages
-from lumbung.streaming import folds, ingest, live
+from lumbung.streaming import folds, ingest, live, store
 
 REQUIRED = ["id", "kind"]
 
@@ -184,3 +184,57 @@ def test_ids_of_different_types_are_not_duplicates(spark):
 def test_page_errors(spark, payload, error):
     df = spark.createDataFrame([{**page("r", 0, [], 0), "payload": payload}])
     assert runlog.parse_pages(df).first().page_error == error
+
+
+def test_short_histories_are_walked_and_long_ones_doubled(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):
+        for seq in range(3 + 9 * (i % 4)):
+            rejects = rng.random() < 0.5
+            rows.append((f"i{i}", seq, "MISMATCH" if rejects else "REPLACEMENT",
+                         f"m{rng.randrange(2)}", f"r{seq}", f"fp{rng.randrange(2)}",
+                         f"m{rng.randrange(2)}", f"{seq}@x", "u", f"fp{rng.randrange(2)}"))
+    events = spark.createDataFrame(rows, "institution_id string, seq long, type string, "
+                                   "mismatch_id string, replacement_id string, "
+                                   "rejected_fingerprint string, parent_mismatch_id string, "
+                                   "email string, evidence_url string, fingerprint string")
+    start = spark.createDataFrame([(f"i{i}", "c@x", "u", None if i == 5 else "fp0")
+                                   for i in range(12)], "institution_id string, email string, "
+                                  "source_url string, fingerprint string")
+    want = {}
+    for i in range(12):
+        held = None if i == 5 else ("F", "fp0", "c@x")
+        for r in sorted(x for x in rows if x[0] == f"i{i}"):
+            if r[2] == "MISMATCH" and held and held[:2] == ("F", r[5]):
+                held = ("M", r[3], None)
+            elif r[2] == "REPLACEMENT" and held and held[:2] == ("M", r[6]):
+                held = ("F", r[9], r[7])
+        if held and held[0] == "F":
+            want[f"i{i}"] = held[2]
+    assert len(set(want.values())) > 2
+    for folded in (0, 13, 1000):
+        got = folds.effective_contact(events, start, block=4, folded=folded).collect()
+        assert {r.institution_id: r.email for r in got} == want
+
+
+def test_short_draft_histories_are_dealt_once(spark):
+    commands = spark.range(60).selectExpr(
+        "concat('i', id % 5) as institution_id", "id as seq",
+        "case id % 7 when 0 then 'APPROVED' when 3 then 'READY_TO_SEND' end as status",
+        "case when id % 3 = 0 then concat('t', id % 4) end as text",
+        "cast(null as string) as review_status", "id % 11 = 0 as sent", "'a' as actor",
+        "cast(id as string) as ts")
+    short = folds.draft_history(commands, block=12)
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert sorted(map(str, short.collect())) == sorted(
+        map(str, folds.draft_history(commands, block=5).collect()))
+
+
+def test_a_folder_is_written_by_few_tasks(spark, tmp_path):
+    rows = spark.range(4000).repartition(40).selectExpr("id", "cast(id % 3 as int) as bucket")
+    store.append_new(rows, f"{tmp_path}/log", ["id"], "bucket")
+    files = list((tmp_path / "log").glob("bucket=*/*.parquet"))
+    assert len(files) <= 3 * store.WRITERS and spark.read.parquet(
+        f"{tmp_path}/log").count() == 4000

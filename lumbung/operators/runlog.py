@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbung.functions.digests import digest_of
@@ -92,9 +92,8 @@ def classify_rows(rows: DataFrame, required: list[str] | None = None) -> DataFra
     ).drop("_doc")
     out = out.withColumn("package_id", F.when(F.col("package_id") != "null", F.col("package_id")))
     page = ["run_id", "page_start", "page_draw"]
-    repeats = out.where(F.col("_id").isNotNull()).groupBy(*page, "_id").agg(
-        F.count("*").alias("_n")).where("_n > 1")
-    out = out.join(repeats, [*page, "_id"], "left")
+    out = out.withColumn("_n", F.when(F.col("_id").isNotNull(), F.count("*").over(
+        Window.partitionBy(*page, "_id"))))
     missing = F.array_except(F.array(*map(F.lit, required)), "_fields")
     has_null_id = F.array_contains("_fields", "id") & F.col("_id").isNull()
     position = F.col("row_index").cast("string")

@@ -15,19 +15,21 @@ from lumbung.streaming.store import append_new, stored
 def ingest_batch(pages: DataFrame, target: str, captured_at: Column,
                  required: list[str] | None = None) -> None:
     """Classify a batch of pages and store its rows; safe to run again for the same batch."""
-    # The same page may arrive twice in one batch; its rows must not count as repeated ids.
-    parsed = runlog.parse_pages(pages.dropDuplicates(
-        ["run_id", "page_start", "page_draw", "payload"]))
+    # The same page may arrive twice in one batch; its rows must not count as repeated ids. Whole
+    # pages are dealt, so that their rows need no further shuffle for that count.
+    page = ["run_id", "page_start", "page_draw"]
+    parsed = runlog.parse_pages(pages.repartition(*page).dropDuplicates([*page, "payload"]))
     classified = runlog.classify_rows(runlog.page_rows(parsed), required).persist()
     try:
-        append_new(runlog.storage_rows(classified.where("is_valid")), f"{target}/canonical",
-                   ["run_id", "source_offset"], "run_id")
+        append_new(classified.where("is_valid"), f"{target}/canonical",
+                   ["run_id", "source_offset"], "run_id", runlog.storage_rows)
         append_new(runlog.quarantine_records(
             classified, captured_at, F.concat(F.lit("failures/page-start-"), F.col(
                 "page_start").cast("string"))), f"{target}/quarantine",
             ["run_id", "quarantine_record_id"], "run_id")
-        append_new(runlog.provenance_records(classified, captured_at), f"{target}/provenance",
-                   ["run_id", "provenance_record_id"], "run_id")
+        # A record's id is a digest of these two.
+        append_new(classified, f"{target}/provenance", ["run_id", "source_offset"], "run_id",
+                   lambda rows: runlog.provenance_records(rows, captured_at))
         append_new(runlog.page_failures(parsed), f"{target}/failures",
                    ["run_id", "start", "draw"], "run_id")
     finally:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +35,20 @@ def in_partitions(rows: DataFrame, name: str, batch: DataFrame) -> DataFrame:
     return rows.where(F.col(name).isin(values))
 
 
-def append_new(rows: DataFrame, path: str, key: list[str], partition: str) -> None:
-    """Appends the rows whose key is not stored yet, so a repeated batch adds nothing."""
+def append_new(rows: DataFrame, path: str, key: list[str], partition: str,
+               make: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    """Appends the rows whose key is not stored yet, so a repeated batch adds nothing.
+
+    ``make`` turns these rows into what is stored, with the same key and partition; rows that are
+    stored already are not made again.
+    """
     held = stored(rows.sparkSession, path)
     if held is not None:
-        rows = rows.join(in_partitions(held, partition, rows).select(*key), key, "left_anti")
+        known = in_partitions(held, partition, rows).select(*[F.col(k).alias(f"_{k}") for k in key])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+        rows = rows.join(known, reduce(and_, same), "left_anti")
     # Dealt by folder first, so that files do not multiply with the tasks.
     part = F.pmod(F.xxhash64(*key), F.lit(WRITERS))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(tasks, partition, part).write.mode("append").partitionBy(partition).parquet(
+    make(rows.repartition(tasks, partition, part)).write.mode("append").partitionBy(partition).parquet(
         path)

@@ -238,3 +238,25 @@ def test_a_folder_is_written_by_few_tasks(spark, tmp_path):
     files = list((tmp_path / "log").glob("bucket=*/*.parquet"))
     assert len(files) <= 3 * store.WRITERS and spark.read.parquet(
         f"{tmp_path}/log").count() == 4000
+
+
+def test_rows_of_a_page_are_classified_without_a_join(spark):
+    pages = spark.createDataFrame(PAGES).repartition("run_id", "page_start", "page_draw")
+    rows = runlog.classify_rows(runlog.page_rows(runlog.parse_pages(pages)), REQUIRED)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert sorted((r.source_offset, r.is_valid) for r in rows.collect()) == [
+        (0, True), (1, False), (2, False), (3, False)]
+
+
+def test_stored_rows_are_not_made_again(spark, tmp_path):
+    once = F.when(F.col("id") < 3, F.raise_error(F.lit("made again")).cast("long")).otherwise(
+        F.col("id")).alias("made")
+    rows = spark.range(3).selectExpr("id", "nullif(id, 1) as part", "0 as bucket")
+    store.append_new(rows, f"{tmp_path}/log", ["id", "part"], "bucket", lambda r: r.select(
+        "*", F.col("id").alias("made")))
+    more = spark.range(5).selectExpr("id", "nullif(id, 1) as part", "0 as bucket")
+    store.append_new(more, f"{tmp_path}/log", ["id", "part"], "bucket", lambda r: r.select(
+        "*", once))
+    assert sorted(r.made for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [
+        0, 1, 2, 3, 4]

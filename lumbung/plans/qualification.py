@@ -90,7 +90,8 @@ def stored_runs(spark, sf_dir) -> Q.Evidence:
         number - fault + 1))
     pairs = claimed.where(~first & (fault != 14)).select(
         "run_id", base.alias("baseline_run_id"))
-    keys = Q.key_facts(stored, pairs)
+    # Two tables follow from these facts; written once, the rows are hashed and met once.
+    keys = cut_lineage(Q.key_facts(stored, pairs))
     reports = stored_reports(claimed, keys, pairs, manifests)
     changes = keys.join(pairs, "run_id", "left_semi").where(
         F.col("change").isin(Q.REPORTED) & F.col("id").isNotNull()).select(

@@ -83,3 +83,10 @@ def test_promotion_and_rollback(spark):
     fresh = Q.promote(runs, selection.limit(0), claims.withColumn("expected_active", F.lit(
         None).cast("string")))
     assert {r.root: tuple(r)[1:] for r in fresh.collect()}["a"] == ("promoted", "a2", None)
+
+
+def test_stored_runs_hash_their_rows_once(spark):
+    """Reports and changes follow from one stored comparison of the rows with their baselines."""
+    from lumbung.plans import qualification
+    changes = qualification.stored_runs(spark, FOLDER).changes
+    assert "to_json(" not in changes._jdf.queryExecution().optimizedPlan().toString()

@@ -89,4 +89,4 @@ def test_stored_runs_hash_their_rows_once(spark):
     """Reports and changes follow from one stored comparison of the rows with their baselines."""
     from lumbung.plans import qualification
     changes = qualification.stored_runs(spark, FOLDER).changes
-    assert "to_json(" not in changes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in changes._jdf.queryExecution().optimizedPlan().toString()
